@@ -13,7 +13,8 @@ import pyarrow as pa
 U64 = np.uint64
 BATCH_BYTES = 1 << 20
 _ODD = 0x9E3779B97F4A7C15
-_POWERS: dict[int, np.ndarray] = {}
+_INVERSE = pow(_ODD, -1, 2**64)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 #: One random odd number per byte value, the same in every process.
 BYTE_CODES = np.random.default_rng(20240131).integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
 #: The white space that separates words: space, and tab to carriage return.
@@ -28,14 +29,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
-def powers(n: int) -> np.ndarray:
-    """At least n powers of an odd number, modulo 2**64."""
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of an odd number and of its inverse, modulo 2**64."""
     size = max(BATCH_BYTES + 1, 1 << (n - 1).bit_length())
     if size not in _POWERS:
-        p = np.full(size, _ODD, dtype=np.uint64)
-        p[0] = 1
+        both = []
+        for base in (_ODD, _INVERSE):
+            p = np.full(size, base, dtype=np.uint64)
+            p[0] = 1
+            both.append(np.cumprod(p))
         _POWERS.clear()
-        _POWERS[size] = np.cumprod(p)
+        _POWERS[size] = (both[0], both[1])
     return next(iter(_POWERS.values()))
 
 
@@ -43,20 +47,20 @@ class Rolling:
     """Hashes of any run of a sequence of 64-bit codes."""
 
     def __init__(self, codes: np.ndarray):
-        self.p = powers(len(codes) + 1)
+        p, self.back = powers(len(codes) + 1)
         self.sums = np.zeros(len(codes) + 1, dtype=np.uint64)
-        np.cumsum(codes * self.p[: len(codes)], out=self.sums[1:])
+        np.cumsum(codes * p[: len(codes)], out=self.sums[1:])
 
     def runs(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of codes[start:end], the same wherever the run stands."""
-        return mix((self.sums[end] - self.sums[start]) * self.p[len(self.p) - 1 - start])
+        return mix((self.sums[end] - self.sums[start]) * self.back[start])
 
     def grams(self, n: int) -> np.ndarray:
         """Hash of every run of n codes, by its start."""
         k = len(self.sums) - n
         if k <= 0:
             return np.zeros(0, dtype=np.uint64)
-        return mix((self.sums[n:] - self.sums[:-n]) * self.p[len(self.p) - k :][::-1])
+        return mix((self.sums[n:] - self.sums[:-n]) * self.back[:k])
 
 
 def binary(column: pa.ChunkedArray | pa.Array) -> pa.Array:
