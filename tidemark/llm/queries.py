@@ -5,12 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.substring_dedup import remove_repeats
 from tidemark.llm.suffix_dedup import remove_earlier_repeats
 from tidemark.sources import table
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = near_duplicates(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"), window=35, with_text=False)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -22,6 +29,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
     "op6_substring_dedup": op6_substring_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
