@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.mixing import mix_sources
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.substring_dedup import remove_repeats
 from tidemark.llm.suffix_dedup import remove_earlier_repeats
@@ -23,6 +24,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mix_sources(table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "copies")
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_earlier_repeats(table(spark, sf_dir, "documents"), length=100, with_text=False)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -31,6 +37,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op6_substring_dedup": op6_substring_dedup,
+    "op8_mixing": op8_mixing,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
