@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.mixing import mix_sources
+from tidemark.llm.quality import score_quality
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.substring_dedup import remove_repeats
 from tidemark.llm.suffix_dedup import remove_earlier_repeats
@@ -19,6 +20,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"), window=35, with_text=False)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -36,6 +41,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op4_quality": op4_quality,
     "op6_substring_dedup": op6_substring_dedup,
     "op8_mixing": op8_mixing,
     "op10_suffix_dedup": op10_suffix_dedup,
