@@ -84,10 +84,16 @@ def batches(column: pa.ChunkedArray | pa.Array, limit: int = BATCH_BYTES) -> Ite
         row = end
 
 
-def words(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: For texts compared as plain words: all but ASCII letters, digits and bytes of other characters separate.
+PLAIN = ~np.isin(np.arange(256), [*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)])
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def words(buf: np.ndarray, ends: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end) of each word of the rows that end at ends, and how many words each row has."""
     inside = np.zeros(len(buf) + 1, dtype=bool)
-    inside[:-1] = ~SPACE[buf]
+    inside[:-1] = ~space[buf]
     first = inside[:-1].copy()
     first[1:] &= ~inside[:-2]
     starts_of_rows = np.concatenate([[0], ends[:-1]]).astype(np.int64)

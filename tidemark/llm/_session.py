@@ -14,13 +14,18 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(ship(spark).conf.get("spark.sql.shuffle.partitions")))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder, so that a lost executor costs only a read.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one that the session names in spark.checkpoint.dir.
 
-    The folder is the one that the session names in spark.checkpoint.dir. Where that is unset, as in tests on one
-    machine, a temporary folder is set.
+    Where that is unset, as in tests on one machine, a temporary folder is set.
     """
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder, so that a lost executor costs only a read."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

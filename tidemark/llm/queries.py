@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.ann import nearest
+from tidemark.llm.decontaminate import find_leaks
 from tidemark.llm.html_text import extract_main_text
+from tidemark.llm.licenses import scan_licenses
+from tidemark.llm.lm_score import score_documents
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.quality import score_quality
 from tidemark.llm.simhash import near_duplicates
@@ -34,16 +37,29 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"), window=35, with_text=False)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mix_sources(table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "copies")
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = score_documents(table(spark, sf_dir, "documents"))
+    return scores.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_earlier_repeats(table(spark, sf_dir, "documents"), length=100, with_text=False)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -54,8 +70,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_html_text": op2_html_text,
     "op3_ann": op3_ann,
     "op4_quality": op4_quality,
+    "op5_licenses": op5_licenses,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_decontamination": op7_decontamination,
     "op8_mixing": op8_mixing,
+    "op9_lm_score": op9_lm_score,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 

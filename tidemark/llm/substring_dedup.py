@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm import _columnar as C
 from tidemark.llm._session import partitions
@@ -124,15 +125,12 @@ def _compare(table: pa.Table) -> pa.Table:
     return _rows(parts, _HITS)
 
 
-_KEPT_DDL = "doc_id long, n_words long, n_removed long, kept binary, kept_sha256 string"
-
-
 def _remove(window: int, with_text: bool):
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string())])
 
     def task(docs: pa.Table, hits: pa.Table) -> pa.Table:
         if not len(docs):
-            return schema.empty_table()
+            return schema.append(docs.schema.field("rest")).empty_table()
         shared = np.unique(C.joined(C.unpack(hits["hashes"], np.uint64), np.uint64))
         seen, batches = [], []
         for row, buf, ends in C.batches(docs["text"]):
@@ -156,15 +154,16 @@ def _remove(window: int, with_text: bool):
                 kept.append(text if with_text else None)
                 digests.append(hashlib.sha256(text).hexdigest())
                 begin, at = end, at + n
-        return pa.table([docs["doc_id"], n_words, n_removed, pa.array(kept, pa.binary()), digests], schema=schema)
+        return pa.table([docs["doc_id"], n_words, n_removed, pa.array(kept, pa.binary()), digests, docs["rest"]], schema=schema.append(docs.schema.field("rest")))
 
     return task
 
 
-def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, carry: list[str] | None = None) -> DataFrame:
     """Remove from each text the words that a repeated window covers.
 
-    docs: a row per document; ``id_col`` is a whole number, ``text_col`` a string. Other columns are not read.
+    docs: a row per document; ``id_col`` is a whole number, ``text_col`` a string. Other columns are not read, but for
+    those in ``carry``, which come back as the fields of ``rest``, whatever their names.
     window: words are the runs of characters other than space and tab to carriage return, compared as they are. Each
     word that lies in a run of ``window`` words whose sequence also starts anywhere else, in this document or another,
     is removed; all windows are judged on the input.
@@ -177,7 +176,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
         raise ValueError("window takes three words at least")
     spark, n = docs.sparkSession, partitions(docs.sparkSession)
     block = (window + 1) // 2
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rest = F.struct(*(docs[c].alias(f"_{k}") for k, c in enumerate(carry))) if carry else F.struct(F.lit(True).alias("_"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), rest.alias("rest"))
     # The text's own hash spreads the rows of a missing or repeated id.
     dealt = own.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(2 * n)).cast("int")).repartition(n, "chunk")
     chunks = dealt.groupBy("chunk")
@@ -185,5 +185,16 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     hits = sent.groupBy("bucket").applyInArrow(_index_lookup, _HITS_DDL)
     near = chunks.cogroup(hits.groupBy("chunk")).applyInArrow(_extend(window, block, n), _SENT_DDL)
     shared = near.groupBy("bucket").applyInArrow(_compare, _HITS_DDL)
-    out = chunks.cogroup(shared.groupBy("chunk")).applyInArrow(_remove(window, with_text), _KEPT_DDL)
-    return out.withColumn("kept", F.col("kept").cast("string"))
+    kept = T.StructType.fromDDL("doc_id long, n_words long, n_removed long, kept binary, kept_sha256 string").add("rest", own.schema["rest"].dataType)
+    out = chunks.cogroup(shared.groupBy("chunk")).applyInArrow(_remove(window, with_text), kept).withColumn("kept", F.col("kept").cast("string"))
+    return out if carry else out.drop("rest")
+
+
+def without_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the kept words as text, and n_chars, where there is such a column, as its length."""
+    carry = [c for c in docs.columns if c != text_col]
+    done = remove_repeats(docs, window, id_col, text_col, carry=carry)
+    back = {c: F.col(f"rest._{k}") for k, c in enumerate(carry)} | {text_col: F.col("kept")}
+    if "n_chars" in back:
+        back["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
+    return done.select(*(back[c].alias(c) for c in docs.columns))
