@@ -19,12 +19,14 @@ from tidemark.llm._session import partitions
 U64 = np.uint64
 ORDER = 3
 BACKOFF = 0.4
-_KEY = U64((1 << 48) - 1)
+FAR = U64(2**32 - 1)
+KEY_BITS = 46
+_KEY = U64((1 << KEY_BITS) - 1)
 #: Stands for "any word": its count is the number of words.
 _ANY = U64(0x5A17C0FFEE15600D)
 
-_SENT = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-_SENT_DDL = "bucket int, chunk int, keys binary, counts binary"
+_SENT = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("near", pa.bool_()), ("keys", pa.binary()), ("counts", pa.binary())])
+_SENT_DDL = "bucket int, chunk int, near boolean, keys binary, counts binary"
 _TOTALS = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("counts", pa.binary())])
 _TOTALS_DDL = "chunk int, bucket int, counts binary"
 _SCORES = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_score", pa.float64())])
@@ -47,7 +49,37 @@ def _grams(texts: pa.ChunkedArray, order: int) -> tuple[list[np.ndarray], np.nda
 
 
 def _spots(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hashes >> U64(48)) % U64(buckets)) << U64(48) | (hashes & _KEY)
+    return ((hashes >> U64(KEY_BITS)) % U64(buckets)) << U64(KEY_BITS) | (hashes & _KEY)
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """32-bit numbers byte by byte, so that the high bytes, mostly zero, compress to nothing."""
+    return np.ascontiguousarray(numbers.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _numbers(planes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel()
+
+
+def _packed(keys: np.ndarray) -> tuple[bool, bytes]:
+    """Sorted keys: by their distances in four bytes each where most are short enough, else six bytes each."""
+    steps = np.diff(keys, prepend=U64(0))
+    more = steps // FAR
+    if more.sum() * 4 > len(keys):
+        return False, np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    # A far step is split: FAR stands for "go on".
+    out = np.full(len(keys) + int(more.sum()), FAR, np.uint64)
+    out[np.arange(len(keys)) + np.cumsum(more).astype(np.int64)] = steps % FAR
+    return True, out.astype(np.uint32).tobytes()
+
+
+def _unpacked(near: bool, data: np.ndarray) -> np.ndarray:
+    if near:
+        steps = data.view(np.uint32).astype(np.uint64)
+        return np.cumsum(steps)[steps != FAR]
+    keys = np.zeros((len(data) // 6, 8), np.uint8)
+    keys[:, :6] = data.reshape(-1, 6)
+    return keys.view(np.uint64).ravel()
 
 
 def _distinct(grams: list[np.ndarray], counts: np.ndarray, buckets: int):
@@ -71,10 +103,9 @@ def _send(order: int, buckets: int):
     def task(docs: pa.Table) -> pa.Table:
         grams, counts = _grams(docs["text"], order)
         spots, times, _, _, _ = _distinct(grams, counts, buckets)
-        low = np.ascontiguousarray((spots & _KEY).view(np.uint8).reshape(-1, 8)[:, :6])
         chunk, rows = docs["chunk"][0].as_py(), []
-        for b, at in C.split_by(spots >> U64(48), buckets):
-            rows.append((b, chunk, low[at].tobytes(), times[at].astype(np.uint32).tobytes()))
+        for b, at in C.split_by(spots >> U64(KEY_BITS), buckets):
+            rows.append((b, chunk, *_packed(spots[at] & _KEY), _planes(times[at])))
         columns = list(zip(*rows, strict=True))
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, _SENT, strict=True)], schema=_SENT)
 
@@ -82,14 +113,14 @@ def _send(order: int, buckets: int):
 
 
 def _add_up(table: pa.Table) -> pa.Table:
-    each = [x.reshape(-1, 6) for x in C.unpack(table["keys"], np.uint8)]
-    keys = np.zeros((sum(map(len, each)), 8), np.uint8)
-    keys[:, :6] = np.concatenate(each)
-    counts = C.joined(C.unpack(table["counts"], np.uint32), np.uint32)
-    _, which = np.unique(keys.view(np.uint64).ravel(), return_inverse=True)
+    near = table["near"].to_pylist()
+    each = [_unpacked(n, x) for n, x in zip(near, C.unpack(table["keys"], np.uint8), strict=True)]
+    keys = np.concatenate(each)
+    counts = np.concatenate([_numbers(x) for x in C.unpack(table["counts"], np.uint8)])
+    _, which = np.unique(keys, return_inverse=True)
     totals = np.minimum(np.bincount(which, weights=counts)[which], 2**32 - 1).astype(np.uint32)
     edges = np.cumsum([0, *map(len, each)])
-    packed = [totals[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)]
+    packed = [_planes(totals[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
     return pa.table([table["chunk"], table["bucket"], pa.array(packed, pa.binary())], schema=_TOTALS)
 
 
@@ -99,9 +130,10 @@ def _score(order: int, buckets: int, backoff: float):
             return _SCORES.empty_table()
         grams, counts = _grams(docs["text"], order)
         _, times, which, any_word, place = _distinct(grams, counts, buckets)
-        by_bucket = np.argsort(np.array(answers["bucket"].to_pylist(), np.int64), kind="stable")
-        packed = C.unpack(answers["counts"], np.uint32)
-        totals = C.joined([packed[k] for k in by_bucket], np.uint32).astype(np.float64)
+        # By bucket the answers are in the order in which their keys stand here.
+        order_sent = np.argsort(answers["bucket"].to_numpy(), kind="stable")
+        packed = C.unpack(answers["counts"], np.uint8)
+        totals = np.concatenate([_numbers(packed[k]) for k in order_sent]).astype(np.float64)
         row = np.repeat(np.arange(len(counts)), counts)
         others = []
         for n in range(order):
