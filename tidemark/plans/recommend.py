@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators import affinity, candidates, rerank, rollup, topics
 from tidemark.sources import entities as E
 
 
+def _kept(f: Callable[[Recommender], DataFrame]) -> cached_property:
+    """A step that several later ones read: computed once, in memory or on the executors' disks, again where lost."""
+    return cached_property(lambda self: f(self).persist(StorageLevel.MEMORY_AND_DISK))
+
+
 class Recommender:
     """The tables of one folder and what follows from them; each property is a plan, nothing runs until it is read."""
 
@@ -21,31 +28,31 @@ class Recommender:
         return f(self.spark, self.folder)
 
     events = cached_property(lambda self: self._table(E.events))
-    content = cached_property(lambda self: self._table(E.content))
+    content = _kept(lambda self: self._table(E.content))
     keys = cached_property(lambda self: self._table(E.content_keys))
     sources = cached_property(lambda self: self._table(E.sources))
     topics = cached_property(lambda self: self._table(E.topics))
     content_topics = cached_property(lambda self: self._table(E.content_topics))
     source_topics = cached_property(lambda self: self._table(E.source_topics))
-    users = cached_property(lambda self: self._table(E.users))
+    users = _kept(lambda self: self._table(E.users))
     preferences = cached_property(lambda self: self._table(E.topic_preferences))
-    subscriptions = cached_property(lambda self: self._table(E.subscriptions))
-    saved = cached_property(lambda self: self._table(E.saved))
+    subscriptions = _kept(lambda self: self._table(E.subscriptions))
+    saved = _kept(lambda self: self._table(E.saved))
     inbox = cached_property(lambda self: self._table(E.inbox))
     curated = cached_property(lambda self: self._table(E.curated))
     links = cached_property(lambda self: topics.closure(self.topics, 4))
 
     feedback_daily = cached_property(lambda self: rollup.content_feedback_daily(self.events, self.keys))
     signals_daily = cached_property(lambda self: rollup.source_signals_daily(self.events))
-    content_halo = cached_property(lambda self: rollup.content_halo(rollup.content_halo_daily(self.events), self.content))
-    source_halo = cached_property(lambda self: rollup.source_halo(rollup.source_halo_daily(self.events, self.keys)))
-    feedback = cached_property(lambda self: affinity.user_content_feedback(self.feedback_daily, self.content, self.now))
-    source_affinity = cached_property(lambda self: affinity.user_source_affinity(self.feedback, self.keys, self.signals_daily, self.subscriptions, self.now))
-    topic_affinity = cached_property(lambda self: affinity.user_topic_affinity(self.preferences, self.feedback, self.source_affinity, self.content_topics, self.source_topics, self.links, self.now))
-    context = cached_property(lambda self: affinity.user_context(self.users, self.subscriptions, self.topic_affinity, self.source_affinity))
-    buckets = cached_property(lambda self: candidates.content_buckets(self.users, self.keys, self.inbox, self.subscriptions, self.saved, self.feedback, self.context, self.content_topics, self.source_topics, self.content_halo, self.curated, self.now))
-    content_candidates = cached_property(lambda self: candidates.content_candidates(self.buckets, self.keys, self.sources, self.topics, self.topic_affinity, self.source_affinity, self.content_topics, self.source_topics, self.content_halo, self.source_halo, self.curated, self.feedback, self.now))
-    source_candidates = cached_property(lambda self: candidates.source_candidates(self.users, self.sources, self.keys, self.subscriptions, self.topics, self.topic_affinity, self.source_affinity, self.context, self.source_topics, self.source_halo, self.now))
+    content_halo = _kept(lambda self: rollup.content_halo(rollup.content_halo_daily(self.events), self.content))
+    source_halo = _kept(lambda self: rollup.source_halo(rollup.source_halo_daily(self.events, self.keys)))
+    feedback = _kept(lambda self: affinity.user_content_feedback(self.feedback_daily, self.content, self.now))
+    source_affinity = _kept(lambda self: affinity.user_source_affinity(self.feedback, self.keys, self.signals_daily, self.subscriptions, self.now))
+    topic_affinity = _kept(lambda self: affinity.user_topic_affinity(self.preferences, self.feedback, self.source_affinity, self.content_topics, self.source_topics, self.links, self.now))
+    context = _kept(lambda self: affinity.user_context(self.users, self.subscriptions, self.topic_affinity, self.source_affinity))
+    buckets = _kept(lambda self: candidates.content_buckets(self.users, self.keys, self.inbox, self.subscriptions, self.saved, self.feedback, self.context, self.content_topics, self.source_topics, self.content_halo, self.curated, self.now))
+    content_candidates = _kept(lambda self: candidates.content_candidates(self.buckets, self.keys, self.sources, self.topics, self.topic_affinity, self.source_affinity, self.content_topics, self.source_topics, self.content_halo, self.source_halo, self.curated, self.feedback, self.now))
+    source_candidates = _kept(lambda self: candidates.source_candidates(self.users, self.sources, self.keys, self.subscriptions, self.topics, self.topic_affinity, self.source_affinity, self.context, self.source_topics, self.source_halo, self.now))
     scored_content = cached_property(lambda self: rerank.scored_content(self.content_candidates, self.subscriptions, self.now))
     scored_sources = cached_property(lambda self: rerank.scored_sources(self.source_candidates))
     subtopics = cached_property(lambda self: topics.subtopics(self.topics, self.links, self.topic_affinity, self.preferences, self.feedback, self.source_affinity, self.content_topics, self.source_topics))
