@@ -1,31 +1,14 @@
-"""What the operators read from the session: parallelism and the shared folder for checkpoints."""
+"""What the operators read from the session."""
 
 from __future__ import annotations
 
-import tempfile
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from tidemark.runtime import cut, shared_folder, ship
 
-from tidemark.runtime import ship
+__all__ = ["cut", "partitions", "shared_folder"]
 
 
 def partitions(spark: SparkSession) -> int:
     """The cluster's own parallelism for shuffles; everything that is dealt out scales with it."""
     return max(1, int(ship(spark).conf.get("spark.sql.shuffle.partitions")))
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the one that the session names in spark.checkpoint.dir.
-
-    Where that is unset, as in tests on one machine, a temporary folder is set.
-    """
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return context.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder, so that a lost executor costs only a read."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
