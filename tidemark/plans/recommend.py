@@ -5,20 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators import affinity, candidates, rerank, rollup, topics
+from tidemark.runtime import cut
 from tidemark.sources import entities as E
 
 
 def _kept(f: Callable[[Recommender], DataFrame]) -> cached_property:
-    """A step that several later ones read: computed once, in memory or on the executors' disks, again where lost."""
-    return cached_property(lambda self: f(self).persist(StorageLevel.MEMORY_AND_DISK))
+    """A step that several later ones read: computed once and kept in the shared folder, as the tables it stands for are.
+
+    Later plans start from it, so that they stay short, and a lost executor costs only a read.
+    """
+    return cached_property(lambda self: cut(f(self)))
 
 
 class Recommender:
-    """The tables of one folder and what follows from them; each property is a plan, nothing runs until it is read."""
+    """The tables of one folder and what follows from them; steps that others build on run once, when first read."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -27,7 +30,7 @@ class Recommender:
     def _table(self, f) -> DataFrame:
         return f(self.spark, self.folder)
 
-    events = cached_property(lambda self: self._table(E.events))
+    events = _kept(lambda self: self._table(E.events))
     content = _kept(lambda self: self._table(E.content))
     keys = cached_property(lambda self: self._table(E.content_keys))
     sources = cached_property(lambda self: self._table(E.sources))
