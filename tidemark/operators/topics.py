@@ -55,6 +55,12 @@ def backfill_content_topics(content: DataFrame, content_topics: DataFrame, sourc
     return content_topics.unionByName(inherited.join(content_topics.select("content_id").distinct(), "content_id", "left_anti"))
 
 
+def replace_preferences(preferences: DataFrame, chosen: DataFrame, weight: float = 1.0) -> DataFrame:
+    """Users of chosen (user_id, topics) prefer those topics in place of what they had; others keep theirs."""
+    rest = preferences.join(chosen.select("user_id"), "user_id", "left_anti").select("user_id", "topic_id", "weight")
+    return rest.unionByName(chosen.select("user_id", F.explode(F.array_distinct("topics")).alias("topic_id"), F.lit(weight).alias("weight")))
+
+
 def replace_topics(content_topics: DataFrame, chosen: DataFrame, confidence: float = 0.95) -> DataFrame:
     """Curated topics (content_id, topics) in place of those at the same confidence; other rows stay and win ties."""
     rest = content_topics.join(chosen.select("content_id"), "content_id", "left_semi").filter(F.col("confidence") != confidence).unionByName(content_topics.join(chosen.select("content_id"), "content_id", "left_anti"))

@@ -1,6 +1,6 @@
 """Whole plans, and the registry of all queries."""
 
-from tidemark.plans import recommender_queries, service_queries  # noqa: F401
+from tidemark.plans import recommender_queries, service_queries, state_queries  # noqa: F401
 from tidemark.plans.registry import ENTRIES
 
 __all__ = ["ENTRIES"]
