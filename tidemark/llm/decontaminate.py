@@ -2,7 +2,8 @@
 
 Benchmark items are cut into passages. A distributed randomised SVD of the passages' TF-IDF rows, weighted by how many
 documents of the corpus have a term, gives a latent space; windows of every document are folded into it and those near a
-passage by cosine become candidates. A candidate is a leak if the passage's words, weighted by rarity, stand in the text
+passage by cosine become candidates. The cosine is divided by what the space leaves of the passage, so that a copy is as
+near in a space of few dimensions as in one of many. A candidate is a leak if the passage's words, weighted by rarity, stand in the text
 in order to a large part, its answer (the end of the item) included, or nearly whole.
 """
 
@@ -23,11 +24,13 @@ from tidemark.runtime import ship
 
 PASSAGE, STRIDE = 64, 48
 WINDOW, STEP = 24, 6
-RANK = 64
+RANK = 256
 #: Least cosine of a candidate; least share of a leak with and without its answer.
 NEAR, SHARE, WHOLE = 0.45, 0.5, 0.75
+#: Least length that the latent space leaves of a passage's unit vector; passages below add a direction of their own.
+LEAST_KEPT = 0.5
 #: Passages that go to every task at once; more are searched for in turns.
-TURN = 4_096
+TURN = 512
 
 _PASSAGES = pa.schema([("item_id", pa.int64()), ("part", pa.int32()), ("codes", pa.binary())])
 
@@ -199,6 +202,34 @@ def randomised_svd(passages: DataFrame, terms: np.ndarray, idf: np.ndarray, rank
     return turn @ vectors[:, order[values[order] > 1e-9]]
 
 
+def _vectors(codes: list[np.ndarray], terms: np.ndarray, idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(terms, weights) of each passage's TF-IDF row, unit length."""
+    out = []
+    for c in codes:
+        at, times = np.unique(np.searchsorted(terms, c), return_counts=True)
+        x = times * idf[at]
+        out.append((at, x / max(np.sqrt((x * x).sum()), 1e-9)))
+    return out
+
+
+def places_of(vectors: list[tuple[np.ndarray, np.ndarray]], basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(basis, places): the basis with directions for passages that it hardly holds, and each passage's place in it.
+
+    A place is as long as makes a passage's own product with it one.
+    """
+    projected = lambda: np.stack([x @ basis[at] for at, x in vectors])
+    places = projected()
+    lost = np.flatnonzero(np.linalg.norm(places, axis=1) < LEAST_KEPT)
+    if len(lost):
+        rest = np.zeros((len(basis), len(lost)))
+        for k, p in enumerate(lost):
+            at, x = vectors[p]
+            rest[at, k] = x
+        basis = np.hstack([basis, np.linalg.qr(rest - basis @ (basis.T @ rest))[0]])
+        places = projected()
+    return basis, places / np.maximum((places * places).sum(axis=1, keepdims=True), 1e-9)
+
+
 def _indexes(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str) -> list[Index]:
     ship(docs.sparkSession)
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
@@ -214,10 +245,8 @@ def _indexes(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col
         terms = np.unique(np.concatenate(codes))
         counts, n = _document_counts(docs, terms)
         idf = np.log((1 + n) / (1 + counts)) + 0.1
-        basis = randomised_svd(own, terms, idf, RANK)
+        basis, places = places_of(_vectors(codes, terms, idf), randomised_svd(own, terms, idf, RANK))
         latent = (idf[:, None] * basis).astype(np.float32)
-        places = np.stack([latent[np.searchsorted(terms, c)].sum(axis=0) for c in codes])
-        places /= np.maximum(np.linalg.norm(places, axis=1, keepdims=True), 1e-9)
         out.append(Index(terms, idf, latent, float(np.median(idf)), rows["item_id"].to_pylist(), rows["part"].to_pylist(), codes, places.astype(np.float32)))
     return out
 
