@@ -181,6 +181,15 @@ def test_op7_finds_passages_in_a_space_of_fewer_dimensions(spark, monkeypatch):
     assert want <= got and len(want) > 200 and len(got) < 1.1 * len(want)
 
 
+def test_op7_adds_directions_for_passages_that_the_space_loses():
+    from tidemark.llm.decontaminate import places_of
+
+    vectors = [(np.array([k]), np.array([1.0])) for k in range(6)]
+    basis, places = places_of(vectors, np.eye(6)[:, :4])
+    assert basis.shape == (6, 6) and np.allclose(basis.T @ basis, np.eye(6))
+    assert np.allclose([x @ basis[at] @ p for (at, x), p in zip(vectors, places, strict=True)], 1)
+
+
 def targets(size):
     names = sorted(size)
     weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
