@@ -181,6 +181,37 @@ def test_op7_finds_passages_in_a_space_of_fewer_dimensions(spark, monkeypatch):
     assert want <= got and len(want) > 200 and len(got) < 1.1 * len(want)
 
 
+def test_op7_finds_whatever_the_common_subsequence_accepts(spark):
+    from tidemark.llm.decontaminate import find_leaks, ordered_share
+
+    rng = np.random.default_rng(4)
+    folder = "/root/testdata/sf0.01"
+    texts = [r.text.split() for r in table(spark, folder, "documents").orderBy("doc_id").collect() if len((r.text or "").split()) > 20]
+    plain = [w for t in texts for w in t if re.fullmatch("[a-z]{3,}", w)]
+    items, docs, planted = [], [], {}
+    for k in range(160):
+        n = (5, 8, 37, 64)[k % 4]
+        passage = [str(w) for w in rng.choice(plain, n)]
+        items.append((k, " ".join(passage)))
+        share = 1 if n < 10 else rng.uniform(0.5, 0.7)
+        # Rare words stand in the place of those dropped, and around.
+        changed = [w if rng.random() < share else f"q{rng.integers(10**9)}" for w in passage]
+        around = [f"z{rng.integers(10**9)}" for _ in range(12)]
+        docs.append((k, " ".join(texts[k][:200] + around + changed + around[::-1] + texts[k][200:])))
+        planted[k] = passage, changed
+    n, seen = len(docs), collections.Counter(w for _, t in docs for w in set(re.findall("[0-9a-z\x80-\U0010ffff]+", t.lower())))
+    want = set()
+    for k, (passage, changed) in planted.items():
+        weight = np.array([math.log((1 + n) / (1 + seen[w])) + 0.1 for w in passage])
+        tail = max(3, len(passage) // 4)
+        share = ordered_share(passage, weight, np.array(changed))
+        if share >= 0.75 or share >= 0.5 and ordered_share(passage[-tail:], weight[-tail:], np.array(changed)) >= 0.5:
+            want.add((k, k))
+    got = {(r.doc_id, r.item_id) for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    print("leaks", len(want), "missed", len(want - got), "others", len(got - want))
+    assert want <= got and len(want) > 120
+
+
 def test_op7_adds_directions_for_passages_that_the_space_loses():
     from tidemark.llm.decontaminate import places_of
 

@@ -1,17 +1,19 @@
 """Benchmark decontamination by latent semantic retrieval, then common subsequences and answer checks.
 
 Benchmark items are cut into passages. A distributed randomised SVD of the passages' TF-IDF rows, weighted by how many
-documents of the corpus have a term, gives a latent space; windows of every document are folded into it and those near a
-passage by cosine become candidates. The cosine is divided by what the space leaves of the passage, so that a copy is as
-near in a space of few dimensions as in one of many. A candidate is a leak if the passage's words, weighted by rarity, stand in the text
-in order to a large part, its answer (the end of the item) included, or nearly whole.
+documents of the corpus have a term, gives a latent space, to which passages add what it loses of them. Windows of every
+document are folded into it by their counts of words. Their product with a passage's place is then at least the share of
+the passage's weight that a window has in any order, and so at least the share that it has in order: a window below the
+least share of a leak can't be one, and every other is compared. It is a leak if the passage's words, weighted by rarity,
+stand in the window in order to a large part, its answer (the end of the item) included, or nearly whole. Windows are
+SPREAD times as long as the passage, whatever stands around it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +25,13 @@ from tidemark.llm._session import cut, partitions
 from tidemark.runtime import ship
 
 PASSAGE, STRIDE = 64, 48
-WINDOW, STEP = 24, 6
+#: Length of the text that a leak may take, over the passage's; windows are longer by a step, so that none falls between two.
+SPREAD, STEP = 2, 6
 RANK = 256
-#: Least cosine of a candidate; least share of a leak with and without its answer.
-NEAR, SHARE, WHOLE = 0.45, 0.5, 0.75
-#: Least length that the latent space leaves of a passage's unit vector; passages below add a direction of their own.
-LEAST_KEPT = 0.5
+#: Least share of a leak with and without its answer.
+SHARE, WHOLE = 0.5, 0.75
+#: Least length that the latent space leaves of a passage's unit vector; passages below add what it loses.
+LEAST_KEPT = 1 - 1e-9
 #: Passages that go to every task at once; more are searched for in turns.
 TURN = 512
 
@@ -70,6 +73,29 @@ class Index:
     passages: list[np.ndarray]
     places: np.ndarray
 
+    @cached_property
+    def weights(self) -> list[np.ndarray]:
+        """The weight of each word of each passage."""
+        return [self.idf[self._terms_of(words)] for words in self.passages]
+
+    @cached_property
+    def lengths(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(words of a window, its passages, what a word adds to the bound on each one's share), shorter windows first.
+
+        Products are sums over a window's words, so each term's product with each place is taken once; term -1 adds none.
+        """
+        scale = np.array([np.sqrt(((times * self.idf[at]) ** 2).sum()) / w.sum() for (at, times), w in zip(map(self._counted, self.passages), self.weights, strict=True)])
+        sizes = np.array([-(-SPREAD * len(words) // STEP) * STEP + STEP for words in self.passages])
+        out = []
+        for size in np.unique(sizes):
+            some = np.flatnonzero(sizes == size)
+            product = (self.latent @ self.places[some].T) / self.idf[:, None] * scale[some]
+            out.append((int(size), some, np.vstack([product, np.zeros(len(some))]).astype(np.float32)))
+        return out
+
+    def _counted(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(self._terms_of(words), return_counts=True)
+
     def find(self, texts: pa.Array) -> Iterator[list[dict]]:
         for _, buf, ends in C.batches(texts):
             codes, counts = _words(buf, ends)
@@ -80,58 +106,60 @@ class Index:
         return np.where(self.terms[at] == codes, at, -1)
 
     def _leaks(self, codes: np.ndarray, counts: np.ndarray) -> list[list[dict]]:
-        found: list[list[dict]] = [[] for _ in counts]
+        hits: dict[tuple[int, int], list] = {}
         term = self._terms_of(codes)
-        mass = np.where(term >= 0, self.idf[term], self.other) ** 2
-        known = np.concatenate([[0], np.cumsum(np.where(term >= 0, mass, 0))])
-        total = np.concatenate([[0], np.cumsum(mass)])
         last = np.cumsum(counts)
         first = last - counts
-        spans = np.maximum(-(-(counts - WINDOW) // STEP), 0) + (counts > 0)
-        row = np.repeat(np.arange(len(counts)), spans)
-        start = first[row] + STEP * (np.arange(len(row)) - np.repeat(np.cumsum(spans) - spans, spans))
-        end = np.minimum(start + WINDOW, last[row])
-        # The cosine can't exceed the root of the share that the benchmark's terms have of a window.
-        inside, whole = known[end] - known[start], total[end] - total[start]
-        keep = np.flatnonzero(inside >= NEAR**2 * np.maximum(whole, 1e-9))
-        for k in range(0, len(keep), 4096):
-            some = keep[k : k + 4096]
-            cells = start[some][:, None] + np.arange(WINDOW)
-            used = cells < end[some][:, None]
-            ids = np.where(used, term[np.minimum(cells, len(term) - 1)], -1)
-            vectors = np.zeros((len(some), self.latent.shape[1]), np.float32)
-            for j in range(WINDOW):
-                at = np.flatnonzero(ids[:, j] >= 0)
-                vectors[at] += self.latent[ids[at, j]]
-            near = vectors @ self.places.T / np.sqrt(whole[some])[:, None]
-            for w, p in zip(*np.nonzero(near >= NEAR), strict=True):
-                s = some[w]
-                found[row[s]].append((int(p), int(start[s]), int(end[s]), float(near[w, p])))
-        return [self._checked(codes, int(first[r]), int(last[r]), hits) if hits else [] for r, hits in enumerate(found)]
-
-    def _checked(self, codes: np.ndarray, low: int, high: int, hits: list[tuple]) -> list[dict]:
-        out = []
-        for p in sorted({h[0] for h in hits}):
-            words, regions = self.passages[p], []
-            for _, a, b, near in sorted(h for h in hits if h[0] == p):
-                if regions and a <= regions[-1][1] + len(words):
-                    regions[-1] = (regions[-1][0], max(b, regions[-1][1]), max(near, regions[-1][2]))
-                else:
-                    regions.append((a, b, near))
-            best = None
-            weight = self.idf[self._terms_of(words)]
-            for a, b, near in regions:
-                # In pieces, so that many repeats in one text stay cheap; each holds a passage whole.
-                for c in range(a, b, 4 * PASSAGE):
-                    x, y = max(low, c - WINDOW), min(high, min(b, c + 4 * PASSAGE) + PASSAGE)
-                    share = ordered_share(words, weight, codes[x:y])
-                    tail = max(3, len(words) // 4)
-                    answer = ordered_share(words[-tail:], weight[-tail:], codes[x:y])
-                    if (share >= WHOLE or share >= SHARE and answer >= SHARE) and (best is None or share > best["share"]):
-                        best = {"item_id": self.items[p], "part": self.parts[p], "cosine": near, "share": share, "answer": answer, "start": x - low, "end": y - low}
-            if best:
-                out.append(best)
-        return out
+        for size, some, adds in self.lengths:
+            spans = np.maximum(-(-(counts - size) // STEP), 0) + (counts > 0)
+            row = np.repeat(np.arange(len(counts)), spans)
+            start = first[row] + STEP * (np.arange(len(row)) - np.repeat(np.cumsum(spans) - spans, spans))
+            end = np.minimum(start + size, last[row])
+            for k in range(0, len(row), 1024):
+                a, b = start[k : k + 1024], end[k : k + 1024]
+                low = int(a[0])
+                sums = np.zeros((int(b.max()) - low + 1, len(some)))
+                np.cumsum(adds[term[low : low + len(sums) - 1]], axis=0, out=sums[1:])
+                near = sums[b - low] - sums[a - low]
+                # A thousandth for the rounding of sums and places.
+                for w, p in zip(*np.nonzero(near >= SHARE - 1e-3), strict=True):
+                    hits.setdefault((int(row[k + w]), int(some[p])), []).append((int(a[w]), int(b[w])))
+        found: list[list[dict]] = [[] for _ in counts]
+        for (r, p), windows in sorted(hits.items()):
+            if best := self._checked(codes, term, p, windows):
+                begin, end = best.pop("start"), best.pop("end")
+                found[r].append({"item_id": self.items[p], "part": self.parts[p], **best, "start": begin - int(first[r]), "end": end - int(first[r])})
+        return found
+
+    def _checked(self, codes: np.ndarray, term: np.ndarray, p: int, windows: list[tuple[int, int]]) -> dict | None:
+        """The window that has most of a passage in order, if it is a leak."""
+        words, weight = self.passages[p], self.weights[p]
+        kinds, times = self._counted(words)
+        tail = max(3, len(words) // 4)
+        a, b = np.array(windows).T
+        # The product counts a word that both repeat too often; the lesser of the two counts is a bound as well.
+        slot = np.full(len(self.terms) + 1, len(kinds))
+        slot[kinds] = np.arange(len(kinds))
+        here = np.stack([np.bincount(slot[term[x:y]], minlength=len(kinds) + 1)[: len(kinds)] for x, y in windows])
+        bound = np.minimum(here, times) @ self.idf[kinds] / weight.sum()
+        order = np.argsort(-bound, kind="stable")
+        best = None
+        for k in order[bound[order] >= SHARE - 1e-9].tolist():
+            if best and bound[k] <= best["share"] + 1e-9:
+                break
+            text = codes[a[k] : b[k]]
+            share = ordered_share(words, weight, text)
+            if share < SHARE or best and share <= best["share"]:
+                continue
+            answer = ordered_share(words[-tail:], weight[-tail:], text)
+            if share >= WHOLE or answer >= SHARE:
+                best = {"cosine": self._cosine(p, term[a[k] : b[k]]), "share": share, "answer": answer, "start": int(a[k]), "end": int(b[k])}
+        return best
+
+    def _cosine(self, p: int, term: np.ndarray) -> float:
+        at, times = np.unique(term[term >= 0], return_counts=True)
+        mass = ((times * self.idf[at]) ** 2).sum() + (term < 0).sum() * self.other**2
+        return float(times @ self.latent[at] @ self.places[p] / np.sqrt(mass))
 
 
 def ordered_share(words: np.ndarray, weight: np.ndarray, text: np.ndarray) -> float:
@@ -213,7 +241,7 @@ def _vectors(codes: list[np.ndarray], terms: np.ndarray, idf: np.ndarray) -> lis
 
 
 def places_of(vectors: list[tuple[np.ndarray, np.ndarray]], basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(basis, places): the basis with directions for passages that it hardly holds, and each passage's place in it.
+    """(basis, places): the basis with directions for what it loses of passages, and each passage's place in it.
 
     A place is as long as makes a passage's own product with it one.
     """
@@ -225,7 +253,9 @@ def places_of(vectors: list[tuple[np.ndarray, np.ndarray]], basis: np.ndarray) -
         for k, p in enumerate(lost):
             at, x = vectors[p]
             rest[at, k] = x
-        basis = np.hstack([basis, np.linalg.qr(rest - basis @ (basis.T @ rest))[0]])
+        # What they lose may have fewer dimensions than there are passages.
+        more, size, _ = np.linalg.svd(rest - basis @ (basis.T @ rest), full_matrices=False)
+        basis = np.hstack([basis, more[:, size > 1e-7]])
         places = projected()
     return basis, places / np.maximum((places * places).sum(axis=1, keepdims=True), 1e-9)
 
@@ -269,7 +299,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """A row for each benchmark passage that a document leaks: doc_id, item_id, part, cosine, share, answer, start, end.
 
     share and answer are the weights of the passage's, and of its last quarter's, words that the document has in order;
-    start and end are the words of the document that were compared. A null or empty text, or an item without words, leaks
+    start and end are the words of the document that were compared, at most twice the passage and two steps. A null or empty text, or an item without words, leaks
     nothing; equal ids are searched apart; empty tables give none; other columns are not read.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
