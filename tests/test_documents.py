@@ -76,3 +76,16 @@ def test_topic_cycles(spark):
     assert {r.id for r in topics.cycles(rows, 5).collect()} == {"a", "b", "c"}
     fine = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b")], "id string, parent_id string")
     assert {tuple(r) for r in topics.closure(fine).collect()} == {("a", "a", 0), ("b", "b", 0), ("c", "c", 0), ("a", "b", 1), ("b", "c", 1), ("a", "c", 2)}
+
+
+def test_a_feed_holds_no_more_than_the_entries_that_count(spark, tmp_path):
+    from tidemark.plans import ENTRIES
+    from tidemark.plans.service_queries import _feed_xml
+
+    rows = [(k, "text", "en", "one" if k % 300 else "two", 4) for k in range(900)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    xml = {r.feed_id: r.xml for r in _feed_xml(spark, str(tmp_path)).collect()}
+    assert {k: x.count("<item>") for k, x in xml.items()} == {"one": 100, "two": 3}
+    first = sorted(f"<item><guid>{k}</guid>" for k in range(900) if k % 300)[:100]
+    keys = {r.entry_key for r in ENTRIES["c2_feed_entries"].run(spark, str(tmp_path)).filter("feed_id = 'one'").collect()}
+    assert keys == {x[12:-7] for x in first}

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions import text as X
 from tidemark.functions import urls as U
@@ -246,9 +247,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _feed_xml(spark: SparkSession, d: str) -> DataFrame:
-    """An RSS feed for each source, made of its documents."""
+    """An RSS feed for each source, made of the first of its documents, as many as count; each task keeps as many a source."""
     item = F.concat(F.lit("<item><guid>"), F.col("doc_id").cast("string"), F.lit("</guid><link>https://example.org/"), F.col("doc_id").cast("string"), F.lit("</link><title>"), F.col("lang"), F.lit("</title></item>"))
-    rows = table(spark, d, "documents").groupBy("source").agg(F.array_join(F.array_sort(F.collect_list(item)), "").alias("items"))
+    first = Window.partitionBy("source").orderBy("item")
+    short = table(spark, d, "documents").select("source", item.alias("item")).filter("item IS NOT NULL").withColumn("n", F.row_number().over(first)).filter(F.col("n") <= feeds.MOST_ENTRIES)
+    rows = short.groupBy("source").agg(F.array_join(F.array_sort(F.collect_list("item")), "").alias("items"))
     return rows.select(F.col("source").alias("feed_id"), F.concat(F.lit('<rss version="2.0"><channel><title>'), F.col("source"), F.lit("</title>"), F.col("items"), F.lit("</channel></rss>")).alias("xml"))
 
 
