@@ -269,6 +269,19 @@ def test_op9_lm_score(spark, data, texts):
         assert r.n_words == len(w) and abs(r.log_score - want) < 1e-3
 
 
+def test_op9_adds_up_beyond_32_bits():
+    import pyarrow as pa
+
+    from tidemark.llm import lm_score
+
+    keys = np.array([7, 9], np.uint64)
+    near, packed = lm_score._packed(keys)
+    sent = [(0, c, near, packed, lm_score._planes(np.array([3 * 10**9, 2]))) for c in range(4)]
+    out = lm_score._add_up(pa.table([pa.array(c, f.type) for c, f in zip(zip(*sent, strict=True), lm_score._SENT, strict=True)], schema=lm_score._SENT))
+    for planes in out["counts"].to_pylist():
+        assert lm_score._numbers(np.frombuffer(planes, np.uint8)).tolist() == [12 * 10**9, 8]
+
+
 def without_earlier(texts, n=100):
     seen, out = set(), {}
     for i, t in sorted(texts.items()):

@@ -53,12 +53,16 @@ def _spots(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _planes(numbers: np.ndarray) -> bytes:
-    """32-bit numbers byte by byte, so that the high bytes, mostly zero, compress to nothing."""
-    return np.ascontiguousarray(numbers.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
+    """64-bit numbers byte by byte, after how many of their bytes the largest fills; high bytes are mostly zero and compress."""
+    width = max(1, -(-int(numbers.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + np.ascontiguousarray(numbers.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
 def _numbers(planes: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel()
+    width = int(planes[0])
+    out = np.zeros(((len(planes) - 1) // width, 8), np.uint8)
+    out[:, :width] = planes[1:].reshape(width, -1).T
+    return out.view(np.uint64).ravel()
 
 
 def _packed(keys: np.ndarray) -> tuple[bool, bytes]:
@@ -118,7 +122,7 @@ def _add_up(table: pa.Table) -> pa.Table:
     keys = np.concatenate(each)
     counts = np.concatenate([_numbers(x) for x in C.unpack(table["counts"], np.uint8)])
     _, which = np.unique(keys, return_inverse=True)
-    totals = np.minimum(np.bincount(which, weights=counts)[which], 2**32 - 1).astype(np.uint32)
+    totals = np.bincount(which, weights=counts)[which].astype(np.uint64)
     edges = np.cumsum([0, *map(len, each)])
     packed = [_planes(totals[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
     return pa.table([table["chunk"], table["bucket"], pa.array(packed, pa.binary())], schema=_TOTALS)
