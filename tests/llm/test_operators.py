@@ -97,6 +97,18 @@ def test_op3_ann(spark, data):
     assert found >= 0.9 * best.size and len(rows) == best.size
 
 
+def test_op3_gives_isolated_queries_all_their_rows(spark):
+    from tidemark.llm.ann import nearest
+
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((30, 32))
+    # Near copies in clusters; every query stands alone.
+    rows = [(i, (rng.standard_normal(32) if i % 50 == 0 else centres[i % 30] + 1e-3 * rng.standard_normal(32)).tolist()) for i in range(2000)]
+    found = collections.Counter(r.query_id for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    print("short of rows", sum(found[q] < 5 for q in range(0, 2000, 50)))
+    assert all(found[q] == 5 for q in range(0, 2000, 50))
+
+
 def test_op4_quality(spark):
     folder = "/root/testdata/sf0.01"
     rows = QUERIES["op4_quality"](spark, folder).toPandas()

@@ -4,12 +4,12 @@ Unit vectors are centred and turned by rotations that iterative quantisation lea
 the code. Codes are split into substrings of a byte, each with its own table. By the pigeonhole principle a code within
 ``radius`` of a query agrees with it up to ``radius // substrings`` bits on at least one substring, so probing every
 table that far retrieves every such code; those are ranked again by their exact cosines. The radius is the one that holds
-the true neighbours of the sample. The query set meets the rows in blocks, each with its own tables.
+the true neighbours of the sample; queries that find too few rows within it are asked again with a wider one. The query set meets the rows in blocks, each with its own tables.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -127,7 +127,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, sample: int = SAMPL
     A row's own id is no candidate of it; ties go to the smaller id. Rows with a null id, and vectors that are null,
     empty or zero, hold null or non-finite numbers or have another length than most, take no part. Rows that share a
     vector are searched once; of each vector the k + 1 smallest ids can be among the results. A query with fewer
-    candidates in reach than k gets those; an empty table gives none. The codes are fitted on ``sample`` vectors at most.
+    than k candidates in reach is searched again further out, and alone gets fewer where the table holds no more; an empty table gives none. The codes are fitted on ``sample`` vectors at most.
     """
     n = partitions(vectors.sparkSession)
     vector = F.transform(F.col(vector_col), lambda v: v.cast("double"))
@@ -145,15 +145,33 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, sample: int = SAMPL
     codes = learn_codes(_matrix(drawn["vector"]), k)
     asking = keyed.filter(F.col("vec_id") % every == 0)
     queries = asking.groupBy("key", "vector").agg(F.min("vec_id").alias("query"))
-    rows, asked = distinct.count(), asking.count()
-    blocks, query_blocks = -(-rows // BLOCK), max(1, -(-asked // QUERY_BLOCK))
-    across = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    left = distinct.select("ids", "vector", F.pmod("key", F.lit(blocks)).cast("int").alias("block"), across(query_blocks).alias("query_block"))
-    right = queries.select("query", F.col("vector").alias("asked"), across(blocks).alias("block"), F.pmod(F.xxhash64("query"), F.lit(query_blocks)).cast("int").alias("query_block"))
-    pairs = left.repartition(n, "block", "query_block").groupBy("block", "query_block").cogroup(right.groupBy("block", "query_block"))
-    found = pairs.applyInArrow(_search(codes, k), "query long, ids array<long>, score double")
+    blocks, across = -(-distinct.count() // BLOCK), lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     best = Window.partitionBy("query").orderBy(F.desc("score"), F.col("ids")[0])
-    short = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).drop("n")
+
+    def probe(queries: DataFrame, asked: int, codes: Codes) -> DataFrame:
+        """The k + 1 best rows of each query within the radius."""
+        query_blocks = max(1, -(-asked // QUERY_BLOCK))
+        left = distinct.select("ids", "vector", F.pmod("key", F.lit(blocks)).cast("int").alias("block"), across(query_blocks).alias("query_block"))
+        right = queries.select("query", F.col("vector").alias("asked"), across(blocks).alias("block"), F.pmod(F.xxhash64("query"), F.lit(query_blocks)).cast("int").alias("query_block"))
+        pairs = left.repartition(n, "block", "query_block").groupBy("block", "query_block").cogroup(right.groupBy("block", "query_block"))
+        found = pairs.applyInArrow(_search(codes, k), "query long, ids array<long>, score double")
+        return cut(found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).drop("n"))
+
+    bits, step = codes.turn.shape[1], -(-codes.turn.shape[1] // 8)
+    short, open_, asked = None, queries, asking.count()
+    while asked:
+        found = probe(open_, asked, codes)
+        # Those with too few rows in reach are asked again, further out, until all bits may differ.
+        enough = found.groupBy("query").agg(F.sum(F.size("ids")).alias("n")).filter(F.col("n") >= k + 1).select("query")
+        last_round = codes.radius >= bits
+        settled = found if last_round else found.join(enough, "query", "left_semi")
+        short = settled if short is None else short.unionByName(settled)
+        if last_round:
+            break
+        open_ = cut(open_.join(enough, "query", "left_anti"))
+        asked, codes, step = open_.count(), replace(codes, radius=min(bits, codes.radius + step)), 2 * step
+    if short is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     # Back from distinct query vectors to the query rows; a query's own id then drops out.
     named = asking.select("vec_id", "key", "vector").dropDuplicates(["vec_id", "key"]).join(queries, ["key", "vector"]).select(F.col("vec_id").alias("query_id"), "query")
     each = named.join(short, "query").select("query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id != query_id")
