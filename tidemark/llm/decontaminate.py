@@ -30,6 +30,8 @@ SPREAD, STEP = 2, 6
 RANK = 256
 #: Least share of a leak with and without its answer.
 SHARE, WHOLE = 0.5, 0.75
+#: Least share of a leak in the passage's rarest terms; windows below it aren't folded into the space.
+RARE = 0.2
 #: Least length that the latent space leaves of a passage's unit vector; passages below add what it loses.
 LEAST_KEPT = 1 - 1e-9
 #: Passages that go to every task at once; more are searched for in turns.
@@ -79,19 +81,35 @@ class Index:
         return [self.idf[self._terms_of(words)] for words in self.passages]
 
     @cached_property
-    def lengths(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """(words of a window, its passages, what a word adds to the bound on each one's share), shorter windows first.
+    def sizes(self) -> np.ndarray:
+        """Words of the windows that each passage is looked for in."""
+        return np.array([-(-SPREAD * len(words) // STEP) * STEP + STEP for words in self.passages])
 
-        Products are sums over a window's words, so each term's product with each place is taken once; term -1 adds none.
+    @cached_property
+    def scale(self) -> np.ndarray:
+        """What turns a window's product with each place into a bound on its share."""
+        return np.array([np.sqrt(((times * self.idf[at]) ** 2).sum()) / w.sum() for (at, times), w in zip(map(self._counted, self.passages), self.weights, strict=True)])
+
+    @cached_property
+    def rare(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Which passages want each term: (first entry and number of entries by term, passage and share by entry, least sum by passage).
+
+        A passage wants its rarest terms, so many that the others are worth less than SHARE - RARE of it: a window with
+        SHARE of the passage then has RARE of it or more in wanted terms.
         """
-        scale = np.array([np.sqrt(((times * self.idf[at]) ** 2).sum()) / w.sum() for (at, times), w in zip(map(self._counted, self.passages), self.weights, strict=True)])
-        sizes = np.array([-(-SPREAD * len(words) // STEP) * STEP + STEP for words in self.passages])
-        out = []
-        for size in np.unique(sizes):
-            some = np.flatnonzero(sizes == size)
-            product = (self.latent @ self.places[some].T) / self.idf[:, None] * scale[some]
-            out.append((int(size), some, np.vstack([product, np.zeros(len(some))]).astype(np.float32)))
-        return out
+        rows, least = [], np.zeros(len(self.passages))
+        for p, (words, w) in enumerate(zip(self.passages, self.weights, strict=True)):
+            kinds, times = self._counted(words)
+            order = np.argsort(-self.idf[kinds], kind="stable")
+            worth = (times * self.idf[kinds])[order] / w.sum()
+            enough = int(np.searchsorted(np.cumsum(worth), 1 - (SHARE - RARE))) + 1
+            least[p] = SHARE - worth[enough:].sum()
+            rows += [(int(t), p, float(self.idf[t] / w.sum())) for t in kinds[order][:enough]]
+        rows.sort()
+        term, passage, share = (np.array(x) for x in zip(*rows, strict=True))
+        edges = np.searchsorted(term, np.arange(len(self.terms) + 1))
+        # Term -1, a word of no passage, is wanted by none.
+        return np.append(edges[:-1], 0), np.append(np.diff(edges), 0), passage, share, least
 
     def _counted(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.unique(self._terms_of(words), return_counts=True)
@@ -105,32 +123,61 @@ class Index:
         at = np.minimum(np.searchsorted(self.terms, codes), len(self.terms) - 1)
         return np.where(self.terms[at] == codes, at, -1)
 
+    def _reached(self, term: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(row, passage, window starts in the row) of the windows that have enough of the terms that the passage wants."""
+        opens, listed, passage, share, least = self.rare
+        last = np.cumsum(counts)
+        at = np.flatnonzero(listed[term])
+        many = listed[term[at]]
+        place = np.repeat(at, many)
+        entry = opens[term[place]] + np.arange(len(place)) - np.repeat(np.cumsum(many) - many, many)
+        of, row = passage[entry], np.searchsorted(last, place, side="right")
+        # Words by row and passage; what stands within a window's length from each on is a sum over its successors.
+        far = len(term) + int(self.sizes.max()) + 1
+        pair = row * len(self.passages) + of
+        order = np.argsort(pair * far + place, kind="stable")
+        pair, place, of, row = pair[order], place[order], of[order], row[order]
+        sums = np.concatenate([[0.0], np.cumsum(share[entry][order])])
+        key = pair * far + place
+        until = np.searchsorted(key, key + self.sizes[of])
+        first = np.flatnonzero(sums[until] - sums[np.arange(len(key))] >= least[of] - 1e-6)
+        if not len(first):
+            return
+        pair, of, row, here = pair[first], of[first], row[first], place[first] - (last - counts)[row[first]]
+        # The windows, STEP apart, that hold the word.
+        most = np.maximum(-(-(counts[row] - self.sizes[of]) // STEP), 0)
+        low = np.clip(-(-(here - self.sizes[of] + 1) // STEP), 0, most)
+        spans = np.minimum(here // STEP, most) - low + 1
+        number = np.repeat(low, spans) + np.arange(spans.sum()) - np.repeat(np.cumsum(spans) - spans, spans)
+        windows = np.unique(np.repeat(pair, spans) * far + number)
+        pair, number = windows // far, windows % far
+        for group in np.split(np.arange(len(pair)), np.flatnonzero(np.diff(pair)) + 1):
+            yield *map(int, divmod(pair[group[0]], len(self.passages))), number[group] * STEP
+
     def _leaks(self, codes: np.ndarray, counts: np.ndarray) -> list[list[dict]]:
-        hits: dict[tuple[int, int], list] = {}
         term = self._terms_of(codes)
         last = np.cumsum(counts)
-        first = last - counts
-        for size, some, adds in self.lengths:
-            spans = np.maximum(-(-(counts - size) // STEP), 0) + (counts > 0)
-            row = np.repeat(np.arange(len(counts)), spans)
-            start = first[row] + STEP * (np.arange(len(row)) - np.repeat(np.cumsum(spans) - spans, spans))
-            end = np.minimum(start + size, last[row])
-            for k in range(0, len(row), 1024):
-                a, b = start[k : k + 1024], end[k : k + 1024]
-                low = int(a[0])
-                sums = np.zeros((int(b.max()) - low + 1, len(some)))
-                np.cumsum(adds[term[low : low + len(sums) - 1]], axis=0, out=sums[1:])
-                near = sums[b - low] - sums[a - low]
-                # A thousandth for the rounding of sums and places.
-                for w, p in zip(*np.nonzero(near >= SHARE - 1e-3), strict=True):
-                    hits.setdefault((int(row[k + w]), int(some[p])), []).append((int(a[w]), int(b[w])))
         found: list[list[dict]] = [[] for _ in counts]
-        for (r, p), windows in sorted(hits.items()):
-            if best := self._checked(codes, term, p, windows):
-                begin, end = best.pop("start"), best.pop("end")
-                found[r].append({"item_id": self.items[p], "part": self.parts[p], **best, "start": begin - int(first[r]), "end": end - int(first[r])})
+        for r, p, starts in self._reached(term, counts):
+            begin = int(last[r] - counts[r])
+            a = begin + starts
+            b = np.minimum(a + self.sizes[p], last[r])
+            near = self._products(p, term, a, b)
+            # A thousandth for the rounding of sums and places.
+            windows = [(int(x), int(y)) for x, y in zip(a[near >= SHARE - 1e-3], b[near >= SHARE - 1e-3], strict=True)]
+            if windows and (best := self._checked(codes, term, p, windows)):
+                start, end = best.pop("start"), best.pop("end")
+                found[r].append({"item_id": self.items[p], "part": self.parts[p], **best, "start": start - begin, "end": end - begin})
         return found
 
+    def _products(self, p: int, term: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The bounds on the share that windows from a to b have of a passage: their places' products with its place."""
+        low = int(a[0])
+        here = term[low : int(b[-1])]
+        adds = np.where(here >= 0, (self.latent[here] @ self.places[p]) / self.idf[here] * self.scale[p], 0)
+        sums = np.concatenate([[0.0], np.cumsum(adds)])
+        return sums[b - low] - sums[a - low]
+
     def _checked(self, codes: np.ndarray, term: np.ndarray, p: int, windows: list[tuple[int, int]]) -> dict | None:
         """The window that has most of a passage in order, if it is a leak."""
         words, weight = self.passages[p], self.weights[p]
@@ -260,12 +307,16 @@ def places_of(vectors: list[tuple[np.ndarray, np.ndarray]], basis: np.ndarray) -
     return basis, places / np.maximum((places * places).sum(axis=1, keepdims=True), 1e-9)
 
 
-def _indexes(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str) -> list[Index]:
+def _indexes(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator[tuple[Index, bool]]:
+    """The indexes of the benchmark's passages, TURN at a time, and whether others follow; one is in the driver at once.
+
+    How passages fall into turns changes no result: a term's weight is that of all documents, and each space holds its
+    passages whole.
+    """
     ship(docs.sparkSession)
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
     passages = cut(items.mapInArrow(_cut_passages, "item_id long, part int, codes binary"))
     turns = max(1, -(-passages.count() // TURN))
-    out = []
     for turn in range(turns):
         own = passages.filter(F.pmod(F.xxhash64("item_id", "part", "codes"), F.lit(turns)) == turn)
         rows = own.toArrow()
@@ -277,8 +328,7 @@ def _indexes(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col
         idf = np.log((1 + n) / (1 + counts)) + 0.1
         basis, places = places_of(_vectors(codes, terms, idf), randomised_svd(own, terms, idf, RANK))
         latent = (idf[:, None] * basis).astype(np.float32)
-        out.append(Index(terms, idf, latent, float(np.median(idf)), rows["item_id"].to_pylist(), rows["part"].to_pylist(), codes, places.astype(np.float32)))
-    return out
+        yield Index(terms, idf, latent, float(np.log1p(n)) / 2, rows["item_id"].to_pylist(), rows["part"].to_pylist(), codes, places.astype(np.float32)), turn < turns - 1
 
 
 _LEAKS_DDL = "array<struct<item_id long, part int, cosine double, share double, answer double, start int, end int>>"
@@ -303,11 +353,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     nothing; equal ids are searched apart; empty tables give none; other columns are not read.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = [own.select("doc_id", F.explode(_leaks(F.col("text"), index)).alias("m")).select("doc_id", "m.*") for index in _indexes(own, benchmark, item_col, item_text_col)]
+    found = []
+    for index, more in _indexes(own, benchmark, item_col, item_text_col):
+        part = own.select("doc_id", F.explode(_leaks(F.col("text"), index)).alias("m")).select("doc_id", "m.*")
+        found.append(cut(part) if more else part)
     return reduce(DataFrame.unionByName, found) if found else own.sparkSession.createDataFrame([], "doc_id long, item_id long, part int, cosine double, share double, answer double, start int, end int")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs that leak no passage, with their own columns."""
     own = docs.select(F.col(text_col).alias("text"))
-    return reduce(lambda d, index: d.filter(F.size(_leaks(F.col(text_col), index)) == 0), _indexes(own, benchmark, item_col, item_text_col), docs)
+    for index, more in _indexes(own, benchmark, item_col, item_text_col):
+        clean = docs.filter(F.size(_leaks(F.col(text_col), index)) == 0)
+        docs = cut(clean) if more else clean
+    return docs
