@@ -64,9 +64,10 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int
 
     Returns, for each row of docs, doc_id, source, size, source_size, target, copies and taken (size times copies). No
     document gets more than ``most`` copies. A null or empty text has size 0 and is taken for nothing; null is a source of
-    its own, the last; rows that share id and text share their draw; an empty table gives none.
+    its own, the last; rows that share id and text share their draw, but each is taken by itself; ties of rank go by id
+    and text; an empty table gives none. Other columns are not read, whatever their names.
     """
-    own = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words_in(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("mark")))
+    own = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words_in(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("mark"), F.monotonically_increasing_id().alias("row")))
     targets = cut(source_targets(own.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
     return _draw(own, targets, most, seed)
 
@@ -80,7 +81,7 @@ def _draw(own: DataFrame, targets: DataFrame, most: int, seed: int) -> DataFrame
     # A text that is long against what is left would overshoot: its chance falls with its length.
     chance = F.least(F.greatest(part * F.least(F.lit(1.0), left / F.greatest(F.col("size"), F.lit(1))), F.lit(1e-9)), F.lit(1 - 1e-9))
     open_ = (part > 0) & (F.col("size") > 0) & (sure < most)
-    ranked = cut(pair.select("doc_id", "mark", "source", "size", "source_size", "target", sure.alias("sure"), left.alias("left"), F.when(open_, _pareto_rank(seed, chance)).alias("rank")))
+    ranked = cut(pair.select("doc_id", "mark", "row", "source", "size", "source_size", "target", sure.alias("sure"), left.alias("left"), F.when(open_, _pareto_rank(seed, chance)).alias("rank")))
     return _take(ranked)
 
 
@@ -104,15 +105,15 @@ def _take(ranked: DataFrame) -> DataFrame:
     keyed = binned.join(edges, binned.source.eqNullSafe(edges.edge_source), "left")
     below = F.col("rank").isNotNull() & (F.col("edge").isNull() | (F.col("fine") < F.col("edge")))
     clear = keyed.filter("NOT fine <=> edge OR edge IS NULL").withColumn("extra", below)
-    order = Window.partitionBy("source", "fine").orderBy("rank", "doc_id", "mark").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("source", "fine").orderBy("rank", "doc_id", "mark", "row").rowsBetween(Window.unboundedPreceding, 0)
     close = keyed.filter("fine = edge").withColumn("extra", F.col("base") + F.sum("size").over(order) <= F.col("left"))
     drawn = cut(clear.unionByName(close).select(*ranked.columns, "extra"))
     # What the row that would cross the target leaves open goes to the one row that fits it best, if any brings it nearer.
     gaps = drawn.groupBy("source").agg((F.max("left") - F.coalesce(F.sum(F.when(F.col("extra"), F.col("size"))), F.lit(0))).alias("gap")).withColumnRenamed("source", "gap_source")
     fits = drawn.filter("rank IS NOT NULL AND NOT extra").join(gaps, drawn.source.eqNullSafe(gaps.gap_source))
     miss = F.abs(F.col("size") - F.col("gap"))
-    best = fits.filter(miss < F.col("gap")).groupBy("gap_source").agg(F.min_by(F.struct("doc_id", "mark"), F.struct(miss, "rank", "doc_id", "mark")).alias("fit"))
-    last = drawn.source.eqNullSafe(best.gap_source) & drawn.doc_id.eqNullSafe(F.col("fit.doc_id")) & drawn.mark.eqNullSafe(F.col("fit.mark"))
+    best = fits.filter(miss < F.col("gap")).groupBy("gap_source").agg(F.min_by("row", F.struct(miss, "rank", "doc_id", "mark", "row")).alias("fit"))
+    last = drawn.row == best.fit
     extra = F.coalesce(F.col("extra"), F.lit(False)) | F.col("gap_source").isNotNull()
     copies = F.when(F.col("size") > 0, F.col("sure") + extra.cast("int")).otherwise(0)
     return drawn.join(best, last, "left").select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
