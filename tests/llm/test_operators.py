@@ -351,3 +351,26 @@ def test_pipeline_against_its_stages(spark):
     rows = {r.doc_id: r for r in corpus_pipeline.run(spark, folder).collect()}
     assert set(rows) == set(texts) - leaks
     assert all(r["size"] == len(texts[i].split()) for i, r in rows.items())
+
+
+def test_op8_takes_equal_rows_one_by_one(spark):
+    from tidemark.llm.mixing import mix_sources
+
+    rows = [(k, f"s{k} " + "word " * 99, "a") for k in range(100)] + [(999, "same " * 70, "a")] * 30 + [(k, "other " * 40, "b") for k in range(1000, 1250)] + [(k, "third " * 40, "c") for k in range(2000, 2100)]
+    mixed = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)).collect()
+    assert len(mixed) == len(rows)
+    for source in "abc":
+        own = [r for r in mixed if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 100 and all(0 <= r.copies <= 3 for r in own)
+
+
+def test_one_of_each_group_stays_whatever_repeats(spark):
+    from tidemark.llm.simhash import keep_one_of_each
+
+    text = " ".join(f"w{k}" for k in range(300))
+    rows = [(7, text + " end", "x"), (7, text, "y"), (7, text, "y"), (None, text, "z"), (9, text, "q"), (11, "something else", None), (11, "something else", None), (None, None, "n"), (12, " ", "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `row` string").repartition(3)
+    kept = keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [7, 11, 12]
+    assert keep_one_of_each(docs, crowd=2).count() == 3

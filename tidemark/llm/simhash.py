@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import _columnar as C
 from tidemark.llm._session import cut, partitions
-from tidemark.llm.components import components
+from tidemark.llm.components import components, join_spread
 from tidemark.runtime import ship
 
 DISTANCE = 3
@@ -58,7 +58,9 @@ def simhash(text: Column | str, size: int = 3) -> Column:
     @F.arrow_udf("long")
     def fingerprints(texts: pa.Array) -> pa.Array:
         values = (_fingerprint(t.as_buffer().to_pybytes(), size) for t in C.binary(texts))
-        return pa.array(np.fromiter(values, np.uint64, len(texts)).view(np.int64))
+        out = pa.array(np.fromiter(values, np.uint64, len(texts)).view(np.int64))
+        C.release()
+        return out
 
     return fingerprints(text if isinstance(text, Column) else F.col(text))
 
@@ -148,26 +150,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs: a row per document. Fingerprints link at three or fewer differing bits. Returns, for each row of docs, doc_id,
     fingerprint (a long), root (the group's smallest fingerprint as a signed number) and component_id (the smallest
     doc_id in the group). A null text has fingerprint zero and links like any other; equal ids stay rows of their own;
-    a group whose ids are all null has a null component_id; an empty table gives none. Other columns are not read.
+    a group whose ids are all null has a null component_id; an empty table gives none. Texts may be as long as a cell;
+    other columns are not read, whatever their names.
     """
     own = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), simhash(F.col(text_col)).alias("fingerprint")))
-    prints = cut(own.groupBy("fingerprint").agg(F.min("doc_id").alias("first")))
+    prints = cut(own.groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    rooted = _rooted(prints, crowd)
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    named = join_spread(rooted.select("fingerprint", "root", F.col("n").alias("rows")), least, "root", prints.count())
+    named = cut(named.withColumnRenamed("rows", "n"))
+    return join_spread(own, named, "fingerprint", own.count()).select("doc_id", "fingerprint", "root", "component_id")
+
+
+def _rooted(prints: DataFrame, crowd: int) -> DataFrame:
+    """prints with root, the smallest fingerprint of the group; cut, since several steps read it."""
     grouped = near_duplicate_groups(prints.select("fingerprint"), crowd)
-    rooted = prints.join(grouped, prints.fingerprint == grouped.vertex, "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fingerprint", "root", "component_id")
-    return own.join(named, "fingerprint").select("doc_id", "fingerprint", "root", "component_id")
+    return cut(prints.join(grouped, prints.fingerprint == grouped.vertex, "left").drop("vertex").withColumn("root", F.coalesce("root", "fingerprint")))
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of near-duplicates: the one with the smallest id (rows without id come last)."""
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
+    """docs with one row of each group of near-duplicates: the one with the smallest id, with its own columns.
+
+    Null and empty texts, and texts of white space, are one group (fingerprint zero). Rows without id come last; of rows
+    that share the smallest id the one with the smallest hash of its text stays, and of rows that share id and text any
+    one. Texts may be as long as a cell; columns may have any name; an empty table gives none.
+    """
     names = docs.columns
-    marked = docs.withColumn("__print", simhash(F.col(text_col)))
-    prints = cut(marked.select("__print", F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("id")).alias("place")).groupBy("__print").agg(F.min("place").alias("place")).withColumnRenamed("__print", "fingerprint"))
-    grouped = near_duplicate_groups(prints.select("fingerprint"))
-    rooted = prints.join(grouped, prints.fingerprint == grouped.vertex, "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    best = rooted.groupBy("root").agg(F.min_by("fingerprint", F.struct("place", "fingerprint")).alias("__print"), F.min("place").alias("place"))
-    chosen = best.select("__print", F.col("place.id").alias("__id"))
-    kept = marked.join(chosen, "__print").filter(F.col(id_col).cast("long").eqNullSafe(F.col("__id")))
-    # Rows that share id and fingerprint are copies; one of them stays.
-    return kept.dropDuplicates(["__print"]).select(*names)
+    identity = (F.col(id_col).isNull().alias("none"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.xxhash64(text_col).alias("mark"))
+    own = docs.select(*identity, simhash(F.col(text_col)).alias("fingerprint"))
+    # The groups are settled on ids and fingerprints alone; texts are moved once, copies of a row having been dropped.
+    prints = cut(own.groupBy("fingerprint").agg(F.min(F.struct("none", "id", "mark")).alias("place")))
+    chosen = _rooted(prints, crowd).groupBy("root").agg(F.min("place").alias("place")).select("place.*")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), *identity).dropDuplicates(["none", "id", "mark"])
+    return rows.join(chosen, ["none", "id", "mark"], "left_semi").select("row.*")
