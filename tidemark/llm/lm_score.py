@@ -87,20 +87,30 @@ def _unpacked(near: bool, data: np.ndarray) -> np.ndarray:
 
 
 def _distinct(grams: list[np.ndarray], counts: np.ndarray, buckets: int):
-    """Distinct n-grams of a chunk by bucket, how often each occurs, and which one stands at each word by n."""
-    full = []
-    for n, hashes in enumerate(grams, 1):
-        # At a row's start the n-gram is the shorter one that stands there already.
-        full.append(_spots(hashes, buckets))
+    """Distinct n-grams of a chunk by bucket, how often each occurs, and which one stands at each word by n.
+
+    Takes grams apart as it goes, so that no more than one length of n-gram is sorted at a time.
+    """
     words = int(counts.sum())
-    every = np.concatenate([*full, _spots(np.array([_ANY]), buckets)])
-    spots, which, times = np.unique(every, return_inverse=True, return_counts=True)
     place = np.arange(words) - np.repeat(np.cumsum(counts) - counts, counts)
-    for n in range(2, len(grams) + 1):
-        short = which[(n - 1) * words : n * words][place < n - 1]
-        times -= np.bincount(short, minlength=len(times))
-    times[which[-1]] = words
-    return spots, times, which[:-1].reshape(len(grams), words), which[-1], place
+    spots, times, which, before = [], [], [], 0
+    for n in range(len(grams)):
+        # At a row's start the n-gram is the shorter one that stands there already.
+        whole = np.flatnonzero(place >= n)
+        kinds, back, often = np.unique(_spots(grams[n][whole], buckets), return_inverse=True, return_counts=True)
+        grams[n] = None
+        at = which[-1].copy() if n else np.zeros(words, np.int32)
+        at[whole] = back + before
+        before += len(kinds)
+        spots.append(kinds)
+        times.append(often)
+        which.append(at)
+    every = np.concatenate([*spots, _spots(np.array([_ANY]), buckets)])
+    times = np.concatenate([*times, [words]])
+    order = np.argsort(every, kind="stable")
+    rank = np.empty(len(every), np.int32)
+    rank[order] = np.arange(len(every), dtype=np.int32)
+    return every[order], times[order], [rank[at] for at in which], int(rank[-1]), place
 
 
 def _send(order: int, buckets: int):
@@ -142,7 +152,7 @@ def _score(order: int, buckets: int, backoff: float):
         others = []
         for n in range(order):
             # Of a document's own n-grams, those of whole length alone were counted.
-            pairs, back, own = np.unique(row << 40 | which[n], return_inverse=True, return_counts=True)
+            pairs, back, own = np.unique(row << 32 | which[n], return_inverse=True, return_counts=True)
             if n:
                 own = own - np.bincount(back[place < n], minlength=len(pairs))
             others.append(np.maximum(totals[which[n]] - own[back], 0))
@@ -176,6 +186,6 @@ def score_documents(docs: DataFrame, order: int = ORDER, backoff: float = BACKOF
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     dealt = own.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(2 * n)).cast("int")).repartition(n, "chunk")
     chunks = dealt.groupBy("chunk")
-    sent = chunks.applyInArrow(_send(order, n), _SENT_DDL)
-    totals = sent.groupBy("bucket").applyInArrow(_add_up, _TOTALS_DDL)
-    return chunks.cogroup(totals.groupBy("chunk")).applyInArrow(_score(order, n, backoff), _SCORES_DDL)
+    sent = chunks.applyInArrow(C.lean(_send(order, n)), _SENT_DDL)
+    totals = sent.groupBy("bucket").applyInArrow(C.lean(_add_up), _TOTALS_DDL)
+    return chunks.cogroup(totals.groupBy("chunk")).applyInArrow(C.lean(_score(order, n, backoff)), _SCORES_DDL)
