@@ -5,7 +5,9 @@ Everything here runs inside Spark tasks on one Arrow batch; Spark does the parti
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import inspect
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,32 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+_LIBC = ctypes.CDLL(None)
+
+
+def release() -> None:
+    """Give free memory back: a worker serves many tasks, and what its allocators hold on to counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+def lean(task: Callable) -> Callable:
+    """A function of one or two tables that releases memory after each group."""
+
+    def one(table):
+        out = task(table)
+        release()
+        return out
+
+    def two(left, right):
+        out = task(left, right)
+        release()
+        return out
+
+    return one if len(inspect.signature(task).parameters) == 1 else two
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread every bit of x over the whole word."""
     for _ in range(2):

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.llm import _columnar as C
 from tidemark.llm._session import cut, partitions
 
 SAMPLE = 4_000
@@ -154,7 +155,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, sample: int = SAMPL
         left = distinct.select("ids", "vector", F.pmod("key", F.lit(blocks)).cast("int").alias("block"), across(query_blocks).alias("query_block"))
         right = queries.select("query", F.col("vector").alias("asked"), across(blocks).alias("block"), F.pmod(F.xxhash64("query"), F.lit(query_blocks)).cast("int").alias("query_block"))
         pairs = left.repartition(n, "block", "query_block").groupBy("block", "query_block").cogroup(right.groupBy("block", "query_block"))
-        found = pairs.applyInArrow(_search(codes, k), "query long, ids array<long>, score double")
+        found = pairs.applyInArrow(C.lean(_search(codes, k)), "query long, ids array<long>, score double")
         return cut(found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).drop("n"))
 
     bits, step = codes.turn.shape[1], -(-codes.turn.shape[1] // 8)

@@ -340,7 +340,9 @@ def _leaks(text: Column, index: Index) -> Column:
 
     @F.arrow_udf(_LEAKS_DDL)
     def leaks(texts: pa.Array) -> pa.Array:
-        return pa.array(list(index.find(texts)), _LEAKS)
+        out = pa.array(list(index.find(texts)), _LEAKS)
+        C.release()
+        return out
 
     return leaks(text)
 

@@ -124,7 +124,9 @@ def license_matches(text: Column, templates: dict[str, str] | None = None) -> Co
 
     @F.arrow_udf(_MATCH_DDL)
     def scan(texts: pa.Array) -> pa.Array:
-        return pa.array(list(index.scan(texts)), _MATCH)
+        out = pa.array(list(index.scan(texts)), _MATCH)
+        C.release()
+        return out
 
     return scan(text)
 

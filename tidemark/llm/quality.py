@@ -138,6 +138,7 @@ def measures(text: Column) -> Column:
     def of(texts: pa.Array) -> pa.Array:
         rows = [measure(t.as_buffer().to_pybytes()).astype(np.float32) for t in C.binary(texts)]
         flat = np.concatenate([np.zeros(0, np.float32), *rows])
+        C.release()
         return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * MEASURES), pa.array(flat))
 
     return of(text)
@@ -177,6 +178,7 @@ def quality_score(text: Column, model: Model | None) -> Column:
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
         rows = [measure(t.as_buffer().to_pybytes()) for t in C.binary(texts)]
+        C.release()
         return pa.array(model.score(np.array(rows).reshape(len(rows), MEASURES).astype(np.float32).astype(float)))
 
     return score(text)

@@ -181,12 +181,12 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     # The text's own hash spreads the rows of a missing or repeated id.
     dealt = own.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(2 * n)).cast("int")).repartition(n, "chunk")
     chunks = dealt.groupBy("chunk")
-    sent = chunks.applyInArrow(_probe(window, block, n), _SENT_DDL)
-    hits = sent.groupBy("bucket").applyInArrow(_index_lookup, _HITS_DDL)
-    near = chunks.cogroup(hits.groupBy("chunk")).applyInArrow(_extend(window, block, n), _SENT_DDL)
-    shared = near.groupBy("bucket").applyInArrow(_compare, _HITS_DDL)
+    sent = chunks.applyInArrow(C.lean(_probe(window, block, n)), _SENT_DDL)
+    hits = sent.groupBy("bucket").applyInArrow(C.lean(_index_lookup), _HITS_DDL)
+    near = chunks.cogroup(hits.groupBy("chunk")).applyInArrow(C.lean(_extend(window, block, n)), _SENT_DDL)
+    shared = near.groupBy("bucket").applyInArrow(C.lean(_compare), _HITS_DDL)
     kept = T.StructType.fromDDL("doc_id long, n_words long, n_removed long, kept binary, kept_sha256 string").add("rest", own.schema["rest"].dataType)
-    out = chunks.cogroup(shared.groupBy("chunk")).applyInArrow(_remove(window, with_text), kept).withColumn("kept", F.col("kept").cast("string"))
+    out = chunks.cogroup(shared.groupBy("chunk")).applyInArrow(C.lean(_remove(window, with_text)), kept).withColumn("kept", F.col("kept").cast("string"))
     return out if carry else out.drop("rest")
 
 

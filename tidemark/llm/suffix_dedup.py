@@ -366,8 +366,8 @@ def remove_earlier_repeats(docs: DataFrame, length: int = 100, id_col: str = "do
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     dealt = own.withColumn("chunk", _range_chunk(own.select("doc_id"), 2 * n).cast("int")).repartition(n, "chunk")
     chunks = dealt.groupBy("chunk")
-    sent = chunks.applyInArrow(_submit(length, n, crowd), _SENT_DDL)
-    told = sent.groupBy("bucket").applyInArrow(_decide, _TOLD_DDL)
-    contexts = chunks.cogroup(told.groupBy("chunk")).applyInArrow(_send_contexts(length, n), _OWN_DDL)
-    compared = contexts.groupBy("bucket").applyInArrow(_compare(length), _TOLD_DDL)
-    return chunks.cogroup(told.unionByName(compared).groupBy("chunk")).applyInArrow(_remove(length, n, with_text), _KEPT_DDL)
+    sent = chunks.applyInArrow(C.lean(_submit(length, n, crowd)), _SENT_DDL)
+    told = sent.groupBy("bucket").applyInArrow(C.lean(_decide), _TOLD_DDL)
+    contexts = chunks.cogroup(told.groupBy("chunk")).applyInArrow(C.lean(_send_contexts(length, n)), _OWN_DDL)
+    compared = contexts.groupBy("bucket").applyInArrow(C.lean(_compare(length)), _TOLD_DDL)
+    return chunks.cogroup(told.unionByName(compared).groupBy("chunk")).applyInArrow(C.lean(_remove(length, n, with_text)), _KEPT_DDL)
