@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,10 +53,37 @@ def summary(text: Column, n: int = 280) -> Column:
     return F.when(F.length(whole) <= n, whole).when(F.length(sentence) >= 0.55 * n, sentence).when(F.length(word) >= 0.65 * n, F.concat(word, F.lit("…"))).otherwise(F.concat(F.substring(head, 1, n - 1), F.lit("…")))
 
 
+@cache
+def _folds() -> tuple[str, str]:
+    """Characters that compatibility decomposition, without its marks, turns into one of a-z and 0-9, and what into."""
+    pairs = []
+    for k in range(0x80, 0x10000):
+        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(k)) if not unicodedata.combining(c)).lower()
+        if len(plain) == 1 and plain.isascii() and plain.isalnum():
+            pairs.append((chr(k), plain))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
 def comparable(text: Column) -> Column:
-    """Lower-case letters and digits only, marks of Latin letters off."""
-    plain = F.translate(F.lower(text), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    return F.regexp_replace(plain, r"[^\p{L}\p{N}]+", "")
+    """a-z and 0-9 only, once letters are decomposed and in lower case; empty where none is left."""
+    return F.regexp_replace(F.lower(F.translate(text, *_folds())), r"[^a-z0-9]+", "")
+
+
+def topic_slugs(labels: Column, most: int = 16) -> Column:
+    """The slugs of a list of topics, each once, in order; null if the list is too long or one of them is no slug."""
+    slugs = F.transform(labels, tag_slug)
+    return F.when((F.size(labels) <= most) & ~F.exists(slugs, lambda s: s.isNull()), F.array_distinct(slugs))
+
+
+def username(text: Column) -> Column:
+    """A user's name if it is one: 3 to 32 of a-z, 0-9 and underscore."""
+    return F.when(text.rlike(r"^[a-z0-9_]{3,32}$"), text)
+
+
+def language_of_locale(locale: Column) -> Column:
+    """The language of a locale such as en_GB."""
+    found = F.lower(F.regexp_extract(F.coalesce(F.trim(locale), F.lit("")), r"^([A-Za-z]{2,3})(?:[-_.@]|$)", 1))
+    return F.when(found != "", found)
 
 
 def without_markup(text: Column) -> Column:
@@ -69,6 +99,11 @@ def mime_type(header: Column) -> Column:
     return F.when(kind != "", kind)
 
 
+def effective_time(published: Column, created: Column) -> Column:
+    """When a content counts as published."""
+    return F.coalesce(published, created)
+
+
 def feed_date(text: Column) -> Column:
     """A date of a feed: ISO, or the mail form with its weekday stripped."""
     mail = F.regexp_replace(F.trim(text), r"^[A-Za-z]{3,9},?\s+", "")

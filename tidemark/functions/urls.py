@@ -29,10 +29,35 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_replace(_part(url, 1), r":\d*$", ""))
 
 
+def _escaped(part: Column, also: str) -> Column:
+    """A part of an address with spaces, characters beyond ASCII and those of ``also`` as %XX; what is escaped stays."""
+    odd = rf"[^\x21-\x7e]|[{also}]"
+    each = F.transform(F.split(part, ""), lambda c: F.when(c.rlike(odd), F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))).otherwise(c))
+    return F.when(part.rlike(odd), F.array_join(each, "")).otherwise(part)
+
+
+def _without_dots(path: Column) -> Column:
+    """A path with its . and .. steps taken."""
+    steps = F.slice(F.split(path, "/"), 2, 1 << 20)
+    none = F.array().cast("array<string>")
+
+    def take(done: Column, step: Column) -> Column:
+        back = F.lower(step).isin("..", "%2e%2e", ".%2e", "%2e.")
+        stay = F.lower(step).isin(".", "%2e")
+        return F.when(back, F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(stay, done).otherwise(F.array_append(done, step))
+
+    walked = F.aggregate(steps, none, take)
+    last = F.element_at(steps, -1)
+    # After a dot at the end the address is that of a folder.
+    folder = F.lower(last).isin("..", ".", "%2e", "%2e%2e", ".%2e", "%2e.") & (F.size(walked) >= 0)
+    return F.when(path.rlike(r"(?i)/(\.|%2e){1,2}(/|$)"), F.concat(F.lit("/"), F.array_join(walked, "/"), F.when(folder & (F.size(walked) > 0), "/").otherwise(""))).otherwise(path)
+
+
 def canonical_url(url: Column) -> Column:
     """One address for one page; null for what isn't an http address, names a user or a port of its own, or is blank.
 
-    The scheme defaults to https; fragment, default port and tracking parameters go; the order of the rest stays.
+    The scheme defaults to https; fragment, default port and tracking parameters go; the order of the rest stays. Dot
+    steps of the path are taken, and what an address can't hold is escaped.
     """
     authority, path, query = _part(url, 1), _part(url, 2), F.substring(_part(url, 3), 2, 1 << 30)
     port = F.regexp_extract(authority, r":(\d+)$", 1)
@@ -40,7 +65,7 @@ def canonical_url(url: Column) -> Column:
     name = lambda p: F.regexp_extract(p, r"^([^=]*)", 1)
     kept = F.array_join(F.filter(F.split(query, "&"), lambda p: (p != "") & ~name(p).isin(*TRACKING) & ~name(p).startswith("utm_")), "&")
     fine = (F.trim(url) != "") & scheme(url).isin("http", "https") & ~authority.contains("@") & (host(url) != "") & ((port == "") | (port == default))
-    return F.when(fine, F.concat(scheme(url), F.lit("://"), host(url), F.when(path == "", "/").otherwise(path), F.when(kept == "", "").otherwise(F.concat(F.lit("?"), kept))))
+    return F.when(fine, F.concat(scheme(url), F.lit("://"), host(url), F.when(path == "", "/").otherwise(_escaped(_without_dots(path), '"<>`{}')), F.when(kept == "", "").otherwise(F.concat(F.lit("?"), _escaped(kept, "\"<>'")))))
 
 
 def source_root(url: Column) -> Column:
@@ -59,5 +84,40 @@ def of_domain(name: Column, *domains: str) -> Column:
     return hit
 
 
+def related_hosts(one: Column, other: Column) -> Column:
+    """Is one host the other, or a part of it, www. aside?"""
+    a, b = bare_host(one), bare_host(other)
+    return (a != "") & (b != "") & ((a == b) | a.endswith(F.concat(F.lit("."), b)) | b.endswith(F.concat(F.lit("."), a)))
+
+
+def disallowed_host(name: Column) -> Column:
+    """Hosts that can't be public: none, local names, and names without a dot that are no address."""
+    h = F.lower(F.trim(F.coalesce(name, F.lit(""))))
+    local = (h == "localhost") | h.rlike(r"\.(localhost|local|internal)$")
+    return (h == "") | local | (~h.contains(".") & ~h.contains(":"))
+
+
+#: IPv4 networks that aren't public, as first address and prefix length.
+PRIVATE_NETWORKS = (("0.0.0.0", 8), ("10.0.0.0", 8), ("127.0.0.0", 8), ("100.64.0.0", 10), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.168.0.0", 16), ("192.0.0.0", 24), ("192.0.2.0", 24), ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24), ("224.0.0.0", 3))
+
+
+def public_ipv4(address: Column) -> Column:
+    """Whether an IPv4 address is public; null for what is no such address."""
+    part = lambda k: F.try_element_at(F.split(F.trim(address), r"\."), F.lit(k)).cast("long")
+    octets = r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$"
+    number = part(1) * (1 << 24) + part(2) * (1 << 16) + part(3) * (1 << 8) + part(4)
+    private = F.lit(False)
+    for first, bits in PRIVATE_NETWORKS:
+        a = sum(int(x) << 8 * (3 - k) for k, x in enumerate(first.split(".")))
+        private = private | number.between(a, a + (1 << 32 - bits) - 1)
+    return F.when(F.trim(address).rlike(octets), ~private)
+
+
+def recovery_disabled(name: Column, hosts: tuple[str, ...]) -> Column:
+    """Is a host, www. aside, one of those whose pages aren't tried again?"""
+    h = F.lower(F.trim(F.coalesce(name, F.lit(""))))
+    return h.isin(*hosts) | bare_host(h).isin(*hosts) if hosts else F.lit(False)
+
+
 def path_depth(url: Column) -> Column:
     return F.size(F.filter(F.split(_part(url, 2), "/"), lambda p: p != ""))

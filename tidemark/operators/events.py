@@ -29,6 +29,11 @@ def validated(events: DataFrame, now: Column) -> DataFrame:
     return events.withColumns({"entity_type": target, "surface": surface, "occurred_at": at, "reject": reject})
 
 
+def unknown_serves(events: DataFrame, serves: DataFrame) -> DataFrame:
+    """Events that name a serve that was never logged (serves: serve_id)."""
+    return events.filter("serve_id IS NOT NULL").join(serves.select("serve_id"), "serve_id", "left_anti").select(*events.columns)
+
+
 def unknown_targets(events: DataFrame, content: DataFrame, sources: DataFrame) -> DataFrame:
     """Events whose content or source doesn't exist."""
     no_content = events.filter("content_id IS NOT NULL").join(content.select(F.col("id").alias("content_id")), "content_id", "left_anti")
@@ -37,12 +42,25 @@ def unknown_targets(events: DataFrame, content: DataFrame, sources: DataFrame) -
 
 
 def accepted(log: DataFrame, batch: DataFrame) -> DataFrame:
-    """The rows of a batch that the log hasn't yet: each (user_id, client_event_id) once, however old."""
+    """The rows of a batch that the log hasn't yet: each (user_id, client_event_id) once, the oldest, ties by the other columns."""
     keys = ["user_id", "client_event_id"]
-    first = batch.groupBy(*keys).agg(F.min_by(F.struct(*(c for c in batch.columns if c not in keys)), F.col("occurred_at")).alias("row"))
+    first = batch.groupBy(*keys).agg(F.min(F.struct("occurred_at", *(c for c in batch.columns if c not in (*keys, "occurred_at")))).alias("row"))
     return first.join(log.select(*keys), keys, "left_anti").select(*keys, "row.*").select(*batch.columns)
 
 
+def subscription_transitions(old: DataFrame, new: DataFrame, now: Column) -> DataFrame:
+    """Events that changes of subscriptions (user_id, source_id) imply: subscribe and unsubscribe."""
+    keys = ["user_id", "source_id"]
+    came, went = new.select(*keys).distinct().join(old.select(*keys), keys, "left_anti"), old.select(*keys).distinct().join(new.select(*keys), keys, "left_anti")
+    return came.withColumn("event_type", F.lit("subscribe")).unionByName(went.withColumn("event_type", F.lit("unsubscribe"))).withColumn("occurred_at", now)
+
+
+def dismissals(old: DataFrame, new: DataFrame, now: Column) -> DataFrame:
+    """A dismiss event for each inbox row that is dismissed now and wasn't."""
+    was = old.filter("dismissed_at IS NOT NULL").select("user_id", "content_id")
+    return new.filter("dismissed_at IS NOT NULL").join(was, ["user_id", "content_id"], "left_anti").select("user_id", "content_id", F.lit("dismiss").alias("event_type"), now.alias("occurred_at"))
+
+
 def transitions(old: DataFrame, new: DataFrame, now: Column) -> DataFrame:
     """Events that changes of saved rows imply: save, favorite, mark_read."""
     was = old.select("user_id", "content_id", F.col("read_state").alias("was_state"), F.col("is_favorited").alias("was_favorite"), F.col("archived_at").isNotNull().alias("was_archived"))

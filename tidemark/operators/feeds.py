@@ -96,6 +96,55 @@ def missing_content(entries: DataFrame, content: DataFrame) -> DataFrame:
     return entries.select("canonical_url", "source_id").filter("canonical_url IS NOT NULL").groupBy("canonical_url").agg(F.min("source_id").alias("source_id")).join(content.select("canonical_url"), "canonical_url", "left_anti")
 
 
+def content_added(content: DataFrame, entries: DataFrame, new_id: Column) -> DataFrame:
+    """content (id, canonical_url, source_id) with the entries' addresses that it hasn't; contents without a source get their entry's."""
+    wanted = entries.filter("canonical_url IS NOT NULL").groupBy("canonical_url").agg(F.min("source_id").alias("entry_source"))
+    linked = content.join(wanted, "canonical_url", "left").select("id", "canonical_url", F.coalesce("source_id", "entry_source").alias("source_id"))
+    added = missing_content(entries, content).select(new_id.alias("id"), "canonical_url", "source_id")
+    return linked.unionByName(added)
+
+
+def promoted(feeds: DataFrame, newly: DataFrame) -> DataFrame:
+    """feeds after those of newly (source_id, feed_url) became the primary ones of their sources, and the others of these sources were demoted."""
+    new = newly.select("source_id", F.col("feed_url").alias("main_url"))
+    return feeds.join(new, "source_id", "left").withColumn("is_primary", F.when(F.col("main_url").isNotNull(), F.col("feed_url") == F.col("main_url")).otherwise(F.col("is_primary"))).select(*feeds.columns)
+
+
+def without_feeds(feeds: DataFrame, gone: DataFrame) -> DataFrame:
+    """feeds without those of gone (feed_url); a source that loses its primary feed gets the oldest of the rest, primary ones first."""
+    left = feeds.join(gone.select("feed_url"), "feed_url", "left_anti")
+    main = primary_feed(left).select("source_id", F.col("feed_url").alias("main_url"))
+    return left.join(main, "source_id").withColumn("is_primary", F.col("feed_url") == F.col("main_url")).select(*feeds.columns)
+
+
+def refreshed(sources: DataFrame, results: DataFrame, now: Column) -> DataFrame:
+    """sources (source_id, status, last_error, http_status, refreshed_at, next_refresh_at) after results (source_id, outcome, http_code, message).
+
+    Success and an unchanged feed clear the error and count as refreshed; a site without feed and a failure keep the last
+    refresh and say what went wrong, in 500 characters at most.
+    """
+    rows = sources.join(results, "source_id", "left")
+    met, fine = F.col("outcome").isNotNull(), F.col("outcome").isin("success", "unchanged")
+    status = F.when(fine, "succeeded").when(F.col("outcome") == "no_feed", "no_feed").otherwise("failed")
+    new = {
+        "status": F.when(met, status).otherwise(F.col("status")),
+        "last_error": F.when(~met, F.col("last_error")).when(~fine, F.substring("message", 1, 500)),
+        "http_status": F.when(met, F.col("http_code")).otherwise(F.col("http_status")),
+        "refreshed_at": F.when(met & fine, now).otherwise(F.col("refreshed_at")),
+        "next_refresh_at": F.when(met, next_refresh(F.col("outcome"), now)).otherwise(F.col("next_refresh_at")),
+    }
+    return rows.select("source_id", *(c.alias(k) for k, c in new.items()))
+
+
+def discovery_method(source_url: Column, feed_url: Column) -> Column:
+    """How a feed was found: given as it is, at a usual place, or by a link of the page."""
+    tail = lambda u: F.regexp_replace(u, r"^[A-Za-z]+://[^/?#]*|#.*$", "")
+    usual = F.lit(False)
+    for path in COMMON_PATHS:
+        usual = usual | feed_url.endswith(path)
+    return F.when(tail(source_url) == tail(feed_url), "provided").when(usual, "common_path").otherwise("html_link")
+
+
 def deliveries(subscriptions: DataFrame, entries: DataFrame, fresh: DataFrame, inbox: DataFrame) -> DataFrame:
     """What goes to which inbox: the newest thirty entries at first, then what is new; nothing twice.
 

@@ -94,8 +94,18 @@ def diverse_sources(scored: DataFrame, limit: int = 20) -> DataFrame:
     return diverse(scored, "user_id", "source_id", source_order(), limit, {"primary_topic_slug": SOURCE_TOPIC_CAPS})
 
 
+def serve_headers(users: DataFrame, surface: str, algorithm: str, limit: int, now: Column, topic: str | None = None) -> DataFrame:
+    """One row for each serve: id, user, surface, algorithm and the request as JSON. users: user_id, languages."""
+    asked = {"limit": F.lit(limit), "preferred_languages": F.col("languages")} | ({"topic_slug": F.lit(topic)} if topic else {})
+    return users.select(_serve_id(surface, now), "user_id", F.lit(surface).alias("surface"), F.lit(algorithm).alias("algorithm"), F.to_json(F.struct(*(c.alias(k) for k, c in asked.items()))).alias("request_context"), now.alias("served_at"))
+
+
+def _serve_id(surface: str, now: Column) -> Column:
+    return F.xxhash64("user_id", F.lit(surface), now).alias("serve_id")
+
+
 def serve_log(picks: DataFrame, scored: DataFrame, surface: str, item: str, algorithm: str, now: Column) -> DataFrame:
     """One row for each item served, with the breakdown of its score as JSON."""
     rows = picks.join(scored.select("user_id", item, *(["parts"] if "parts" in scored.columns else [])), ["user_id", item])
     breakdown = F.to_json("parts") if "parts" in scored.columns else F.lit("{}")
-    return rows.select(F.xxhash64("user_id", F.lit(surface), now).alias("serve_id"), "user_id", F.lit(surface).alias("surface"), F.lit(algorithm).alias("algorithm"), "position", item, "score", breakdown.alias("score_breakdown"), now.alias("served_at"))
+    return rows.select(_serve_id(surface, now), "user_id", F.lit(surface).alias("surface"), F.lit(algorithm).alias("algorithm"), "position", item, "score", breakdown.alias("score_breakdown"), now.alias("served_at"))

@@ -68,6 +68,44 @@ def dirty_targets(events: DataFrame, content: DataFrame) -> DataFrame:
     return each.groupBy("kind", "id").agg(F.min("occurred_at").alias("first_marked_at"), F.max("occurred_at").alias("last_marked_at"))
 
 
+def marked_dirty(dirty: DataFrame, targets: DataFrame, content: DataFrame, now: Column) -> DataFrame:
+    """The dirty targets after marking (user_id, content_id, source_id; null: none); a content's source is marked with it."""
+    marks = targets.select("user_id", "content_id", "source_id", now.alias("occurred_at"))
+    return merged_dirty(dirty, dirty_targets(marks, content))
+
+
+def merged_dirty(dirty: DataFrame, new: DataFrame) -> DataFrame:
+    """Two lists of dirty targets as one: the first and the last time that each was marked."""
+    return dirty.unionByName(new.select(*dirty.columns)).groupBy("kind", "id").agg(F.min("first_marked_at").alias("first_marked_at"), F.max("last_marked_at").alias("last_marked_at"))
+
+
+#: Fixed value: targets of a kind that one refresh takes.
+REFRESHED = 5_000
+
+
+def to_refresh(dirty: DataFrame, most: int = REFRESHED) -> DataFrame:
+    """The targets that the next refresh takes: of each kind those marked first, ties by id."""
+    of = lambda kind: dirty.filter(F.col("kind") == kind).orderBy("first_marked_at", "id").limit(most)
+    return of("user").unionByName(of("content")).unionByName(of("source"))
+
+
+def refreshed(table: DataFrame, fresh: DataFrame, key: str, targets: DataFrame) -> DataFrame:
+    """table with the rows of targets (their ids, as text) taken from fresh; a target without fresh rows loses its old ones."""
+    ids = targets.select(F.col("id").alias("target")).distinct()
+    is_one = F.col(key).cast("string") == F.col("target")
+    return table.join(ids, is_one, "left_anti").unionByName(fresh.select(*table.columns).join(ids, is_one, "left_semi"))
+
+
+def content_halo_by_users(events: DataFrame, content: DataFrame, now: Column, days: int = 30) -> DataFrame:
+    """The halo of contents from the log of the last days alone, where a user's signals on a day count once."""
+    recent = events.filter(F.col("content_id").isNotNull() & (F.col("occurred_at") >= now - F.make_dt_interval(F.lit(days))))
+    known = recent.join(content.select(F.col("id").alias("content_id")), "content_id", "left_semi")
+    daily = known.groupBy("content_id", F.to_date("occurred_at").alias("halo_date")).agg(
+        F.countDistinct(F.when(F.col("event_type").isin(*CONTENT_SIGNALS), F.col("user_id"))).alias("signals"), *_counts("impression", "open", "save", "mark_read", "dismiss"), F.coalesce(F.sum("visible_ms"), F.lit(0)).alias("visible_ms")
+    )
+    return content_halo(daily, content)
+
+
 def content_halo(daily: DataFrame, content: DataFrame) -> DataFrame:
     """daily with each day's popularity of a content."""
     seconds = content.select(F.col("id").alias("content_id"), "estimated_read_seconds")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import language_codes
+
 MOST_DEPTH = 16
 
 
@@ -21,6 +23,13 @@ def closure(topics: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
     return found
 
 
+def rejected_parents(topics: DataFrame, moves: DataFrame) -> DataFrame:
+    """Of moves (id, parent_id) of topics those that would make a cycle; moves are judged one by one, against the tree as it is."""
+    links = closure(topics)
+    below = links.select(F.col("ancestor_id").alias("id"), F.col("descendant_id").alias("parent_id"))
+    return moves.join(below, ["id", "parent_id"], "left_semi")
+
+
 def cycles(topics: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
     """Topics that are their own ancestors."""
     return closure(topics, most_depth).filter("depth > 0 AND ancestor_id = descendant_id").select(F.col("ancestor_id").alias("id")).distinct()
@@ -61,6 +70,12 @@ def replace_preferences(preferences: DataFrame, chosen: DataFrame, weight: float
     return rest.unionByName(chosen.select("user_id", F.explode(F.array_distinct("topics")).alias("topic_id"), F.lit(weight).alias("weight")))
 
 
+def languages_updated(preferences: DataFrame, changes: DataFrame) -> DataFrame:
+    """Preferred languages (user_id, languages) after changes: users of changes have theirs, in normal form, others keep theirs."""
+    new = changes.select("user_id", language_codes(F.col("languages")).alias("languages"))
+    return preferences.join(new.select("user_id"), "user_id", "left_anti").select("user_id", "languages").unionByName(new)
+
+
 def replace_topics(content_topics: DataFrame, chosen: DataFrame, confidence: float = 0.95) -> DataFrame:
     """Curated topics (content_id, topics) in place of those at the same confidence; other rows stay and win ties."""
     rest = content_topics.join(chosen.select("content_id"), "content_id", "left_semi").filter(F.col("confidence") != confidence).unionByName(content_topics.join(chosen.select("content_id"), "content_id", "left_anti"))

@@ -193,7 +193,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 def _parsed(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages").withColumn("page", extract.read_html(F.col("html")))
     named = pages.withColumn("meta", extract.metadata(F.col("page"))).withColumn("route", extract.route(U.host(F.col("url")), F.col("html"), F.lit(None).cast("string"), F.col("url")))
-    best = F.get(extract.candidates(F.col("page"), F.col("meta.title")), F.lit(0))
+    best = F.get(extract.candidates(F.col("page"), F.col("meta")), F.lit(0))
     return named.withColumn("best", best).select("page_id", "url", "html", "route", "meta", "best.container", "best.score", B.sanitized(F.coalesce("best.blocks", F.array().cast(f"array<{B.BLOCK}>"))).alias("blocks"))
 
 
@@ -321,9 +321,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 _FEEDBACK = "SELECT user_id, content_id, signal_date, impression_count, open_count, save_count, dismiss_count, visible_ms FROM feedback_daily"
 
 
-@register("s_stream_rollup", over(_FEEDBACK))
-def _(spark: SparkSession, d: str) -> DataFrame:
-    """The log read as a stream of files, rolled up batch by batch."""
+def _streamed(spark: SparkSession, d: str) -> str:
+    """The folder of the rollups of the log, read as a stream of files, batch by batch."""
     source = table(spark, d, "events")
     k = F.regexp_extract("props", r"(\d+)", 1).cast("long")
     incoming = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 4).parquet(f"{d}/events.parq*")
@@ -332,4 +331,23 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     events = incoming.select("user_id", F.when(~signup, k).alias("content_id"), F.when(signup, F.concat(F.lit("src"), (k % 20).cast("string"))).alias("source_id"), kind.alias("event_type"), F.round(F.col("value") * 1000).cast("long").alias("visible_ms"), F.col("ts").alias("occurred_at"))
     folder = f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}"
     stream.start_rollup(events, E.content_keys(spark, d), f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
-    return stream.current(spark, f"{folder}/table").select("user_id", "content_id", "signal_date", "impression_count", "open_count", "save_count", "dismiss_count", "visible_ms")
+    return f"{folder}/table"
+
+
+@register("s_stream_rollup", over(_FEEDBACK))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return stream.current(spark, _streamed(spark, d)).select("user_id", "content_id", "signal_date", "impression_count", "open_count", "save_count", "dismiss_count", "visible_ms")
+
+
+_ALL_DAILY = """SELECT 'signals' AS kind, source_id AS id, signal_date AS on_day, CAST(sum(subscribe_count) AS BIGINT) AS n FROM signals_daily GROUP BY source_id, signal_date UNION ALL SELECT 'content', CAST(content_id AS VARCHAR), halo_date, signals FROM content_daily UNION ALL SELECT 'source', source_id, halo_date, signals FROM source_daily
+    UNION ALL SELECT 'dirty', kind, NULL, count(DISTINCT id) FROM (SELECT 'user' AS kind, CAST(user_id AS VARCHAR) AS id FROM ev UNION ALL SELECT 'content', CAST(content_id AS VARCHAR) FROM ev UNION ALL SELECT 'source', source_id FROM owned) WHERE id IS NOT NULL GROUP BY kind"""
+
+
+@register("s_stream_all_rollups", over(_ALL_DAILY))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    at = _streamed(spark, d)
+    signals = stream.current(spark, at, "source_signals").groupBy("source_id", "signal_date").agg(F.sum("subscribe_count").alias("n")).select(F.lit("signals").alias("kind"), F.col("source_id").alias("id"), F.col("signal_date").alias("on_day"), "n")
+    content = stream.current(spark, at, "content_halo").select(F.lit("content").alias("kind"), F.col("content_id").cast("string").alias("id"), F.col("halo_date").alias("on_day"), F.col("signals").alias("n"))
+    source = stream.current(spark, at, "source_halo").select(F.lit("source").alias("kind"), F.col("source_id").alias("id"), F.col("halo_date").alias("on_day"), F.col("signals").alias("n"))
+    touched = stream.dirty(spark, at).groupBy("kind").agg(F.count("*").alias("n")).select(F.lit("dirty").alias("kind"), F.col("kind").alias("id"), F.lit(None).cast("date").alias("on_day"), "n")
+    return signals.unionByName(content).unionByName(source).unionByName(touched)

@@ -1,45 +1,100 @@
-"""The rollup as a stream: each micro-batch is aggregated and merged into the rollup so far.
+"""The rollups as a stream: each micro-batch is aggregated and merged into the days that it touches.
 
-Late events land in their own day, however late, so there is no watermark. Each batch's result is written to a folder
-named by the batch, and the next batch reads the newest one before it: a batch that runs again after a failure
-writes the same result again, so every event counts once.
+Late events land in their own day, however late, so there is no watermark. A rollup is kept by day, and a batch writes
+the days that it touches anew, in folders named by the batch; days that it doesn't touch are neither read nor written. A
+batch counts once its mark is written, after all four rollups and the dirty targets: one that runs again after a
+failure starts from the days as the batch before left them and replaces what it wrote, so every event counts once.
+Of each day the last two versions are kept.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.operators.rollup import content_feedback_daily, merged
+from tidemark.operators import rollup as R
 
-KEYS = ["user_id", "content_id", "signal_date"]
+#: By rollup: its keys, the last of them the day, and how it follows from events and content.
+ROLLUPS: dict[str, tuple[list[str], Callable[[DataFrame, DataFrame], DataFrame]]] = {
+    "content_feedback": (["user_id", "content_id", "signal_date"], R.content_feedback_daily),
+    "source_signals": (["user_id", "source_id", "signal_date"], lambda events, content: R.source_signals_daily(events)),
+    "content_halo": (["content_id", "halo_date"], lambda events, content: R.content_halo_daily(events)),
+    "source_halo": (["source_id", "halo_date"], R.source_halo_daily),
+}
+_KEPT = 2
 
 
-def _newest(spark: SparkSession, folder: str, before: int) -> int | None:
-    """The last batch before this one whose result is complete."""
+def _files(spark: SparkSession, folder: str):
+    """Spark's own file system for a folder, and the folder's path in it."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(path):
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    files, path = _files(spark, folder)
+    return [s.getPath().getName() for s in files.listStatus(path)] if files.exists(path) else []
+
+
+def _last_mark(spark: SparkSession, target: str) -> int:
+    return max(map(int, _names(spark, f"{target}/done")), default=-1)
+
+
+def _days(spark: SparkSession, target: str, name: str, upto: int) -> DataFrame | None:
+    """The newest version of each day of a rollup, of batches up to this one; None where there is none."""
+    if not _names(spark, f"{target}/{name}"):
         return None
-    done = [int(s.getPath().getName().partition("=")[2]) for s in files.listStatus(path) if s.getPath().getName().startswith("batch=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return max((b for b in done if b < before), default=None)
+    rows = spark.read.parquet(f"{target}/{name}").filter(F.col("batch") <= upto)
+    # Day and batch are folders; one row a day.
+    newest = rows.groupBy("day").agg(F.max("batch").alias("batch"))
+    return rows.join(F.broadcast(newest), ["day", "batch"], "left_semi").drop("day", "batch")
+
+
+def _write_days(rows: DataFrame, day: str, batch_id: int, path: str) -> None:
+    dated = rows.withColumns({"day": F.col(day).cast("string"), "batch": F.lit(batch_id)})
+    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(path)
+
+
+def _drop_old(spark: SparkSession, path: str, days: list[str]) -> None:
+    for day in days:
+        versions = sorted((int(v.partition("=")[2]) for v in _names(spark, f"{path}/day={day}") if v.startswith("batch=")), reverse=True)
+        for version in versions[_KEPT:]:
+            files, old = _files(spark, f"{path}/day={day}/batch={version}")
+            files.delete(old, True)
 
 
 def roll_up(batch: DataFrame, batch_id: int, content: DataFrame, target: str) -> None:
-    """Merge one micro-batch of events into the rollup kept in target."""
+    """Merge one micro-batch of events into the four rollups and the dirty targets kept in target; events without time count nowhere."""
     spark = batch.sparkSession
-    new = content_feedback_daily(batch, content)
-    last = _newest(spark, target, batch_id)
-    if last is not None:
-        new = merged(spark.read.parquet(f"{target}/batch={last}"), new, KEYS)
-    new.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+    batch = batch.filter("occurred_at IS NOT NULL").persist()
+    days = [r[0] for r in batch.select(F.to_date("occurred_at").cast("string")).dropna().distinct().collect()]
+    for name, (keys, of) in ROLLUPS.items():
+        new, old = of(batch, content), _days(spark, target, name, batch_id - 1)
+        if old is not None:
+            new = R.merged(old.filter(F.col(keys[-1]).cast("string").isin(days)), new, keys)
+        _write_days(new, keys[-1], batch_id, f"{target}/{name}")
+    marks = R.dirty_targets(batch, content).withColumn("batch", F.lit(batch_id))
+    marks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{target}/dirty")
+    files, mark = _files(spark, f"{target}/done/{batch_id}")
+    files.create(mark, True).close()
+    for name in ROLLUPS:
+        _drop_old(spark, f"{target}/{name}", days)
+    batch.unpersist()
 
 
 def start_rollup(events: DataFrame, content: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Run the rollup over all that a stream of events has now, in micro-batches."""
+    """Run the rollups over all that a stream of events has now, in micro-batches."""
     return events.writeStream.foreachBatch(lambda batch, k: roll_up(batch, k, content, target)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current(spark: SparkSession, target: str) -> DataFrame:
-    """The rollup as the last complete batch left it."""
-    return spark.read.parquet(f"{target}/batch={_newest(spark, target, 1 << 62)}")
+def current(spark: SparkSession, target: str, name: str = "content_feedback") -> DataFrame:
+    """A rollup as the last complete batch left it."""
+    return _days(spark, target, name, _last_mark(spark, target))
+
+
+def dirty(spark: SparkSession, target: str) -> DataFrame:
+    """The targets that events have touched since the folder was emptied, with the first and last event of each."""
+    rows = spark.read.parquet(f"{target}/dirty").filter(F.col("batch") <= _last_mark(spark, target))
+    return rows.groupBy("kind", "id").agg(F.min("first_marked_at").alias("first_marked_at"), F.max("last_marked_at").alias("last_marked_at"))
