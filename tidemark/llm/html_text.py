@@ -1,9 +1,13 @@
-"""Main text of web pages: page structure where it names the article, else runs of tokens that a host doesn't repeat.
+"""Main text of web pages: page structure, and what a host repeats on its pages.
 
-Where a page marks its article, that element without its chrome is the text. Elsewhere the pages' tokens outside the
-chrome are taken as one stream a page; the suffixes of a host's streams are brought together by their first ``RUN``
-tokens, a run that stands on two different pages or more is boilerplate, and the tokens outside such runs are kept.
-Repetition doesn't overrule the article element: articles that share passages would lose them.
+Pages are read into blocks of text outside the chrome. Where a page marks its article, the article's blocks are the text;
+elsewhere all blocks are one stream of tokens. What a host repeats is taken away from both, by different evidence:
+
+* from pages without an article every run of ``run`` tokens that a different page of the host has too. The suffixes of
+  the host's streams are brought together by their first tokens, and the tokens outside shared runs are kept;
+* from marked articles whole blocks of ``run`` tokens or more that stand in at least half, and at least ``QUORUM``, of the
+  host's different articles. Two articles of a host often share a passage that belongs to both, so two don't make
+  boilerplate there; copies of an article count once.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm._session import cut
 from tidemark.runtime import ship
 
 #: Tokens of a run that makes boilerplate when a host repeats it.
@@ -37,35 +42,56 @@ _WORDS = frozenset(
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def _is_chrome(tag: str, raw: str, in_article: bool) -> bool:
-    """Does an element hold menus, headers, footers, notices, adverts, forms, comments or nothing to see?"""
-    if tag in _CHROME or tag == "header" and not in_article:
-        return True
-    if not raw or tag in ("html", "body", "main"):
-        return False
+#: Words that an article's own class may hold without making it chrome, as long as it is the page's first.
+_MILD = frozenset("related recommended recommendations share sharing social notice notices alert newsletter subscribe subscription widget widgets banner".split())
+#: Elements that end where the next of their kind begins, and what they stand in.
+_ENDS = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
+#: Different articles of a host that a block must stand in to be taken for boilerplate.
+QUORUM = 5
+
+
+def _traits(raw: str) -> tuple[set[str], str, bool]:
+    """(words of class and id, role, hidden or not) of an element's attributes."""
+    words: set[str] = set()
+    role, hidden = "", False
     for name, a, b, c, bare in _ATTRIBUTE.findall(raw):
         name, value = (name or bare).lower(), (a or b or c).lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in _ROLES or name == "style" and _HIDDEN.search(value):
-            return True
         if name in ("class", "id"):
-            parts = set(re.split(r"[^a-z]+", value))
-            if parts & _WORDS or not in_article and parts & {"header", "side"} or {"side", "bar"} <= parts:
-                return True
-    return False
+            words.update(re.split(r"[^a-z]+", value))
+        elif name == "role":
+            role = value
+        hidden |= name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and bool(_HIDDEN.search(value))
+    return words, role, hidden
 
 
-def read_page(page: str) -> tuple[str, bool]:
-    """(text, whether the page marks its article): the article's text, or else all text outside the chrome."""
-    every: list[str] = []
-    main: list[str] = []
+def _is_chrome(tag: str, traits: tuple[set[str], str, bool], in_article: bool, first: bool) -> bool:
+    """Does an element hold menus, headers, footers, notices, adverts, forms, comments or nothing to see?
+
+    first: no article has begun yet, so that an article element is likely the page's own.
+    """
+    words, role, hidden = traits
+    if tag in _CHROME or tag == "header" and not in_article:
+        return True
+    if tag in ("html", "body", "main"):
+        return False
+    told = words & _WORDS
+    if tag == "article" and first:
+        told -= _MILD
+    return hidden or role in _ROLES or bool(told) or {"side", "bar"} <= words or not in_article and tag != "article" and bool(words & {"header", "side"})
+
+
+def read_page(page: str) -> tuple[list[str], bool]:
+    """(blocks, whether the page marks its article): the article's blocks of text, or else all those outside the chrome."""
+    every: list[list[str]] = [[]]
+    main: list[list[str]] = [[]]
     stack: list[tuple[str, bool, bool]] = []  # open element, in chrome, in the article
     chrome = article = False
     marked, at = False, 0
     for m in _MARKUP.finditer(page):
         if m.start() > at and not chrome:
-            every.append(page[at : m.start()])
+            every[-1].append(page[at : m.start()])
             if article:
-                main.append(every[-1])
+                main[-1].append(every[-1][-1])
         at = m.end()
         tag = m[3]
         if not tag:
@@ -73,9 +99,9 @@ def read_page(page: str) -> tuple[str, bool]:
         tag = tag.lower()
         inline = tag in _INLINE
         if not inline and not chrome:
-            every.append(" ")
+            every.append([])
             if article:
-                main.append(" ")
+                main.append([])
         if m[2]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
@@ -85,31 +111,43 @@ def read_page(page: str) -> tuple[str, bool]:
         elif tag not in _VOID:
             if not inline and stack and stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
                 stack.pop()
-                _, chrome, article = stack[-1] if stack else ("", False, False)
-            drop = chrome or _is_chrome(tag, m[4], article)
-            begins = not drop and (tag in ("article", "main") or 'role="main"' in m[4])
-            if drop != chrome or begins or tag in ("article", "main", "div", "section", "nav", "header", "footer", "aside", "form", "ul", "ol", "table", "blockquote", "figure", "body") or chrome:
+            if tag in _ENDS:
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] in _ENDS[tag]:
+                        break
+                    if stack[k][0] == tag or _ENDS.get(stack[k][0]) == _ENDS[tag]:
+                        del stack[k:]
+                        break
+            _, chrome, article = stack[-1] if stack else ("", False, False)
+            traits = _traits(m[4]) if m[4] else (set(), "", False)
+            drop = chrome or _is_chrome(tag, traits, article, not marked)
+            begins = not drop and (tag in ("article", "main") or traits[1] == "main")
+            if drop != chrome or begins or tag in ("article", "main", "div", "section", "nav", "header", "footer", "aside", "form", "ul", "ol", "dl", "table", "blockquote", "figure", "body") or chrome:
                 if not m[4].endswith("/"):
                     chrome, article = drop, article or begins
                     marked |= begins
                     stack.append((tag, chrome, article))
     if at < len(page) and not chrome:
-        every.append(page[at:])
+        every[-1].append(page[at:])
         if article:
-            main.append(page[at:])
-    text = " ".join(html.unescape("".join(main)).split()) if marked else ""
-    if text:
-        return text, True
-    return " ".join(html.unescape("".join(every)).split()), False
+            main[-1].append(page[at:])
+    found = _texts(main) if marked else []
+    return (found, True) if found else (_texts(every), False)
+
 
+def _texts(blocks: list[list[str]]) -> list[str]:
+    """Each block decoded, its white space one space; empty ones go."""
+    return [t for b in blocks if (t := " ".join(html.unescape("".join(b)).split()))]
 
-def page_text(page: Column) -> Column:
-    """The text of ``read_page``."""
+
+def page_blocks(page: Column) -> Column:
+    """What ``read_page`` makes of a page: blocks and marked."""
     ship(SparkSession.active())
 
-    @F.arrow_udf("string")
+    @F.arrow_udf("struct<blocks:array<string>,marked:boolean>")
     def read(pages: pa.Array) -> pa.Array:
-        return pa.array([read_page(p or "")[0] for p in pages.to_pylist()], pa.string())
+        rows = [read_page(p or "") for p in pages.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([b for b, _ in rows], pa.list_(pa.string())), pa.array([m for _, m in rows], pa.bool_())], names=["blocks", "marked"])
 
     return read(page)
 
@@ -132,24 +170,46 @@ def unique_runs(streams: DataFrame, run: int = RUN) -> DataFrame:
     return joined.select("row", F.array_join(F.filter("tokens", kept), " ").alias("text"))
 
 
-_MARKS = r"(?i)<article\b|<main\b|role=\"main\""
+#: Hosts with boilerplate in articles that are broadcast; with more, they are joined by a shuffle.
+MOST_BROADCAST = 100_000
+
 
+def host_blocks(articles: DataFrame, quorum: int = QUORUM) -> DataFrame:
+    """(host, boiler): the blocks, by hash, that half and at least ``quorum`` of a host's different articles have.
 
-def extract_main_text(pages: DataFrame, run: int = RUN) -> DataFrame:
+    articles: host, content (a hash of the article) and hashes of its long blocks. As each of these blocks stands in half
+    of the articles or more, a host has at most twice as many as its articles have on average.
+    """
+    contents = articles.groupBy("host", "content").agg(F.first("hashes").alias("hashes"))
+    sizes = contents.groupBy("host").agg(F.count("*").alias("articles")).filter(F.col("articles") >= quorum)
+    counts = contents.select("host", F.explode("hashes").alias("block")).groupBy("host", "block").agg(F.count("*").alias("n")).filter(F.col("n") >= quorum)
+    return counts.join(sizes, "host").filter(2 * F.col("n") >= F.col("articles")).groupBy("host").agg(F.collect_list("block").alias("boiler"))
+
+
+def extract_main_text(pages: DataFrame, run: int = RUN, quorum: int = QUORUM) -> DataFrame:
     """Each page's main text: page_id, url, text, n_chars.
 
     pages: page_id, url, html. Text is decoded, its white space is one space, and blocks are joined by one space. A null
-    or empty html, or one that holds nothing but chrome, gives an empty text; pages without an article share boilerplate
-    by the host of their url (a null or odd url is a host of its own); rows that share an id are pages of their own
-    unless their html is the same; an empty table gives none. Other columns are not read.
+    or empty html, or one that holds nothing but chrome, gives an empty text. A null or odd url is a host of its own, one
+    for all. Rows that share an id are pages of their own unless their html and url are the same; copies of a page are
+    one page to the repeated runs, and all of them get its text. Pages may be as long as a cell; an empty table gives
+    none. Other columns are not read, whatever their names.
     """
     ship(pages.sparkSession)
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    marked = own.filter(F.col("html").rlike(_MARKS)).select("page_id", "url", page_text(F.col("html")).alias("text"))
-    plain = own.filter(~F.col("html").rlike(_MARKS))
-    row = F.struct(F.coalesce("page_id", F.lit(-1)).alias("id"), F.xxhash64("url", "html").alias("mark")).alias("row")
+    row = F.struct(F.coalesce("page_id", F.lit(-1)).alias("id"), F.xxhash64("url", "html").alias("mark"))
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    streams = plain.select("page_id", "url", row, host.alias("host"), page_text(F.col("html")).alias("text"))
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
+    read = own.select("page_id", "url", row.alias("row"), host.alias("host"), page_blocks(F.col("html")).alias("page"))
+    blocks, marked = F.col("page.blocks"), F.col("page.marked")
+    long_ = F.filter(blocks, lambda b: F.size(F.split(b, " ")) >= run)
+    hashes = F.array_distinct(F.transform(long_, lambda b: F.xxhash64(b)))
+    # Of articles only hashes are kept; pages without one, which are few, are kept whole, as their runs are looked up.
+    seen = cut(read.select("page_id", "url", "row", "host", marked.alias("marked"), F.xxhash64(blocks).alias("content"), F.when(marked, hashes).alias("hashes"), F.when(~marked, F.array_join(blocks, " ")).alias("text")))
+    boiler = cut(host_blocks(seen.filter("marked"), quorum))
+    few = F.broadcast(boiler) if boiler.count() <= MOST_BROADCAST else boiler
+    kept = F.filter(blocks, lambda b: F.col("boiler").isNull() | ~F.array_contains("boiler", F.xxhash64(b)))
+    articles = read.filter(marked).join(few, "host", "left").select("page_id", "url", F.array_join(kept, " ").alias("text"))
+    streams = seen.filter("NOT marked")
     texts = unique_runs(streams.select("row", "host", "text").dropDuplicates(["row"]), run)
     rest = streams.select("page_id", "url", "row").join(texts, "row").select("page_id", "url", "text")
-    return marked.unionByName(rest).withColumn("n_chars", F.length("text").cast("long"))
+    return articles.unionByName(rest).withColumn("n_chars", F.length("text").cast("long"))
