@@ -10,24 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import _columnar as C
+from tidemark.llm.license_texts import TEXTS
 from tidemark.runtime import ship
 
 #: Words of a fingerprint, fingerprints of a winnowing window, least coverage.
 SHINGLE, WINDOW, LEAST = 5, 4, 0.8
 
-#: Notices and opening passages of well-known licenses.
-LICENSES = {
-    "MIT-notice": "Released under the MIT License.",
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
-    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-}
-
-
 def _words(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     lower = C.LOWER[text]
     start, end, counts = C.words(lower, ends, C.PLAIN)
@@ -44,60 +32,71 @@ def winnow(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
 
 
 def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int) -> tuple[int, int, int]:
-    """(matched, start, end): most words that match in order within ``band`` of a diagonal, and the span they take in text."""
-    best = {}  # place in text reached -> (matched, -start), for the template so far
+    """(matched, start, end): most words that match in order within ``band`` of a diagonal, and the span they take in text.
+
+    Of equal alignments the one that ends first, and then the one that begins last.
+    """
+    best = np.zeros((len(template) + 1, len(text) + 1), np.int32)
+    places = np.arange(len(text))
     for i, word in enumerate(template):
-        low, high = max(0, i + diagonal - band), min(len(text), i + diagonal + band + 1)
-        row, above = {}, (0, 0)
-        for j in range(low, high):
-            # The best alignment that ends before j; places that left the band stay reachable.
-            above = max(above, best.get(j, (0, 0)))
-            take = above[0] + 1, above[1] if above[0] else -j
-            row[j + 1] = max(best.get(j + 1, (0, 0)), take) if text[j] == word else best.get(j + 1, (0, 0))
-        for j, v in best.items():
-            if j not in row:
-                row[j] = v
-        best = row
-    if not best:
+        fits = (text == word) & (np.abs(places - i - diagonal) <= band)
+        best[i + 1, 1:] = np.maximum(best[i, 1:], np.where(fits, best[i, :-1] + 1, 0))
+        np.maximum.accumulate(best[i + 1], out=best[i + 1])
+    matched = int(best[-1, -1])
+    if not matched:
         return 0, 0, 0
-    end, (matched, start) = max(best.items(), key=lambda x: (x[1], -x[0]))
-    return matched, -start, end
+    i, j = len(template), int(np.argmax(best[-1] == matched))
+    start, end = j, j
+    while best[i, j]:
+        if best[i - 1, j] == best[i, j]:
+            i -= 1
+        elif best[i, j - 1] == best[i, j]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            start = j
+    return matched, start, end
 
 
 class Templates:
-    """Templates and the inverted index of their winnowed fingerprints."""
+    """Templates and the inverted indexes of their winnowed fingerprints, one for each length of shingle."""
 
     def __init__(self, texts: dict[str, str]):
         self.names = sorted(texts)
         self.words = []
-        entries = []
+        entries: dict[int, list] = {}
         for k, name in enumerate(self.names):
             raw = np.frombuffer(texts[name].encode(), np.uint8)
             codes, _ = _words(raw, np.array([len(raw)]))
             self.words.append(codes)
-            prints = C.Rolling(codes).grams(min(SHINGLE, max(1, len(codes))))
-            entries += [(prints[at], k, at) for at in winnow(prints)] if len(codes) >= SHINGLE else []
-        entries.sort()
-        self.prints = np.array([e[0] for e in entries], np.uint64)
-        self.of = np.array([(e[1], e[2]) for e in entries], np.int64).reshape(-1, 2)
+            # A template of fewer words than a shingle has is one shingle.
+            size = min(SHINGLE, len(codes))
+            if size:
+                prints = C.Rolling(codes).grams(size)
+                entries.setdefault(size, []).extend((prints[at], k, at) for at in winnow(prints))
+        self.index = {}
+        for size, rows in entries.items():
+            rows.sort()
+            self.index[size] = np.array([r[0] for r in rows], np.uint64), np.array([(r[1], r[2]) for r in rows], np.int64).reshape(-1, 2)
 
     def scan(self, texts: pa.Array) -> Iterator[list[dict]]:
         """For each text its matches."""
         for _, buf, ends in C.batches(texts):
             codes, counts = _words(buf, ends)
-            grams = C.Rolling(codes).grams(SHINGLE)
-            hit = np.flatnonzero(C.member(grams, self.prints) & C.in_one_row(counts, SHINGLE)[: len(grams)])
-            last = np.cumsum(counts)
-            rows = np.searchsorted(last, hit, side="right")
+            last, roll = np.cumsum(counts), C.Rolling(codes)
+            starts: list[tuple[int, int, int]] = []  # row, template, diagonal
+            for size, (prints, of) in self.index.items():
+                grams = roll.grams(size)
+                for at in np.flatnonzero(C.member(grams, prints) & C.in_one_row(counts, size)[: len(grams)]).tolist():
+                    row = int(np.searchsorted(last, at, side="right"))
+                    low, high = np.searchsorted(prints, grams[at]), np.searchsorted(prints, grams[at], side="right")
+                    starts += [(row, int(k), int(at - (last[row] - counts[row]) - place)) for k, place in of[low:high]]
             found: list[list[dict]] = [[] for _ in counts]
-            for row in np.unique(rows):
-                first = last[row] - counts[row]
-                found[row] = self._matches(codes[first : last[row]], hit[rows == row] - first, grams[hit[rows == row]])
+            for row in sorted({r for r, _, _ in starts}):
+                found[row] = self._matches(codes[last[row] - counts[row] : last[row]], sorted({(k, d) for r, k, d in starts if r == row}))
             yield from found
 
-    def _matches(self, text: np.ndarray, places: np.ndarray, prints: np.ndarray) -> list[dict]:
-        low, high = np.searchsorted(self.prints, prints), np.searchsorted(self.prints, prints, side="right")
-        starts = sorted({(int(k), int(at - place)) for at, a, b in zip(places, low, high, strict=True) for k, place in self.of[a:b]})
+    def _matches(self, text: np.ndarray, starts: list[tuple[int, int]]) -> list[dict]:
         out, done = [], {}
         for k, diagonal in starts:
             template = self.words[k]
@@ -110,7 +109,16 @@ class Templates:
             done[k] = diagonal
             if matched >= LEAST * len(template):
                 out.append({"license": self.names[k], "coverage": matched / len(template), "matched": matched, "start": base + start, "end": base + end})
-        return out
+        return _best_of(out)
+
+
+def _best_of(matches: list[dict]) -> list[dict]:
+    """Of matches that share words the one that covers most of the text, less what its template lacks; versions of a license differ in few words."""
+    kept: list[dict] = []
+    for m in sorted(matches, key=lambda m: (-(2 * m["matched"] - m["matched"] / m["coverage"]), -m["coverage"], m["license"])):
+        if all(m["end"] <= x["start"] or x["end"] <= m["start"] for x in kept):
+            kept.append(m)
+    return sorted(kept, key=lambda m: (m["start"], m["license"]))
 
 
 _MATCH_DDL = "array<struct<license string, coverage double, matched int, start int, end int>>"
@@ -120,7 +128,7 @@ _MATCH = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()
 def license_matches(text: Column, templates: dict[str, str] | None = None) -> Column:
     """The licenses that a text carries, with coverage of the template and span in words."""
     ship(SparkSession.active())
-    index = Templates(LICENSES if templates is None else templates)
+    index = Templates(TEXTS if templates is None else templates)
 
     @F.arrow_udf(_MATCH_DDL)
     def scan(texts: pa.Array) -> pa.Array:
@@ -136,9 +144,11 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
 
     Words are runs of letters and digits in lower case. Templates' shingles of five words are winnowed into an inverted
     index, which every shingle of a document probes; about each hit's diagonal a banded alignment counts the template's
-    words that the text has in order, and 80 % or more of them make a match. start and end are word places in the text.
-    Templates under five words are never found. A null or empty text has no match; equal ids are scanned apart; an empty
-    table gives none; other columns are not read. The templates, a few KB, go to every task.
+    words that the text has in order, and 80 % or more of them make a match. start and end are word places in the text. Of
+    matches that share words, as versions of one license do, the best stays; ties go by the license's name. Shorter
+    templates are found whole. A null or empty text has no match; texts may be as long as a cell; equal ids and repeated
+    rows are scanned apart; an empty table gives none; other columns are not read, whatever their names. The templates,
+    about 20 KB, go to every task.
     """
     found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.explode(license_matches(F.col(text_col), templates)).alias("m"))
     return found.select("doc_id", "m.license", F.round("m.coverage", 6).alias("coverage"), "m.matched", "m.start", "m.end")
