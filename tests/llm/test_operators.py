@@ -117,6 +117,37 @@ def test_op4_quality(spark):
     assert (held.quality == held.predicted).mean() > 0.95
 
 
+def test_op4_never_looks_at_label_0(spark):
+    from tidemark.llm.quality import score_quality
+
+    folder = "/root/testdata/sf0.01"
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    scores = lambda known: {r.doc_id: round(r.score, 9) for r in score_quality(docs, known).collect()}
+    assert scores(labels) == scores(labels.filter("quality = 1"))
+
+
+def test_op4_minimum_and_prior():
+    from tidemark.llm.quality import estimate_prior, minimise
+
+    rng = np.random.default_rng(1)
+    for prior, shift in ((0.3, 2.0), (0.7, 1.0), (0.9, 0.2)):
+        p = rng.normal(shift, 1, 4000)
+        u = np.concatenate([rng.normal(shift, 1, int(8000 * prior)), rng.normal(-shift, 1, 8000 - int(8000 * prior))])
+        terms = lambda x: np.stack([x, x * x, np.ones(len(x))], axis=1)
+        means = lambda t: (t.T @ t / len(t), t.mean(axis=0))
+        tp, tu = terms(p), terms(u)
+
+        def risk(w):
+            rest = ((1 + tu @ w) ** 2).mean() - prior * ((1 + tp @ w) ** 2).mean()
+            return prior * ((1 - tp @ w) ** 2).mean() + max(0, rest) + 1e-3 * (w[:-1] @ w[:-1])
+
+        w = minimise(means(tp), means(tu), prior)
+        assert all(risk(w) <= risk(w + rng.normal(0, s, 3)) + 1e-9 for s in (0.003, 0.03, 0.3) for _ in range(200))
+    counts = lambda x: np.histogram(np.clip(x, -4, 4), 4096, (-4, 4))[0]
+    u = np.concatenate([rng.normal(1.5, 0.5, 6000), rng.normal(-1.5, 0.5, 4000)])
+    assert abs(estimate_prior(counts(rng.normal(1.5, 0.5, 5000)), counts(u)) - 0.6) < 0.03
+
+
 def test_op5_licenses(spark, texts, data):
     notices = {k: re.findall(r"[0-9a-z\x80-\U0010ffff]+", TEXTS[k].lower()) for k in TEXTS if k.endswith("notice")}
     want = set()

@@ -1,7 +1,14 @@
-"""Quality classifier by positive-unlabelled learning: the non-negative unbiased risk of a linear model on text measures."""
+"""Quality classifier by positive-unlabelled learning: the non-negative unbiased risk of a linear model on text measures.
+
+The loss is the square of the distance from 1 or -1, so the risk follows from the means of the measures and of their
+products over the trusted positives and over all documents. Those are two aggregations; nothing is sampled, and label 0
+is never looked at. The class prior is estimated from the scores: the share of documents above a threshold over that of
+positives above it is no smaller than the prior, and the smallest such quotient is taken for it.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -11,12 +18,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import _columnar as C
+from tidemark.llm._session import cut
 from tidemark.runtime import ship
 
 THRESHOLD = 0.3
 FOLDS = 5
-#: The model is fitted on at most so many labelled and so many unlabelled rows, drawn by a hash of their id.
-SAMPLE = 10_000
+#: Rounds of fitting and estimating the prior, from this prior on; weight of the penalty on weights.
+ROUNDS, FIRST_PRIOR, PENALTY = 3, 0.5, 1e-3
+#: Scores are counted in so many bins from -REACH to REACH.
+BINS, REACH = 4_096, 4.0
 
 _BYTES = np.arange(256)
 _KINDS = np.stack(
@@ -59,71 +69,109 @@ def measure(text: bytes) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """score = logistic(slope * (standardised measures @ weights) + offset)."""
+    """score = (1 + terms of the standardised measures @ weights) / 2, kept within 0 and 1."""
 
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
-    slope: float
-    offset: float
 
-    def score(self, measures: np.ndarray) -> np.ndarray:
+    def terms(self, measures: np.ndarray) -> np.ndarray:
         z = np.clip((measures - self.mean) / self.scale, -8, 8)
-        z = np.hstack([z, z * z / 8]) @ self.weights
-        return 1 / (1 + np.exp(-np.clip(self.slope * z + self.offset, -30, 30)))
+        return np.hstack([z, z * z / 8, np.ones((len(z), 1))])
 
+    def margin(self, measures: np.ndarray) -> np.ndarray:
+        return self.terms(measures) @ self.weights
+
+    def score(self, measures: np.ndarray) -> np.ndarray:
+        return np.clip((1 + self.margin(measures)) / 2, 0, 1)
 
-def _descend(gradient, size: int, steps: int, rate: float) -> np.ndarray:
-    """Adam."""
-    w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
-    for k in range(1, steps + 1):
-        g = gradient(w)
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w -= rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
-    return w
 
+def _totals(rows: DataFrame, of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum over rows of what ``of`` makes of a batch's measures, always as many numbers; tasks add up before they send."""
+    size = len(of(np.zeros((0, MEASURES))))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            total += of(_matrix(batch.column(0)))
+        yield pa.record_batch([pa.array(np.arange(size, dtype=np.int32)), pa.array(total)], names=["k", "v"])
+
+    found = rows.select("m").mapInArrow(task, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toArrow()
+    out = np.zeros(size)
+    out[found["k"].to_numpy()] = found["v"].to_numpy()
+    return out
 
-def _logistic(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    flat = np.concatenate([np.zeros(0, np.float32), *(c.flatten().to_numpy() for c in chunks)])
+    return flat.reshape(-1, MEASURES).astype(np.float64)
 
-def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400) -> Model:
-    """Minimise prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)) with the logistic loss.
 
-    Where the second part falls below zero, its gradient is climbed instead, as non-negative risk asks for.
+def minimise(positive: tuple[np.ndarray, np.ndarray], every: tuple[np.ndarray, np.ndarray], prior: float) -> np.ndarray:
+    """The weights that minimise prior * R+(positive) + max(0, R-(every) - prior * R-(positive)) under the square loss.
+
+    positive, every: the means of the terms' products and of the terms. Where the second part would fall below zero, its
+    weight is lowered until it is zero.
     """
-    both = np.vstack([positive, unlabelled])
-    mean, scale = both.mean(axis=0), both.std(axis=0)
-    scale[scale < 1e-6] = 1.0
-    z = np.clip((both - mean) / scale, -8, 8)
-    z = np.hstack([z, z * z / 8, np.ones((len(z), 1))])
-    zp, zu = z[: len(positive)], z[len(positive) :]
+    (mp, ap), (mu, au) = positive, every
+    penalty = np.full(len(ap), PENALTY)
+    penalty[-1] = 1e-9
+
+    def at(share: float) -> np.ndarray:
+        matrix = prior * mp + share * (mu - prior * mp) + np.diag(penalty)
+        return np.linalg.solve(matrix, prior * ap - share * (au - prior * ap))
+
+    def rest(w: np.ndarray) -> float:
+        return float(1 + 2 * au @ w + w @ mu @ w - prior * (1 + 2 * ap @ w + w @ mp @ w))
+
+    w, low, high = at(1.0), 0.0, 1.0
+    if rest(w) >= 0:
+        return w
+    for _ in range(30):
+        share = (low + high) / 2
+        low, high = (share, high) if rest(at(share)) >= 0 else (low, share)
+    return at(low)
+
 
-    def gradient(w: np.ndarray) -> np.ndarray:
-        gp, gu = zp @ w, zu @ w
-        # Of label 1 the loss is softplus(-g), of label 0 softplus(g).
-        up, dp, du = zp.T @ (1 - _logistic(gp)) / len(zp), zp.T @ _logistic(gp) / len(zp), zu.T @ _logistic(gu) / len(zu)
-        rest = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        return -prior * up + (du - prior * dp if rest >= 0 else prior * dp - du) + 1e-3 * w
+def estimate_prior(positive: np.ndarray, every: np.ndarray) -> float:
+    """The least share of all scores above a threshold over that of the positives' scores, from counts by bin.
+
+    Thresholds that leave under two fifths of the positives are too rough to count.
+    """
+    above = lambda n: np.cumsum(n[::-1])[::-1] / max(n.sum(), 1)
+    of_positive, of_every = above(positive), above(every)
+    some = of_positive >= 0.4
+    return float(np.clip((of_every[some] / of_positive[some]).min(), 0.05, 0.99))
 
-    w = _descend(gradient, z.shape[1], steps, 0.05)
-    return Model(mean, scale, w[:-1], 1.0, float(w[-1]))
 
+def fit_pu(positives: DataFrame, every: DataFrame) -> Model | None:
+    """The model for measures (m) of trusted positives and of all documents; None where either has no rows."""
+    n_u, n_p = every.count(), positives.count()
+    if not n_u or not n_p:
+        return None
+    sums = _totals(every, lambda x: np.concatenate([x.sum(axis=0), (x * x).sum(axis=0)])) / n_u
+    mean = sums[:MEASURES]
+    scale = np.sqrt(np.maximum(sums[MEASURES:] - mean * mean, 0))
+    scale[scale < 1e-6] = 1.0
+    bare = Model(mean, scale, np.zeros(0))
 
-def calibrated(model: Model, measures: np.ndarray, labels: np.ndarray) -> Model:
-    """The model with slope and offset such that the scores fit the labels (no slope under 0.1)."""
-    if len(set(labels.tolist())) < 2:
-        return model
-    z = np.clip((measures - model.mean) / model.scale, -8, 8)
-    raw = np.hstack([z, z * z / 8]) @ model.weights
-    spread = raw.std() or 1.0
+    def moments(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+        def of(x: np.ndarray) -> np.ndarray:
+            t = bare.terms(x)
+            return np.concatenate([(t.T @ t).ravel(), t.sum(axis=0)])
 
-    def gradient(w: np.ndarray) -> np.ndarray:
-        miss = _logistic(w[0] * raw / spread + w[1]) - labels
-        return np.array([(miss * raw / spread).mean(), miss.mean()]) + 1e-3 * w
+        total = _totals(rows, of) / n
+        return total[: -2 * MEASURES - 1].reshape(2 * MEASURES + 1, -1), total[-2 * MEASURES - 1 :]
 
-    a, b = _descend(gradient, 2, 600, 0.05)
-    return Model(model.mean, model.scale, model.weights, max(a / spread, 0.1), float(b))
+    def counts(rows: DataFrame, model: Model) -> np.ndarray:
+        return _totals(rows, lambda x: np.histogram(np.clip(model.margin(x), -REACH, REACH), BINS, (-REACH, REACH))[0].astype(float))
+
+    of_positive, of_every, prior = moments(positives, n_p), moments(every, n_u), FIRST_PRIOR
+    for _ in range(ROUNDS):
+        model = Model(mean, scale, minimise(of_positive, of_every, prior))
+        prior = estimate_prior(counts(positives, model), counts(every, model))
+    return Model(mean, scale, minimise(of_positive, of_every, prior))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -144,29 +192,17 @@ def measures(text: Column) -> Column:
     return of(text)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model | None:
-    """Learn from the labels of documents that aren't held out; None where no document has label 1.
+def _measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, held_out and the measures m of each row, kept in the shared folder: 80 bytes a document."""
+    return cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), measures(F.col(text_col)).alias("m")))
 
-    Trusted positives are rows with label 1; the unlabelled text is a draw from all documents. The class prior is the
-    share of label 1 among the labelled rows, over which the scores are then calibrated. At most ``sample`` labelled and
-    ``sample`` unlabelled rows are used, those with the smallest hash of their id; their measures, a few MB, are all that
-    the driver gets.
-    """
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+def fit_quality(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> Model | None:
+    """Learn from all documents that aren't held out, and from which of them have label 1; None where none has."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("label")).dropna()
-    known = known.groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
-    draw = lambda d, seed: d.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample)
-    # Both draws hold at most ``sample`` rows of two numbers, so they are small enough to broadcast.
-    here = own.select("doc_id").dropna()
-    wanted = draw(here.join(known, "doc_id"), 1).unionByName(draw(here.withColumn("label", F.lit(-1)), 2))
-    rows = own.join(F.broadcast(wanted), "doc_id").select("label", measures(F.col("text")).alias("m")).toArrow()
-    label = rows["label"].to_numpy()
-    seen = np.concatenate([np.zeros(0, np.float32), *(c.flatten().to_numpy() for c in rows["m"].chunks)]).reshape(len(label), MEASURES).astype(float)
-    if not (label == 1).any() or not (label == -1).any():
-        return None
-    prior = float(np.clip((label[label >= 0]).mean(), 0.05, 0.95))
-    model = fit_pu(seen[label == 1], seen[label == -1], prior)
-    return calibrated(model, seen[label >= 0], label[label >= 0].astype(float))
+    good = known.groupBy("doc_id").agg(F.avg("label").alias("label")).filter("label >= 0.5")
+    learning = measured.filter("NOT held_out")
+    return fit_pu(cut(learning.join(good, "doc_id", "left_semi").select("m")), learning)
 
 
 def quality_score(text: Column, model: Model | None) -> Column:
@@ -184,19 +220,31 @@ def quality_score(text: Column, model: Model | None) -> Column:
     return score(text)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """docs' ids with held_out, score and predicted (1 where the score is THRESHOLD or more).
 
-    A null or empty text has the score that the model gives a text without words; a null id isn't held out and has no
-    label; several labels of an id count by their mean, null ones not at all; rows that share an id each get a row. With
-    no labels of kind 1 every score is 0.5; an empty table gives none. Other columns are never read.
+    A null or empty text has the score that the model gives a text without words; texts may be as long as a cell; a null
+    id isn't held out and has no label; several labels of an id count by their mean, null ones not at all; rows that
+    share an id, or are the same, each get a row. With no labels of kind 1 every score is 0.5; an empty table gives none.
+    Other columns are never read, whatever their names.
     """
-    model = fit_quality(docs, labels, sample, id_col, text_col, label_col)
-    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), quality_score(F.col(text_col), model).alias("score"))
+    rows = _measured(docs, id_col, text_col)
+    model = fit_quality(rows, labels, id_col, label_col)
+    ship(docs.sparkSession)
+
+    @F.arrow_udf("double")
+    def score(m: pa.Array) -> pa.Array:
+        return pa.array(model.score(_matrix(m)))
+
+    scored = rows.select("doc_id", "held_out", (F.lit(0.5) if model is None else score("m")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that the classifier doesn't reject, with their own columns."""
-    model = fit_quality(docs, labels, SAMPLE, id_col, text_col)
+    """The rows of docs that the classifier doesn't reject, with their own columns.
+
+    Nulls, empty and long texts, repeated rows and ids count as in ``score_quality``; without labels of kind 1 all rows
+    stay; an empty table gives none.
+    """
+    model = fit_quality(_measured(docs, id_col, text_col), labels, id_col)
     return docs.filter(quality_score(F.col(text_col), model) >= THRESHOLD)
