@@ -97,6 +97,27 @@ def test_op3_ann(spark, data):
     assert found >= 0.9 * best.size and len(rows) == best.size
 
 
+def test_op3_tables_hold_every_code_in_reach():
+    from tidemark.llm.ann import Tables, bounds
+
+    rng = np.random.default_rng(0)
+    for width in (1, 3, 16):
+        codes, probes = rng.integers(0, 256, (300, width), np.uint8), rng.integers(0, 256, (20, width), np.uint8)
+        apart = np.bitwise_count(probes[:, None] ^ codes[None]).sum(axis=2)
+        for radius in (0, 2, width, 3 * width, 8 * width):
+            assert bounds(radius, width).sum() == radius - width + 1
+            assert (Tables(codes).within(probes, radius) == (apart <= radius)).all()
+
+
+def test_op3_ties_and_repeated_ids(spark):
+    from tidemark.llm.ann import nearest
+
+    # Six distinct vectors at one angle of the query: the five smaller ids win; a repeated row counts once.
+    rows = [(0, [1.0, 0.0, 0.0, 0.0])] + [(10 + k, v) for k, v in enumerate(([1.0, 1.0, 0.0, 0.0], [1.0, 0.0, 1.0, 0.0], [1.0, 0.0, 0.0, 1.0], [1.0, -1.0, 0.0, 0.0], [1.0, 0.0, -1.0, 0.0], [1.0, 0.0, 0.0, -1.0]))] + [(12, [1.0, 0.0, 0.0, 1.0]), (0, [1.0, 0.0, 0.0, 0.0])]
+    got = [(r.query_id, r["rank"], r.vec_id) for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("query_id", "rank").collect()]
+    assert got == [(0, n + 1, 10 + n) for n in range(5)]
+
+
 def test_op3_gives_isolated_queries_all_their_rows(spark):
     from tidemark.llm.ann import nearest
 

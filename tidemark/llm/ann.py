@@ -1,10 +1,12 @@
 """Nearest neighbours by multi-index hashing over learned rotated binary codes.
 
 Unit vectors are centred and turned by rotations that iterative quantisation learns on a bounded sample; the signs are
-the code. Codes are split into substrings of a byte, each with its own table. By the pigeonhole principle a code within
-``radius`` of a query agrees with it up to ``radius // substrings`` bits on at least one substring, so probing every
-table that far retrieves every such code; those are ranked again by their exact cosines. The radius is the one that holds
-the true neighbours of the sample; queries that find too few rows within it are asked again with a wider one. The query set meets the rows in blocks, each with its own tables.
+the code. Codes are split into m substrings of a byte, each with its own table. By the pigeonhole principle a code within
+``radius`` of a query agrees with it up to t bits on at least one substring, where the substrings' bounds t add up to
+radius - m + 1; so probing every table that far retrieves every such code. Those are ranked again by their exact cosines.
+The first radius is the one that holds the true neighbours of the sample. A query is settled once its radius holds what
+lies at the angle of its k-th row found; others are asked again with a wider one. The query set meets the rows in blocks,
+each with its own tables.
 """
 
 from __future__ import annotations
@@ -23,7 +25,11 @@ from tidemark.llm._session import cut, partitions
 SAMPLE = 4_000
 ROTATIONS = 2
 BLOCK = 4_096
-QUERY_BLOCK = 512
+QUERY_BLOCK = 2_048
+#: Queries of a block that are compared at a time, which bounds a task's memory.
+AT_ONCE = 256
+#: A radius holds bits that differ by so many standard deviations more than an angle makes likely.
+SIGMAS = 1.0
 _BITS = np.bitwise_count(np.arange(256, dtype=np.uint8))
 _APART = _BITS[np.arange(256)[:, None] ^ np.arange(256)[None]]
 
@@ -46,7 +52,7 @@ class Codes:
         return np.packbits(np.pad(signs, ((0, 0), (0, -signs.shape[1] % 8))), axis=1)
 
 
-def learn_codes(sample: np.ndarray, k: int = 5, rotations: int = ROTATIONS, share: float = 0.98, rounds: int = 25, seed: int = 5) -> Codes:
+def learn_codes(sample: np.ndarray, k: int = 5, rotations: int = ROTATIONS, share: float = 0.93, rounds: int = 25, seed: int = 5) -> Codes:
     """Learn the rotations by iterative quantisation, and the radius that holds ``share`` of the sample's k neighbours."""
     rng, units = np.random.default_rng(seed), _unit(sample)
     mean = units.mean(axis=0)
@@ -69,24 +75,32 @@ def learn_codes(sample: np.ndarray, k: int = 5, rotations: int = ROTATIONS, shar
     return Codes(mean, codes.turn, int(np.quantile(apart, share)) if apart.size else 8 * bytes_.shape[1])
 
 
-class _Tables:
-    """One table a substring: the rows of each of its 256 values."""
+def bounds(radius: int, substrings: int) -> np.ndarray:
+    """How many bits of each substring may differ: together radius - substrings + 1, as even as can be; -1 is none at all."""
+    total = radius - substrings + 1
+    return total // substrings + (np.arange(substrings) < total % substrings)
+
+
+class Tables:
+    """One table a substring of a block's codes, probed for many queries at once."""
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
-        self.order = np.argsort(codes, axis=0, kind="stable")
-        self.edges = np.stack([np.searchsorted(codes[self.order[:, j], j], np.arange(257)) for j in range(codes.shape[1])])
-
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Every row whose code differs from this one in at most ``radius`` bits."""
-        reach, met = radius // len(code), np.zeros(len(self.codes), bool)
-        for j, value in enumerate(code):
-            for probe in np.flatnonzero(_APART[value] <= reach):
-                met[self.order[self.edges[j, probe] : self.edges[j, probe + 1], j]] = True
-            if met.all():
-                break
-        rows = np.flatnonzero(met)
-        return rows[np.bitwise_count(self.codes[rows] ^ code).sum(axis=1) <= radius]
+        width = -(-codes.shape[1] // 8) * 8
+        self.words = np.pad(codes, ((0, 0), (0, width - codes.shape[1]))).view(np.uint64)
+
+    def within(self, probes: np.ndarray, radius: int) -> np.ndarray:
+        """Which rows have a code that differs from each probe's in at most ``radius`` bits: a matrix of probes by rows."""
+        met = np.zeros((len(probes), len(self.codes)), bool)
+        for j, bound in enumerate(bounds(radius, self.codes.shape[1])):
+            if bound >= 0:
+                # The buckets of table j that a probe reaches, and the rows in them.
+                met |= (_APART[probes[:, j]] <= bound)[:, self.codes[:, j]]
+        asked, rows = np.nonzero(met)
+        words = np.pad(probes, ((0, 0), (0, self.words.shape[1] * 8 - probes.shape[1]))).view(np.uint64)
+        far = sum(np.bitwise_count(words[asked, w] ^ self.words[rows, w]).astype(np.int32) for w in range(words.shape[1])) > radius
+        met[asked[far], rows[far]] = False
+        return met
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -102,21 +116,24 @@ def _search(codes: Codes, k: int):
         if not len(rows) or not len(queries):
             return _FOUND.empty_table()
         x, q = _matrix(rows["vector"]), _matrix(queries["asked"])
-        tables, probes = _Tables(codes.encode(x)), codes.encode(q)
+        tables, probes = Tables(codes.encode(x)), codes.encode(q)
         ux, uq = _unit(x), _unit(q)
         ids, asked = rows["ids"].combine_chunks(), queries["query"].to_pylist()
         firsts = np.array([v[0].as_py() for v in ids])
         found: list[list] = [[], [], []]
-        for n, code in enumerate(probes):
-            at = tables.within(code, codes.radius)
-            score = ux[at] @ uq[n]
-            if len(at) > k + 1:
-                least = np.partition(score, -k - 1)[-k - 1]
-                at, score = at[score >= least], score[score >= least]
-            order = np.lexsort((firsts[at], -score))[: k + 1]
-            found[0] += [asked[n]] * len(order)
-            found[1] += at[order].tolist()
-            found[2] += score[order].tolist()
+        for begin in range(0, len(probes), AT_ONCE):
+            some = slice(begin, begin + AT_ONCE)
+            near = np.where(tables.within(probes[some], codes.radius), uq[some] @ ux.T, -2)
+            most = min(k + 1, len(x))
+            # What ties with the last place stays, within rounding; those few are ranked by sums in one order.
+            least = -np.partition(-near, most - 1, axis=1)[:, most - 1] - 1e-9
+            for n in range(len(near)):
+                at = np.flatnonzero((near[n] >= least[n]) & (near[n] > -2))
+                score = (ux[at] * uq[begin + n]).sum(axis=1)
+                order = np.lexsort((firsts[at], -score))[: k + 1]
+                found[0] += [asked[begin + n]] * len(order)
+                found[1] += at[order].tolist()
+                found[2] += score[order].tolist()
         return pa.table([pa.array(found[0], pa.int64()), ids.take(pa.array(found[1], pa.int64())), pa.array(found[2], pa.float64())], schema=_FOUND)
 
     return task
@@ -127,18 +144,21 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, sample: int = SAMPL
 
     A row's own id is no candidate of it; ties go to the smaller id. Rows with a null id, and vectors that are null,
     empty or zero, hold null or non-finite numbers or have another length than most, take no part. Rows that share a
-    vector are searched once; of each vector the k + 1 smallest ids can be among the results. A query with fewer
-    than k candidates in reach is searched again further out, and alone gets fewer where the table holds no more; an empty table gives none. The codes are fitted on ``sample`` vectors at most.
+    vector are searched once; of each vector the k + 1 smallest ids can be among the results; rows that are the same count
+    once. A query gets fewer than k rows only where the table holds no more; an empty table gives none. Other columns are
+    not read, whatever their names. The codes are fitted on ``sample`` vectors at most; every row is indexed.
     """
     n = partitions(vectors.sparkSession)
-    vector = F.transform(F.col(vector_col), lambda v: v.cast("double"))
+    # Numbers of 32 bits stay so on their way; tasks reckon with 64.
+    kind = "float" if vectors.select(vector_col).schema[0].dataType.elementType.simpleString() == "float" else "double"
+    vector = F.transform(F.col(vector_col), lambda v: v.cast(kind))
     fine = F.forall(F.col("vector"), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(F.col("vector"), lambda v: v != 0)
     clean = vectors.select(F.col(id_col).cast("long").alias("vec_id"), vector.alias("vector")).filter(F.col("vec_id").isNotNull() & fine)
     top = clean.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if top is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     # -0.0 and 0.0 are one number here; equal vectors then have one key.
-    keyed = cut(clean.filter(F.size("vector") == top.d).withColumn("vector", F.transform("vector", lambda v: v + F.lit(0.0))).withColumn("key", F.xxhash64("vector")))
+    keyed = cut(clean.filter(F.size("vector") == top.d).withColumn("vector", F.transform("vector", lambda v: v + F.lit(0.0).cast(kind))).withColumn("key", F.xxhash64("vector")))
     low = Window.partitionBy("key", "vector").orderBy("vec_id")
     few = keyed.dropDuplicates(["vec_id", "key"]).withColumn("n", F.row_number().over(low)).filter(F.col("n") <= k + 1)
     distinct = cut(few.groupBy("key", "vector").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")))
@@ -159,18 +179,23 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, sample: int = SAMPL
         return cut(found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).drop("n"))
 
     bits, step = codes.turn.shape[1], -(-codes.turn.shape[1] // 8)
+    apart = F.acos(F.greatest(F.least(F.min("score"), F.lit(1.0)), F.lit(-1.0))) / F.lit(np.pi)
+    wanted = F.ceil(apart * bits + SIGMAS * F.sqrt(bits * apart * (1 - apart)))
     short, open_, asked = None, queries, asking.count()
     while asked:
         found = probe(open_, asked, codes)
-        # Those with too few rows in reach are asked again, further out, until all bits may differ.
-        enough = found.groupBy("query").agg(F.sum(F.size("ids")).alias("n")).filter(F.col("n") >= k + 1).select("query")
         last_round = codes.radius >= bits
+        # How far out each query must look, by the last of its rows; those with too few rows go on in growing steps.
+        reach = found.groupBy("query").agg(F.sum(F.size("ids")).alias("n"), F.count("*").alias("rows"), F.least(wanted, F.lit(bits)).alias("wanted"))
+        enough = reach.filter((F.col("n") >= k + 1) & ((F.col("wanted") <= codes.radius) | (F.col("rows") < k + 1))).select("query")
         settled = found if last_round else found.join(enough, "query", "left_semi")
         short = settled if short is None else short.unionByName(settled)
         if last_round:
             break
         open_ = cut(open_.join(enough, "query", "left_anti"))
-        asked, codes, step = open_.count(), replace(codes, radius=min(bits, codes.radius + step)), 2 * step
+        more = open_.join(reach.filter(F.col("n") >= k + 1), "query", "left").agg(F.count("*").alias("n"), F.max("wanted").alias("far"), F.count_if(F.col("wanted").isNull()).alias("short")).first()
+        radius = max(more.far or 0, codes.radius + 1, codes.radius + step if more.short else 0)
+        asked, codes, step = more.n, replace(codes, radius=min(bits, radius)), 2 * step if more.short else step
     if short is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     # Back from distinct query vectors to the query rows; a query's own id then drops out.
