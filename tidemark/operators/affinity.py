@@ -42,7 +42,6 @@ def user_source_affinity(feedback: DataFrame, content: DataFrame, signals: DataF
 
 def user_topic_affinity(preferences: DataFrame, feedback: DataFrame, source_affinity: DataFrame, content_topics: DataFrame, source_topics: DataFrame, links: DataFrame, now: Column) -> DataFrame:
     """Preferences flow down the tree, interest in contents and sources flows up, each weaker by depth."""
-    links = F.broadcast(links)
     down = preferences.join(links, preferences.topic_id == links.ancestor_id).select("user_id", F.col("descendant_id").alias("topic_id"), (F.col("weight") * 2 * F.pow(F.lit(0.8), "depth")).alias("score"), F.lit(1).cast("long").alias("signals"), now.alias("at"))
     read = feedback.filter("last_interacted_at IS NOT NULL").join(content_topics, "content_id").join(links, F.col("topic_id") == F.col("descendant_id"))
     up = read.select("user_id", F.col("ancestor_id").alias("topic_id"), (F.col("score") * F.col("confidence") * F.pow(F.lit(0.7), "depth") * S.decay(F.col("last_interacted_at"), now)).alias("score"), F.lit(1).cast("long").alias("signals"), F.col("last_interacted_at").alias("at"))

@@ -1,7 +1,9 @@
 """Candidates for every user at once: contents by bucket, sources, previews.
 
 A bucket's best 200 are found from lists that are ranked once per language profile, topic or source: a user whose
-exclusions number x finds the best 200 among the first 200 + x of a list, so no user meets all contents.
+exclusions number x finds the best 200 among the first 200 + x of a list, so no user meets all contents. Lists are cut
+to what the user with most exclusions needs before they are ranked as a whole, so no task sorts all of a list's rows, and
+are then so short that Spark broadcasts them by their size.
 """
 
 from __future__ import annotations
@@ -31,14 +33,33 @@ def _profiles(users: DataFrame) -> DataFrame:
     return users.select("user_id", F.array_sort(F.array_distinct("languages")).alias("languages")).withColumn("profile", F.array_join("languages", ","))
 
 
+def _places(rows: DataFrame, key: str, order: list[Column], deepest: int, item: str = "id") -> DataFrame:
+    """rows with their place within a key, of the first ``deepest`` places: first within slices of the key, then as a whole."""
+    slices = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = Window.partitionBy(key, F.pmod(F.xxhash64(item), F.lit(slices))).orderBy(*order)
+    some = rows.withColumn("place", F.row_number().over(part)).filter(F.col("place") <= deepest)
+    return some.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("place") <= deepest)
+
+
+def _deepest(reach: DataFrame) -> int:
+    """How far into a list the user who must skip most has to look."""
+    return LIMIT + (reach.agg(F.max("skips")).first()[0] or 0)
+
+
+def _for_profiles(rows: DataFrame, kinds: DataFrame) -> DataFrame:
+    """rows for each profile (profile, languages) that reads their language; rows without one, and profiles without any, fit all."""
+    reads = F.when(F.size("languages") == 0, F.array(F.lit("*"))).otherwise(F.array_append("languages", F.lit("")))
+    keyed = kinds.select("profile", F.explode(reads).alias("reads"))
+    tongue = F.array(F.coalesce("language_code", F.lit("")), F.lit("*"))
+    return rows.withColumn("reads", F.explode(tongue)).join(keyed, "reads").drop("reads")
+
+
 def _by_profile(users: DataFrame, pool: DataFrame, order: list[Column], reach: DataFrame, barred: DataFrame, name: str) -> DataFrame:
     """Each user's best of a pool under its languages; reach has how many of the pool a user may have to skip."""
     profiled = _profiles(users)
     kinds = profiled.select("profile", "languages").distinct()
-    speaks = (F.size("languages") == 0) | F.col("language_code").isNull() | F.array_contains("languages", F.col("language_code"))
     # Profiles are few next to users; each language list is ranked once for all who share it.
-    w = Window.partitionBy("profile").orderBy(*order)
-    lists = pool.join(F.broadcast(kinds), speaks).withColumn("place", F.row_number().over(w)).drop("languages")
+    lists = _places(_for_profiles(pool, kinds), "profile", order, _deepest(reach))
     most = profiled.join(reach, "user_id", "left").select("user_id", "profile", (F.coalesce("skips", F.lit(0)) + LIMIT).alias("most"))
     met = most.join(lists, (most.profile == lists.profile) & (F.col("place") <= F.col("most"))).select("user_id", F.col("id").alias("content_id"), "source_id", "place")
     open_ = met.join(barred, ["user_id", "content_id"], "left_anti")
@@ -68,8 +89,7 @@ def content_buckets(users: DataFrame, content: DataFrame, inbox: DataFrame, subs
     newest = own.filter(since(60))
     by_topic = newest.join(content_topics.select(F.col("content_id").alias("id"), F.col("topic_id").alias("key")), "id").unionByName(newest.join(source_topics.select("source_id", F.col("topic_id").alias("key")), "source_id").select("id", "source_id", "language_code", "published_at", "key")).distinct()
     by_source = newest.filter("source_id IS NOT NULL").withColumn("key", F.concat(F.lit("source "), "source_id"))
-    w = Window.partitionBy("key").orderBy(F.desc("published_at"), F.desc("id"))
-    lists = by_topic.unionByName(by_source.select(*by_topic.columns)).withColumn("place", F.row_number().over(w))
+    lists = _places(by_topic.unionByName(by_source.select(*by_topic.columns)), "key", [F.desc("published_at"), F.desc("id")], _deepest(skips))
     liked = context.select("user_id", F.explode(F.concat("top_topics", F.transform("top_sources", lambda s: F.concat(F.lit("source "), s)))).alias("key")).join(skips, "user_id", "left").withColumn("most", F.coalesce("skips", F.lit(0)) + LIMIT)
     near = liked.join(lists, (liked.key == lists.key) & (F.col("place") <= F.col("most"))).select("user_id", F.col("id").alias("content_id"), "published_at").distinct().join(barred, ["user_id", "content_id"], "left_anti")
     adjacent = pick(_top(near, [F.desc("published_at"), F.desc("content_id")]), "saved_adjacent")
@@ -87,7 +107,7 @@ def content_buckets(users: DataFrame, content: DataFrame, inbox: DataFrame, subs
 
 def _topic_match(rows: DataFrame, key: str, affinity: DataFrame, topics: DataFrame) -> DataFrame:
     """Best weighted affinity of (user_id, key) over rows (user_id, key, topic_id, confidence), and its topic."""
-    slugs = F.broadcast(topics.select(F.col("id").alias("topic_id"), "slug"))
+    slugs = topics.select(F.col("id").alias("topic_id"), "slug")
     weight = F.greatest("score", F.lit(0.0)) * F.col("confidence")
     met = rows.join(affinity.select("user_id", "topic_id", "score"), ["user_id", "topic_id"]).join(slugs, "topic_id").select("user_id", key, "slug", weight.alias("w"))
     return met.groupBy("user_id", key).agg(F.max("w").alias("topic_score"), F.min_by("slug", F.struct(-F.col("w"), F.col("slug"))).alias("primary_topic_slug"))
@@ -144,11 +164,10 @@ def source_candidates(users: DataFrame, sources: DataFrame, content: DataFrame,
     # Newest content by source and language, so that a user's languages pick from one row each.
     newest = recent.groupBy("source_id", "language_code").agg(F.max("published_at").alias("at"))
     profiled = _profiles(users)
-    speaks = (F.size("languages") == 0) | F.col("language_code").isNull() | F.array_contains("languages", F.col("language_code"))
-    per_profile = newest.join(F.broadcast(profiled.select("profile", "languages").distinct()), speaks).groupBy("profile", "source_id").agg(F.max("at").alias("at"))
-    w = Window.partitionBy("profile").orderBy(F.desc("at"), F.asc("source_id"))
-    lists = per_profile.withColumn("place", F.row_number().over(w))
-    most = profiled.join(mine.groupBy("user_id").agg(F.count("*").alias("skips")), "user_id", "left").select("user_id", "profile", (F.coalesce("skips", F.lit(0)) + LIMIT).alias("most"))
+    per_profile = _for_profiles(newest, profiled.select("profile", "languages").distinct()).groupBy("profile", "source_id").agg(F.max("at").alias("at"))
+    follows = mine.groupBy("user_id").agg(F.count("*").alias("skips"))
+    lists = _places(per_profile, "profile", [F.desc("at"), F.asc("source_id")], _deepest(follows), "source_id")
+    most = profiled.join(follows, "user_id", "left").select("user_id", "profile", (F.coalesce("skips", F.lit(0)) + LIMIT).alias("most"))
     fresh = most.join(lists, (most.profile == lists.profile) & (F.col("place") <= F.col("most"))).select("user_id", "source_id", "place").join(mine, ["user_id", "source_id"], "left_anti")
     engaged = source_affinity.filter("score > 0").join(source_topics, "source_id").groupBy("user_id", "topic_id").agg(F.max("score").alias("affinity"))
     alike = engaged.join(source_topics, "topic_id").select("user_id", "source_id").distinct()
@@ -167,9 +186,9 @@ def source_candidates(users: DataFrame, sources: DataFrame, content: DataFrame,
 
 def source_preview(selected: list[str], languages: list[str], sources: DataFrame, content: DataFrame, topics: DataFrame, links: DataFrame, source_topics: DataFrame, source_halo: DataFrame, now: Column) -> DataFrame:
     """Active sources for chosen topics and those below them, for somebody without an account."""
-    chosen = F.broadcast(links.filter(F.col("ancestor_id").isin(selected)).groupBy(F.col("descendant_id").alias("topic_id")).agg(F.min("depth").alias("depth")))
+    chosen = links.filter(F.col("ancestor_id").isin(selected)).groupBy(F.col("descendant_id").alias("topic_id")).agg(F.min("depth").alias("depth"))
     weight = F.col("confidence") * F.pow(F.lit(0.85), "depth")
-    slugs = F.broadcast(topics.select(F.col("id").alias("topic_id"), "slug"))
+    slugs = topics.select(F.col("id").alias("topic_id"), "slug")
     met = source_topics.join(chosen, "topic_id").join(slugs, "topic_id").select("source_id", "slug", weight.alias("w"))
     matched = met.groupBy("source_id").agg(F.least(F.sum("w"), F.lit(2.0)).alias("topic_score"), F.min_by("slug", F.struct(-F.col("w"), F.col("slug"))).alias("primary_topic_slug"))
     recent = content.filter(F.col("published_at") >= now - F.make_dt_interval(F.lit(30)))

@@ -38,8 +38,8 @@ def scored_content(candidates: DataFrame, subscriptions: DataFrame, now: Column)
 
 
 def content_order() -> list[Column]:
-    """By score; ties by the order of the buckets, then newest first."""
-    return [F.desc("score"), *(F.desc(b) for b in ("subscribed", "saved_adjacent", "discovery", "trending", "evergreen")), F.desc("published_at"), F.desc("content_id")]
+    """By score to nine places; ties by the order of the buckets, then newest first."""
+    return [F.desc(F.round("score", 9)), *(F.desc(b) for b in ("subscribed", "saved_adjacent", "discovery", "trending", "evergreen")), F.desc("published_at"), F.desc("content_id")]
 
 
 def scored_sources(candidates: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def scored_preview(candidates: DataFrame) -> DataFrame:
 
 
 def source_order() -> list[Column]:
-    return [F.desc("score"), F.desc("topic_score"), F.desc("editorial_score"), F.desc("source_halo_score"), F.desc("recent_activity_count"), F.asc("source_id")]
+    return [*(F.desc(F.round(c, 9)) for c in ("score", "topic_score", "editorial_score", "source_halo_score")), F.desc("recent_activity_count"), F.asc("source_id")]
 
 
 def _same(key: str, row: Column) -> Callable[[Column], Column]:

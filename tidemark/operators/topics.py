@@ -6,21 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import language_codes
+from tidemark.runtime import cut
 
-MOST_DEPTH = 16
+def closure(topics: DataFrame) -> DataFrame:
+    """(ancestor_id, descendant_id, depth) with each topic as its own ancestor at depth 0, each pair at its least depth.
 
-
-def closure(topics: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
-    """(ancestor_id, descendant_id, depth) with each topic as its own ancestor at depth 0."""
+    The tree may be of any depth: each round goes one level up, until none finds a pair that wasn't there, so cycles end too.
+    """
     parents = topics.select(F.col("id").alias("child"), "parent_id").filter("parent_id IS NOT NULL")
     level = topics.select(F.col("id").alias("ancestor_id"), F.col("id").alias("descendant_id"), F.lit(0).alias("depth"))
     found = level
-    for depth in range(1, most_depth + 1):
-        level = level.join(parents, F.col("ancestor_id") == F.col("child")).select(F.col("parent_id").alias("ancestor_id"), "descendant_id", F.lit(depth).alias("depth"))
+    depth = 0
+    while True:
+        depth += 1
+        up = level.join(parents, F.col("ancestor_id") == F.col("child")).select(F.col("parent_id").alias("ancestor_id"), "descendant_id", F.lit(depth).alias("depth"))
+        level = up.join(found.filter("depth > 0"), ["ancestor_id", "descendant_id"], "left_anti").distinct()
+        # Each level is read by the next; deep trees don't make long plans.
+        level = cut(level) if depth % 4 == 0 else level
         if level.isEmpty():
-            break
+            return found.groupBy("ancestor_id", "descendant_id").agg(F.min("depth").alias("depth"))
         found = found.unionByName(level)
-    return found
 
 
 def rejected_parents(topics: DataFrame, moves: DataFrame) -> DataFrame:
@@ -30,9 +35,10 @@ def rejected_parents(topics: DataFrame, moves: DataFrame) -> DataFrame:
     return moves.join(below, ["id", "parent_id"], "left_semi")
 
 
-def cycles(topics: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
-    """Topics that are their own ancestors."""
-    return closure(topics, most_depth).filter("depth > 0 AND ancestor_id = descendant_id").select(F.col("ancestor_id").alias("id")).distinct()
+def cycles(topics: DataFrame) -> DataFrame:
+    """Topics that are their own ancestors: those that a parent's ancestors lead back to."""
+    links = closure(topics).select("ancestor_id", F.col("descendant_id").alias("parent_id"))
+    return topics.select("id", "parent_id").join(links, "parent_id").filter(F.col("ancestor_id") == F.col("id")).select("id").distinct()
 
 
 def tree(topics: DataFrame) -> DataFrame:
@@ -50,7 +56,7 @@ def subtopics(topics: DataFrame, links: DataFrame, affinity: DataFrame, preferen
     read = feedback.filter("last_interacted_at IS NOT NULL").join(content_topics, "content_id").select("user_id", "topic_id")
     met = source_affinity.filter("last_interacted_at IS NOT NULL OR signals > 0 OR score <> 0").join(source_topics, "source_id").select("user_id", "topic_id")
     behaved = read.unionByName(met).distinct().withColumn("from_behavior", F.lit(True))
-    rows = affinity.filter("score > 0").join(F.broadcast(leaves), "topic_id").join(chosen, ["user_id", "topic_id"], "left").join(behaved, ["user_id", "topic_id"], "left")
+    rows = affinity.filter("score > 0").join(leaves, "topic_id").join(chosen, ["user_id", "topic_id"], "left").join(behaved, ["user_id", "topic_id"], "left")
     flag = lambda c: F.coalesce(c, F.lit(False)).alias(c)
     return rows.select("user_id", "topic_id", "slug", "parent_slug", F.col("score").alias("affinity_score"), flag("from_settings"), flag("from_behavior"))
 

@@ -99,3 +99,19 @@ TABLES = {
 def over(body: str, **more: str) -> str:
     """body over the derived tables."""
     return "WITH " + ", ".join(f"{name} AS ({sql})" for name, sql in (TABLES | more).items()) + " " + body
+
+
+def picks(rows: str, item: str, order: str, caps: dict[str, tuple[int, int]], limit: int = 20, early: int = 10) -> str:
+    """The first picks under caps by key, then what was passed over, as a recursive walk down each user's ranking."""
+    keys = ", ".join(f"CAST({k} AS VARCHAR) AS {k}" for k in caps)
+    ranked = f"SELECT user_id, {item}, score, {keys}, row_number() OVER (PARTITION BY user_id ORDER BY {order}) AS n FROM {rows}"
+    met = " AND ".join(f"(r.{k} IS NULL OR len(list_filter(w.{k}s, lambda x: x = r.{k})) < CASE WHEN len(w.picks) < {early} THEN {a} ELSE {b} END)" for k, (a, b) in caps.items())
+    grown = ", ".join(f"CASE WHEN {met} THEN list_append(w.{k}s, r.{k}) ELSE w.{k}s END" for k in caps)
+    none = ", ".join(f"CAST([] AS VARCHAR[]) AS {k}s" for k in caps)
+    like = f"list_filter([r.{item}], lambda x: FALSE)"
+    walk = f"""SELECT r.user_id, CAST(0 AS BIGINT) AS n, {like} AS picks, {like} AS passed, {none} FROM ranked r WHERE r.n = 1
+        UNION ALL SELECT w.user_id, r.n, CASE WHEN {met} THEN list_append(w.picks, r.{item}) ELSE w.picks END, CASE WHEN {met} OR len(w.passed) >= {limit} THEN w.passed ELSE list_append(w.passed, r.{item}) END, {grown}
+        FROM walk w JOIN ranked r ON r.user_id = w.user_id AND r.n = w.n + 1 WHERE len(w.picks) < {limit}"""
+    body = f"""SELECT p.user_id, p.{item}, CAST(p.position AS INTEGER) AS position, round(r.score + 1e-9, 6) AS score FROM (
+        SELECT user_id, unnest(row) AS {item}, unnest(range(len(row))) AS position FROM (SELECT user_id, list_concat(picks, passed)[1:{limit}] AS row FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC) AS back FROM walk) WHERE back = 1)) p JOIN ranked r ON r.user_id = p.user_id AND r.{item} = p.{item}"""
+    return "WITH RECURSIVE " + over("").removeprefix("WITH ").rstrip() + f", ranked AS MATERIALIZED ({ranked}), walk AS ({walk}) " + body

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.affinity import user_content_feedback
 from tidemark.operators import candidates, rerank, rollup, topics
-from tidemark.plans.oracle import NOW, over
+from tidemark.plans.oracle import NOW, over, picks
 from tidemark.plans.recommend import Recommender
 from tidemark.plans.registry import r6, register, sql6
 from tidemark.sources import entities as E
+from tidemark.sources.tables import table
 
 _DAILY = "impression_count, open_count, save_count, favorite_count, mark_read_count, dismiss_count, heartbeat_count, visible_ms, last_interacted_at"
 
@@ -107,7 +108,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return Recommender(spark, d).scored_content.select("user_id", "content_id", *r6("score"))
 
 
-@register("a15_recommend_content")
+@register("a15_recommend_content", picks("scored", "content_id", "round(score, 9) DESC, subscribed DESC, saved_adjacent DESC, discovery DESC, trending DESC, evergreen DESC, published_at DESC, content_id DESC", {"source_id": (2, 4), "primary_topic_slug": (3, 5)}))
 def _(spark: SparkSession, d: str) -> DataFrame:
     return Recommender(spark, d).recommend_content().select("user_id", "content_id", "position", *r6("score"))
 
@@ -132,7 +133,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return Recommender(spark, d).scored_sources.select("user_id", "source_id", *r6("score"))
 
 
-@register("a18_recommend_sources")
+_SCORED_SOURCES = "(SELECT *, 0.32e0*least(greatest(topic_score,0e0),2e0)/2 + 0.20e0*editorial_score + 0.18e0*source_halo_score + 0.12e0*similarity_score + 0.10e0*least(recent_activity_count,20)/20e0 + 0.08e0 AS score FROM source_candidates)"
+
+
+@register("a18_recommend_sources", picks(_SCORED_SOURCES, "source_id", "round(score, 9) DESC, round(topic_score, 9) DESC, round(editorial_score, 9) DESC, round(source_halo_score, 9) DESC, recent_activity_count DESC, source_id", {"primary_topic_slug": (2, 4)}))
 def _(spark: SparkSession, d: str) -> DataFrame:
     return Recommender(spark, d).recommend_sources().select("user_id", "source_id", "position", *r6("score"))
 
@@ -164,9 +168,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return topics.closure(E.topics(spark, d))
 
 
-@register("a22_topic_cycles", over("SELECT id FROM topics WHERE id = parent_id"))
+@register("a22_topic_cycles", "SELECT 'r' || r_regionkey AS id FROM region WHERE r_regionkey < 3 UNION ALL SELECT 'n' || min(n_nationkey) FROM nation WHERE n_regionkey < 3 GROUP BY n_regionkey")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return topics.cycles(E.topics(spark, d))
+    """Of three regions each stands below its own first nation."""
+    first = table(spark, d, "nation").filter("n_regionkey < 3").groupBy(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("id")).agg(F.concat(F.lit("n"), F.min("n_nationkey").cast("string")).alias("below"))
+    tree = E.topics(spark, d).join(first, "id", "left").select("id", F.coalesce("below", "parent_id").alias("parent_id"))
+    return topics.cycles(tree)
 
 
 @register("a24_backfill_topics", over("SELECT content_id, topic_id, round(confidence + 1e-9, 6) AS confidence FROM content_topics WHERE content_id % 2 = 0 UNION ALL SELECT c.id, topic_id, round(confidence * 0.8e0 + 1e-9, 6) FROM content c JOIN source_topics s ON s.source_id = c.source_id WHERE c.id % 2 = 1"))
