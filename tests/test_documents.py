@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as X
 from tidemark.functions import urls as U
 from tidemark.operators import blocks as B
-from tidemark.operators import extract, feeds, reader, topics
+from tidemark.operators import extract, feeds, queues, reader, topics
 
 
 def one(spark, value, column):
@@ -89,3 +89,36 @@ def test_a_feed_holds_no_more_than_the_entries_that_count(spark, tmp_path):
     first = sorted(f"<item><guid>{k}</guid>" for k in range(900) if k % 300)[:100]
     keys = {r.entry_key for r in ENTRIES["c2_feed_entries"].run(spark, str(tmp_path)).filter("feed_id = 'one'").collect()}
     assert keys == {x[12:-7] for x in first}
+
+
+def test_hidden_paragraphs_and_items_end_where_the_next_begins():
+    of = lambda page: [(b["type"], b["text"] or b["items"]) for b in extract._read(page)["blocks"]]
+    assert of("<p hidden>x</p><p>one</p><p>two</p>") == [("paragraph", "one"), ("paragraph", "two")]
+    assert of("<p hidden>x<p>one") == [("paragraph", "one")]
+    assert of("<ul><li hidden>x<li>y</ul><p>z") == [("list", ["y"]), ("paragraph", "z")]
+    assert of("<div hidden><p>x</p><div>y</div>z</div>end") == [("paragraph", "end")]
+    assert of("<nav><ul><li>x</ul></nav><figure><img src=a alt=b><figcaption>said</figcaption></figure>")[0][0] == "image"
+
+
+def test_json_ld_stands_in_where_the_page_says_nothing(spark):
+    page = '<script type="application/ld+json">[{"@graph":[{"@type":"Article","headline":"A"},{"@type":["NewsArticle"],"headline":"H &amp; K","author":{"name":"Ann"},"datePublished":"2024-01-02","image":["i.png"]}]},{"@type":"WebSite","name":"Site"}]</script><script type="application/ld+json">{broken</script>'
+    m = spark.createDataFrame([(page,)], "h string").select(extract.metadata(extract.read_html(F.col("h"))).alias("m")).select("m.*").first()
+    assert (m.title, m.author, m.published_at, m.cover, m.site_name) == ("H & K", "Ann", "2024-01-02", "i.png", "Site")
+
+
+def test_candidates_are_cleaned_and_the_same_blocks_count_once(spark):
+    said = " ".join(f"word{k}" for k in range(150))
+    page = f"<title>T</title><main><article><h1>T</h1><img src=a.png><p>{said}</p><p>{said}, again</p><p>Share this</p><p>Related: x</p></article></main><p>Comments (3)"
+    row = spark.createDataFrame([(page,)], "h string").select(extract.read_html(F.col("h")).alias("p"))
+    best = row.select(extract.candidates(F.col("p"), extract.metadata(F.col("p"))).alias("c")).first().c
+    assert [b.text for b in best[0].blocks] == [said, f"{said}, again"] and len(best) == 1
+    # Readable: 28 + 301 words / 45 + 2 paragraphs, a known title, less one title, two texts and an image.
+    assert best[0].container == "readable" and abs(best[0].score - (28 + 301 / 45 + 5.2 + 4 - 3 - 12 - 1.5)) < 1e-9
+
+
+def test_accepted_attempts_count_alone(spark):
+    rows = [(k, "a", t) for k, t in enumerate((0, 10, 20, 30, 61, 62, 70, 71))] + [(100, "b", 5), (101, None, 6)]
+    tries = spark.createDataFrame(rows, "id long, k string, t long").withColumn("at", F.timestamp_seconds("t"))
+    got = {r.id: r.accepted for r in queues.attempts_accepted(tries, "k", "at", 3, 60).collect()}
+    # The fourth is refused, and so doesn't keep the fifth out.
+    assert got == {0: True, 1: True, 2: True, 3: False, 4: True, 5: False, 6: True, 7: False, 100: True}

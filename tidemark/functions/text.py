@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column
@@ -11,6 +12,11 @@ from pyspark.sql import functions as F
 WORDS_PER_MINUTE = 220
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then of a value that is worked out once, however often then names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
 

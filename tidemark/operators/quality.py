@@ -75,17 +75,24 @@ def recovery(kind: Column, title: Column, words: Column, blocks: Column, score:
     return F.struct((F.size(reasons) > 0).alias("should_recover"), F.when(F.size(reasons) > 0, F.when(urgent, "high").otherwise("low")).alias("priority"), reasons.alias("reasons"))
 
 
-def better(new_score: Column, old_score: Column, new_words: Column, old_words: Column, new_blocks: Column, old_blocks: Column) -> Column:
-    """Does a recovered text replace the stored one? By score where both have one, else by clearly more text."""
-    gain = F.coalesce(new_score >= old_score + MARGIN, F.lit(False))
-    more = (new_words >= old_words * 1.2) & (new_blocks >= old_blocks)
-    return (new_blocks > 0) & (gain | more)
+#: Reasons that ask for a page's rendering, and signs in a page that scripts draw it.
+RENDER_REASONS = ("missing-parser-diagnostics", "missing-selected-candidate", "article-empty-or-too-short", "article-too-few-blocks", "article-low-quality-score")
+SCRIPT_SIGNS = (
+    r"id=[\"']__next[\"']",
+    r"\b__NEXT_DATA__\b",
+    r"\bself\.__next_f\.push\b",
+    r"\bwindow\.__NUXT__\b",
+    r"\bnuxt\b",
+    r"\bapplication/json\b",
+    r"\bdata-reactroot\b",
+    r"\bhydration\b",
+)
 
 
 def needs_rendering(page: Column, route: Column, kind: Column, decision: Column) -> Column:
-    """Does a page seem to draw its text by script, so that another fetch would be in vain?"""
-    signs = [r"__NEXT_DATA__", r"window\.__NUXT__", r"data-reactroot", r"id=[\"']root[\"']", r"id=[\"']app[\"']", r"ng-version", r"webpackJsonp", r"(?i)enable javascript"]
-    count = sum((page.rlike(s).cast("int") for s in signs), F.lit(0))
-    scripts = F.regexp_count(page, F.lit(r"(?i)<script\b"))
-    heavy = (count >= 2) | ((scripts >= 12) & (F.regexp_count(page, F.lit(r"(?i)<p\b")) <= 6))
-    return (kind == "article") & (decision["priority"] == "high") & ~route.isin("x-thread", "archive-snapshot") & heavy
+    """Does a page that must be recovered seem to draw its text by script, so that another fetch would be in vain?"""
+    count = sum((page.rlike(f"(?i){s}").cast("int") for s in SCRIPT_SIGNS), F.lit(0))
+    scripts, paragraphs = F.regexp_count(page, F.lit(r"(?i)<script\b")), F.regexp_count(page, F.lit(r"(?i)<p\b"))
+    asked = F.arrays_overlap(decision["reasons"], F.array(*map(F.lit, RENDER_REASONS)))
+    wanted = (kind == "article") & decision["should_recover"] & (decision["priority"] == "high") & asked
+    return F.coalesce(wanted, F.lit(False)) & ~route.isin("x-thread", "archive-snapshot") & ((count >= 2) | ((scripts >= 12) & (paragraphs <= 6)))

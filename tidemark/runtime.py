@@ -29,14 +29,24 @@ def ship(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the one that the session names in spark.checkpoint.dir.
 
-    Where that is unset, as in tests on one machine, a temporary folder is set.
+    Where that is unset on one machine, as in tests, a temporary folder is set; on a cluster that is an error, as
+    executors don't share the driver's folders.
     """
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return context.getCheckpointDir()
 
 
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of results that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder, so that a lost executor costs only a read."""
     shared_folder(df.sparkSession)
