@@ -363,7 +363,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of docs that leak no passage, with their own columns."""
+    """The rows of docs that leak no passage, with their own columns, whatever their names.
+
+    A null or empty text leaks nothing and stays; texts may be as long as a cell; each of the rows that share an id, or are
+    the same, is judged by itself; without a benchmark all rows stay; an empty table gives none.
+    """
     own = docs.select(F.col(text_col).alias("text"))
     for index, more in _indexes(own, benchmark, item_col, item_text_col):
         clean = docs.filter(F.size(_leaks(F.col(text_col), index)) == 0)

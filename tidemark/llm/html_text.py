@@ -155,7 +155,8 @@ def page_blocks(page: Column) -> Column:
 def unique_runs(streams: DataFrame, run: int = RUN) -> DataFrame:
     """(row, text): each row's tokens without the runs that another page of its host has too.
 
-    streams: row (a struct that names a page), host and text. A text shorter than ``run`` tokens is one run.
+    streams: row (a struct that names a page), host and text, each row once. A text shorter than ``run`` tokens is one
+    run; an empty one stays empty; a frequent run is one row a task, its pages told apart by their first and last.
     """
     tokens = streams.select("row", "host", F.filter(F.split("text", " "), lambda t: t != "").alias("tokens"))
     last = F.greatest(F.size("tokens") - run + 1, F.lit(1))

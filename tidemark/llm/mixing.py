@@ -24,7 +24,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     """(source, source_size, target) from (source, source_size).
 
     Sources in code point order, null last, weigh ``weights`` in turn and share the sum of all sizes. A target stops at
-    ``most`` times its source's size; the excess is shared again by weight until none is above.
+    ``most`` times its source's size; the excess is shared again by weight until none is above. A source of size 0 has
+    target 0; an empty table gives none. Each round is one aggregation over the sources and fills one more at least.
     """
     # Places of the sources: counted by ranges of the name, so that no task ranks them all.
     named = sizes.withColumn("none", F.col("source").isNull()).repartitionByRange("none", "source").sortWithinPartitions("none", "source")

@@ -191,7 +191,11 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
 
 
 def without_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the kept words as text, and n_chars, where there is such a column, as its length."""
+    """docs with the kept words as text, and n_chars, where there is such a column, as its length.
+
+    Every row stays, with its other columns, whatever their names; a null text becomes an empty one; long texts, rows with
+    the same or no id and repeated rows count as in ``remove_repeats``; an empty table gives none.
+    """
     carry = [c for c in docs.columns if c != text_col]
     done = remove_repeats(docs, window, id_col, text_col, carry=carry)
     back = {c: F.col(f"rest._{k}") for k, c in enumerate(carry)} | {text_col: F.col("kept")}
