@@ -20,7 +20,7 @@ U64 = np.uint64
 ORDER = 3
 BACKOFF = 0.4
 FAR = U64(2**32 - 1)
-#: Bits of a hash within its bucket; the bucket itself takes some more, so two n-grams in ten million share a key at most.
+#: Bits of a hash within its bucket, which takes some more: at 100 buckets a GB one n-gram in twenty million shares its key.
 KEY_BITS = 46
 _KEY = U64((1 << KEY_BITS) - 1)
 #: Stands for "any word": its count is the number of words.
