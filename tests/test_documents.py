@@ -67,8 +67,15 @@ def test_reading_units_and_package(spark):
     assert [u.clause_pause for u in units] == [True, False, False, False, False, False, False]
     assert [u.sentence_pause for u in units] == [False, False, True, False, False, False, True]  # U.S. is an abbreviation
     assert [u.paragraph_start for u in units] == [True, False, False, True, False, False, False] and [k for k, u in enumerate(units) if u.paragraph_end] == [2, 6]
-    raw = reader.packages(docs, "k", "lines").first().package
-    assert struct.unpack_from("<4sHH", raw) == (b"MTRP", 1, 32) and len(raw) == 32 + 2 * 72 + 7 * 40
+    raw = reader.packages(docs.withColumn("t", F.lit(" Über ")).withColumn("r", F.lit(7)), "k", "lines", "t", "r").first().package
+    at = 32 + 5
+    assert struct.unpack_from("<4sHHHHIIIQ", raw) == (b"MTRP", 1, 0, 5, 2, 7, at, at + 2 * 72, 7)
+    assert raw[32:at].decode() == "Über" and len(raw) == at + 2 * 72 + 7 * 40
+    assert struct.unpack_from("<IB3x22s", raw, at) == (0, 22, b"Hello, world -- again.")
+    assert struct.unpack_from("<IB", raw, at + 72) == (3, 43)
+    assert struct.unpack_from("<HBBBBBx6s", raw, at + 2 * 72) == (1, 1, 6, 0, 1 | 4, 6, b"Hello,")
+    assert struct.unpack_from("<HBBBBB", raw, at + 2 * 72 + 2 * 40) == (1, 1, 6, 0, 2 | 8, 6)
+    assert [r.package for r in reader.packages(docs.select("k", F.array().cast("array<string>").alias("lines")), "k", "lines").collect()] == [None]
 
 
 def test_topic_cycles(spark):

@@ -124,3 +124,56 @@ def cursor(at: Column, key: Column) -> Column:
 def cursor_parts(text: Column) -> Column:
     padded = F.rpad(F.translate(text, "-_", "+/"), F.ceil(F.length(text) / 4).cast("int") * 4, F.lit("="))
     return F.from_json(F.unbase64(padded).cast("string"), "at long, id long")
+
+
+def tokens(text: Column) -> Column:
+    """Comparable words of four letters or digits and more."""
+    return F.filter(F.split(F.lower(F.translate(text, *_folds())), r"[^a-z0-9]+"), lambda w: F.length(w) >= 4)
+
+
+def token_overlap(address: Column, words: Column) -> Column:
+    """How many of the distinct words an address holds."""
+    return let(comparable(address), lambda a: F.size(F.filter(F.array_distinct(words), lambda w: a.contains(w))))
+
+
+def site_of_title(title: Column) -> Column:
+    """The last part of a title with a site's name behind a dash or bar; null where there is none or it is over 64 long."""
+    parts = F.filter(F.transform(F.split(title, r"\s[-|–—]\s"), lambda p: F.trim(p)), lambda p: p != "")
+    return let(parts, lambda p: F.when((F.size(p) >= 2) & (F.length(F.element_at(p, -1)) <= 64), F.element_at(p, -1)))
+
+
+def author_name(text: Column, most: int = 256) -> Column:
+    """A by-line's name: without "by" and what follows a bar; null for addresses and what is longer than a name."""
+    name = F.trim(F.regexp_replace(F.regexp_replace(collapsed(text), r"(?i)^by\s+", ""), r"\s*\|\s*.*$", ""))
+    return F.when((name != "") & (F.length(name) <= most) & ~name.rlike(r"(?i)^https?://"), name)
+
+
+def handle(text: Column) -> Column:
+    return F.regexp_replace(author_name(text), "^@", "")
+
+
+def split_paragraphs(text: Column) -> Column:
+    """The paragraphs of a plain text: at blank lines, else at line ends, else the whole."""
+    clean = lambda parts: F.filter(F.transform(parts, collapsed), lambda p: p != "")
+    plain = F.trim(F.regexp_replace(text, r"\r\n?", "\n"))
+    blank, lines = clean(F.split(plain, r"\n{2,}")), clean(F.split(plain, r"\n"))
+    return F.when(F.size(blank) > 1, blank).otherwise(lines)
+
+
+def is_time_label(text: Column) -> Column:
+    """Is a text a time of day, perhaps with a date before it and a zone behind it?"""
+    return text.rlike(r"(?i)^\d{1,2}[.:]\d{2}(?:\s?(?:UTC|GMT|BST|CET|CEST|EST|EDT|PST|PDT))?$") | text.rlike(r"(?i)^\d{1,2}\s+[a-z]{3}\s+\d{4}\s+\d{1,2}[.:]\d{2}(?:\s?[a-z]{2,5})?$")
+
+
+def is_date_line(text: Column) -> Column:
+    return text.rlike(r"(?i)^(mon|tue|wed|thu|fri|sat|sun)\b") | text.rlike(r"(?i)^\d{1,2}\s+[a-z]{3}\s+\d{4}$")
+
+
+def utc_time_label(at: Column) -> Column:
+    return F.concat(F.date_format(at, "HH:mm"), F.lit(" UTC"))
+
+
+def json_kind(text: Column) -> Column:
+    """What a JSON text is: object, array, string, number, boolean or null; null where it is no JSON."""
+    kind = F.schema_of_variant(F.try_parse_json(text))
+    return F.when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").when(kind == "VOID", "null").when(kind.isNotNull(), "number")

@@ -130,3 +130,27 @@ def recovery_disabled(name: Column, hosts: tuple[str, ...]) -> Column:
 
 def path_depth(url: Column) -> Column:
     return F.size(F.filter(F.split(_part(url, 2), "/"), lambda p: p != ""))
+
+
+def status_id(url: Column) -> Column:
+    """The number of a post from its address."""
+    found = F.regexp_extract(url, r"(?i)/status/(\d+)", 1)
+    return F.when(found != "", found)
+
+
+def status_handle(url: Column) -> Column:
+    """Who wrote a post, from its address."""
+    found = F.regexp_extract(url, r"(?i)https?://(?:www\.)?(?:x|twitter)\.com/([^/]+)/status/", 1)
+    return F.when(found != "", found)
+
+
+def srcset(value: Column) -> Column:
+    """The images of a srcset: url and width, null where it isn't given in pixels."""
+    parts = F.filter(F.transform(F.split(value, ","), lambda p: F.split(F.trim(p), r"\s+")), lambda p: p[0] != "")
+    wide = lambda p: F.regexp_extract(F.coalesce(F.try_element_at(p, F.lit(2)), F.lit("")), r"(?i)^(\d+)w$", 1)
+    return F.transform(parts, lambda p: F.struct(p[0].alias("url"), F.when(wide(p) != "", wide(p).cast("int")).alias("width")))
+
+
+def slug_of_path(url: Column) -> Column:
+    """The steps of an address's path as words."""
+    return F.array_join(F.filter(F.split(_part(url, 2), "/"), lambda p: p != ""), " ")

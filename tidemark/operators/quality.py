@@ -53,6 +53,12 @@ def warnings(parsed: Column, compact: Column) -> Column:
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
+def within_budget(parsed: Column, old: Column) -> Column:
+    """What becomes of a parsed document: stored, or, where its JSON is too long, the old one kept and the parse failed for good."""
+    over = F.octet_length(F.to_json(parsed)) > BUDGETS["parsed"]
+    return F.struct(F.when(over, old).otherwise(parsed).alias("document"), F.when(over, "failed").otherwise("succeeded").alias("status"), F.when(over, F.lit(False)).alias("retryable"), F.when(over, "Parsed document exceeded the size limit").alias("error"))
+
+
 def recovery(kind: Column, title: Column, words: Column, blocks: Column, score: Column, notes: Column, is_text: Column) -> Column:
     """Whether to try again, how urgently and why (at most eight reasons)."""
     article = kind == "article"

@@ -77,9 +77,18 @@ def reading_units(docs: DataFrame, key: str, paragraphs: str) -> DataFrame:
     return rows.select(key, F.posexplode("units").alias("place", "u")).select(key, "place", "u.*")
 
 
-def _package(lines: list[str], units: list[dict]) -> bytes:
-    """Header, one entry a paragraph (first unit, preview), one a unit; little endian."""
-    head = struct.pack("<4sHHIIIIII", b"MTRP", 1, 32, len(lines), len(units), 32, 32 + 72 * len(lines), 72, 40)
+#: The package's layout, little endian. Header: mark, version, 0, bytes of the title, paragraphs, units, places
+#: of both tables, revision. A paragraph: first unit, bytes of its preview, preview. A unit: paragraph from 1, anchor,
+#: characters, font, flags, bytes of its text, text.
+HEADER, PARAGRAPH, UNIT = "<4sHHHHIIIQ", "<IB3x64s", "<HBBBBBx32s"
+UNTITLED, MOST_TITLE = "UNTITLED ARTICLE", 65_535
+
+
+def _package(title: str, revision: int, lines: list[str], units: list[dict]) -> bytes | None:
+    """The package of a text; None where it has nothing to read, or too many paragraphs to count."""
+    if not units or len(lines) > 65_535:
+        return None
+    name = cut_bytes((title or "").strip() or UNTITLED, MOST_TITLE).encode()
     first: dict[int, int] = {}
     for k, u in enumerate(units):
         first.setdefault(u["paragraph"], k)
@@ -87,19 +96,27 @@ def _package(lines: list[str], units: list[dict]) -> bytes:
     for n in range(len(lines), 0, -1):
         following = first.get(n, following)
         starts.append(following)
-    body = [struct.pack("<IHH64s", start, 0, 0, cut_bytes(" ".join(line.split()), PREVIEW_BYTES).encode()) for start, line in zip(reversed(starts), lines, strict=True)]
-    flags = lambda u: u["paragraph_start"] | u["paragraph_end"] << 1 | u["clause_pause"] << 2 | u["sentence_pause"] << 3
-    body += [struct.pack("<HBBBBH32s", u["paragraph"], u["anchor"], u["chars"], "LMS".index(u["font"]), flags(u), 0, u["display"].encode()) for u in units]
-    return head + b"".join(body)
-
-
-def packages(docs: DataFrame, key: str, paragraphs: str) -> DataFrame:
-    """(key, package): the binary package of each document's paragraphs."""
+    tables = struct.calcsize(HEADER) + len(name)
+    parts = [struct.pack(HEADER, b"MTRP", 1, 0, len(name), len(lines), len(units), tables, tables + struct.calcsize(PARAGRAPH) * len(lines), revision), name]
+    for start, line in zip(reversed(starts), lines, strict=True):
+        preview = cut_bytes(" ".join(line.split()), PREVIEW_BYTES).encode()
+        parts.append(struct.pack(PARAGRAPH, start, len(preview), preview))
+    for u in units:
+        text = u["display"].encode()
+        flags = u["clause_pause"] | u["sentence_pause"] << 1 | u["paragraph_start"] << 2 | u["paragraph_end"] << 3
+        parts.append(struct.pack(UNIT, u["paragraph"], u["anchor"], u["chars"], "LMS".index(u["font"]), flags, len(text), text))
+    return b"".join(parts)
+
+
+def packages(docs: DataFrame, key: str, paragraphs: str, title: str | None = None, revision: str | None = None) -> DataFrame:
+    """(key, package): the binary package of each document's paragraphs, with its title and revision where columns name them."""
+    own = docs.select(F.col(key).alias("key"), F.col(paragraphs).alias("lines"), (F.col(title) if title else F.lit(None)).cast("string").alias("title"), (F.col(revision) if revision else F.lit(0)).cast("long").alias("revision"))
+    kind = docs.schema[key].dataType.simpleString()
 
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            lines = [[] if x is None else list(x) for x in f[paragraphs]]
-            yield pd.DataFrame({key: f[key], "package": [_package(x, _units(x)) for x in lines]})
+            lines = [[] if x is None else list(x) for x in f["lines"]]
+            yield pd.DataFrame({key: f["key"], "package": [_package(t, int(r), x, _units(x)) for t, r, x in zip(f["title"], f["revision"], lines, strict=True)]})
 
     ship(docs.sparkSession)
-    return docs.select(key, paragraphs).mapInPandas(of, f"{key} {docs.schema[key].dataType.simpleString()}, package binary")
+    return own.mapInPandas(of, f"{key} {kind}, package binary")

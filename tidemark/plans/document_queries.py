@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as X
 from tidemark.functions import urls as U
 from tidemark.operators import choices, extract, quality
 from tidemark.plans.registry import register
@@ -133,3 +134,34 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     live = F.lit("<script>{\"contentType\" :  \"LiveBlog\"}</script>")
     letter = F.lit("<div class='Available-Content'><img src='https://SubstackCDN.com/x.png'>")
     return table(spark, d, "pages").select("page_id", extract.route(U.host(url), live, none, none).alias("live"), extract.route(U.host(url), letter, none, none).alias("letter"))
+
+
+@register("n5_json_kinds", "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'object' WHEN 1 THEN 'array' WHEN 2 THEN 'string' WHEN 3 THEN 'number' WHEN 4 THEN 'null' END AS kind FROM events")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    some = F.array(*map(F.lit, ('{"a": 1}', "[1, {}]", '"x"', "1.5e3", "null", "{broken")))
+    return table(spark, d, "events").select("event_id", X.json_kind(F.element_at(some, (F.col("event_id") % 6 + 1).cast("int"))).alias("kind"))
+
+
+@register("b28_parse_outcomes", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'failed' ELSE 'succeeded' END AS status, CASE WHEN doc_id % 3 = 0 THEN 'old' ELSE 'new' END AS title, CASE WHEN doc_id % 3 = 0 THEN FALSE END AS retryable FROM documents")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    size = F.when(F.col("doc_id") % 3 == 0, 262_200).otherwise(200_000)
+    made = lambda title, text: F.struct(F.lit(title).alias("title"), text.alias("text"))
+    rows = table(spark, d, "documents").select("doc_id", quality.within_budget(made("new", F.repeat(F.lit("x"), size)), made("old", F.lit(""))).alias("r"))
+    return rows.select("doc_id", "r.status", F.col("r.document.title").alias("title"), "r.retryable")
+
+
+@register("h2_h4_names_and_tokens", "SELECT p_partkey, 'Site ' || p_size AS site, CASE WHEN p_partkey % 3 <> 0 THEN p_name END AS author, CAST(len(list_filter(string_split(p_name, ' '), lambda w: length(w) >= 4)) AS BIGINT) AS tokens, CAST(1 AS BIGINT) AS overlap, CAST(640 AS INTEGER) AS width, 'a ' || p_partkey AS slug FROM part")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    key, name = F.col("p_partkey").cast("string"), F.col("p_name")
+    title = F.concat(name, F.lit(" | x – Site "), F.col("p_size").cast("string"))
+    by = F.when(F.col("p_partkey") % 3 == 0, "https://a.org/me").otherwise(F.concat(F.lit("By  "), name, F.lit(" | Desk")))
+    images = U.srcset(F.concat(F.lit("/a.png 2x, /b-"), key, F.lit(".png 640w")))
+    return table(spark, d, "part").select("p_partkey", X.site_of_title(title).alias("site"), X.author_name(by).alias("author"), F.size(X.tokens(name)).cast("long").alias("tokens"), X.token_overlap(F.lit("https://a.org/Some-Wörds"), F.array(F.lit("words"), F.lit("word2"), F.lit("words"))).cast("long").alias("overlap"), F.element_at(images, 2)["width"].alias("width"), U.slug_of_path(F.concat(F.lit("https://x.org/a/"), key, F.lit("/?q"))).alias("slug"))
+
+
+@register("h6_h7_h9_posts_and_labels", "SELECT event_id, CAST(event_id AS VARCHAR) AS status, 'u' || user_id AS handle, strftime(ts, '%H:%M') || ' UTC' AS label, TRUE AS is_label, event_id % 2 = 0 AS is_date, 'a b|c' AS paragraphs FROM events")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    url = F.concat(F.lit("https://www.X.com/u"), F.col("user_id").cast("string"), F.lit("/status/"), F.col("event_id").cast("string"), F.lit("?s=1"))
+    label = X.utc_time_label(F.col("ts"))
+    line = F.when(F.col("event_id") % 2 == 0, "Mon 3 May").otherwise("4 May")
+    return table(spark, d, "events").select("event_id", U.status_id(url).alias("status"), U.status_handle(url).alias("handle"), label.alias("label"), X.is_time_label(label).alias("is_label"), X.is_date_line(line).alias("is_date"), F.array_join(X.split_paragraphs(F.lit("a\nb\r\n\r\n c ")), "|").alias("paragraphs"))
