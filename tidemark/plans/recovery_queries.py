@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import recover, tree
+from tidemark.operators import extract, recover, site_readers, tree
 from tidemark.plans.registry import register
 from tidemark.runtime import cut
 from tidemark.sources.tables import table
@@ -67,3 +67,95 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 def _(spark: SparkSession, d: str) -> DataFrame:
     out = recover.recovered(table(spark, d, "pages"))
     return out.select("page_id", "strategy", F.round("quality", 6).alias("quality"), F.round("total", 6).alias("total"), F.size("blocks").cast("long").alias("blocks"))
+
+
+_ARTICLE = TOKENS + """,
+    art AS (SELECT a.page_id, a.i, a.e, length(a.x) AS chars, h.x AS title FROM said a JOIN said h ON h.page_id = a.page_id AND h.tag = 'h1' AND h.i > a.i AND h.i < a.e
+        WHERE a.tag = 'article' AND h.x <> '' QUALIFY row_number() OVER (PARTITION BY a.page_id ORDER BY length(a.x) DESC, a.i, h.i) = 1),
+    heads AS (SELECT *, CASE WHEN tag = 'p' THEN x ELSE trim(regexp_replace(regexp_replace(x, '^[#§¶]+\\s*', ''), '\\s*[#§¶]+$', '')) END AS y FROM said WHERE tag IN ('h1', 'p'))"""
+_PROMOTED = "regexp_matches(x, '(?i)^((follow all new stories by|following|get alerts|sign up|up next|more from|related|recommended|you may also like|read more|share|gift this article)\\b|contact us:|confidential tip\\?|site feedback:)')"
+
+
+@register("b17_archived_articles", f"""WITH {_ARTICLE},
+    parts AS (SELECT a.page_id, h.i, h.y FROM art a JOIN heads h ON h.page_id = a.page_id AND h.i > a.i AND h.i < a.e WHERE h.y <> '' AND NOT {_PROMOTED.replace('(x,', '(h.x,')})
+    SELECT a.page_id, a.title, CAST(a.chars AS BIGINT) AS chars, CAST(count(p.i) AS BIGINT) AS blocks, md5(coalesce(string_agg(p.y, chr(10) ORDER BY p.i), '')) AS texts
+    FROM art a JOIN parts p ON p.page_id = a.page_id GROUP BY ALL""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    nodes = cut(tree.tree_rows(table(spark, d, "pages")))
+    articles = site_readers.archived_articles(nodes)
+    blocks = site_readers.archived_blocks(nodes, articles)
+    text = F.array_join(F.transform("blocks", lambda b: b["text"]), "\n")
+    return articles.join(blocks, "page_id").select("page_id", "title", F.col("chars").cast("long").alias("chars"), F.size("blocks").cast("long").alias("blocks"), F.md5(text.cast("binary")).alias("texts"))
+
+
+@register("b17_read_archived")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as archived copies of their own addresses."""
+    out = site_readers.read_archived(table(spark, d, "pages"))
+    return out.select("page_id", "strategy", F.round("quality", 6).alias("quality"), F.round("total", 6).alias("total"), "title", "site_name", F.size("blocks").cast("long").alias("blocks"))
+
+
+_MONTHS = "\\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\\b"
+_LETTER = "Letter of "
+
+
+@register("b14_letters", f"""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+    said AS (SELECT doc_id, i, trim(regexp_replace(x, '[ \\t-\\r]+', ' ', 'g')) AS x FROM lines),
+    first AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS nth FROM said WHERE x <> ''),
+    parts AS (SELECT doc_id, nth, trim(substr(x, 1, 4000)) AS x FROM first WHERE nth <= 127),
+    told AS (SELECT *, trim(regexp_replace(lower(x), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS p FROM parts),
+    flags AS (SELECT t.*, p <> '' AND (p = 'letter of ' || doc_id OR p = 'by hand' OR length(x) <= 48 AND regexp_matches(x, '(?i){_MONTHS}') AND regexp_matches(x, '\\b20\\d{{2}}\\b') OR contains(p, 'march 5 2024') OR contains(p, 'mar 5 2024')) AS front FROM told t),
+    more AS (SELECT *, NOT front AND regexp_matches(x, '(?i)^(subscribe(?: now)?|share|sign in|restack|like|comments?|discussion|reply|download app)$') AS control FROM flags),
+    sums AS (SELECT doc_id, count(*) FILTER (front) + 1 AS front, count(*) FILTER (control) AS controls, count(*) FILTER (NOT front AND NOT control) AS blocks,
+            md5(string_agg(x, chr(10) ORDER BY nth) FILTER (NOT front AND NOT control)) AS texts, sum(len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+'))) FILTER (NOT front AND NOT control) AS words
+        FROM more GROUP BY doc_id)
+    SELECT doc_id, 'payload-body-html' AS source, {_LETTER!r} || doc_id AS title, 'By Hand' AS author, CAST(blocks AS BIGINT) AS blocks, texts,
+           round(40 + least(84.0, words / 35) + 1.5 * least(blocks, 40) - 1.5 * controls - 2 * front - CASE WHEN words < 250 THEN 40 ELSE 0 END, 4) AS score
+    FROM sums WHERE blocks > 0""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Documents sent as newsletters: whole in the page's payload, its first three lines in the page's body."""
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    escape = lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    body = lambda parts: F.array_join(F.transform(parts, lambda x: F.concat(F.lit("<p>"), escape(x), F.lit("</p>"))), "")
+    title = F.concat(F.lit(_LETTER), F.col("doc_id"))
+    first = F.concat(F.lit("<p>March 5, 2024</p>"), body(lines), F.lit("<div class='post-footer'><p>Left out</p></div>"))
+    post = F.struct(title.alias("title"), F.lit("2024-03-05T10:00:00Z").alias("post_date"), first.alias("body_html"), F.array(F.struct(F.lit("By Hand").alias("name"))).alias("publishedBylines"))
+    data = F.to_json(F.struct(post.alias("post"), F.struct(F.lit("Daily").alias("name")).alias("pub")))
+    quoted = F.regexp_extract(F.to_json(F.struct(data.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+    html = F.concat(F.lit("<html><head><script>window._preloads = JSON.parse("), quoted, F.lit(")</script></head><body><article class='newsletter-post post'><div class='available-content'><div class='body markup'>"), body(F.slice(lines, 1, 3)), F.lit("</div></div></article></body></html>"))
+    pages = table(spark, d, "documents").select("doc_id", html.alias("html"))
+    read = pages.select("doc_id", "html", extract.metadata(extract.read_html(F.regexp_replace("html", r"(?s)<script>.*</script>", ""))).alias("meta"))
+    nodes = tree.tree_rows(pages, "doc_id")
+    out = site_readers.read_letters(site_readers.letter_candidates(read, nodes, "doc_id"), "doc_id")
+    text = F.array_join(F.transform("blocks", lambda b: b["text"]), "\n")
+    return out.select("doc_id", "source", "title", "author", F.size("blocks").cast("long").alias("blocks"), F.md5(text.cast("binary")).alias("texts"), F.round("score", 4).alias("score"))
+
+
+_COMPARED = "regexp_replace(lower(strip_accents({})), '[^a-z0-9]+', '', 'g')"
+
+
+@register("b15_news_articles", f"""WITH {_ARTICLE},
+    body AS (SELECT page_id, i, e FROM said WHERE tag = 'article' QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(x) >= 220 DESC, CASE WHEN length(x) >= 220 THEN length(x) ELSE 0 END DESC, i) = 1),
+    promo AS (SELECT h.*, regexp_matches(x, '(?i)(^(gift this article|follow all new stories by|following|get alerts|sign up|subscribe|more from bloomberg|up next|copy link)\\b|^contact us:|^confidential tip\\?|^site feedback:|\\b(newsletter|privacy policy|terms of service)\\b)') AS promoted FROM heads h),
+    parts AS (SELECT a.page_id, h.i, substr(h.y, 1, 4000) AS y, h.tag, promoted, row_number() OVER (PARTITION BY a.page_id ORDER BY h.i) AS nth
+        FROM body a JOIN promo h ON h.page_id = a.page_id AND h.i > a.i AND h.i < a.e WHERE h.y <> '' AND NOT (promoted AND length(h.x) <= 240)),
+    flags AS (SELECT p.*, {_COMPARED.format('y')} AS told, regexp_matches(y, '(?i)^(photo|illustration|image|source):') OR regexp_matches(y, '(?i)\\bfor bloomberg\\b')
+            OR regexp_matches(y, '(?i){_MONTHS}') AND regexp_matches(y, '(?i)\\b(?:am|pm|utc|gmt|cet|cest|est|edt)\\b') AS matter,
+            promoted OR regexp_matches(y, '(?i)^(weekend essay|analysis|opinion|feature)$') AS gone FROM parts p WHERE nth <= 128),
+    entry AS (SELECT *, coalesce(max(CASE WHEN NOT matter AND NOT gone AND tag = 'p' AND length(y) >= 90 THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS entered FROM flags),
+    held AS (SELECT e.*, NOT (gone OR matter AND entered = 0) AS stays, told <> '' AND told = {_COMPARED.format('t.x')} AS echo FROM entry e JOIN (SELECT page_id, first(x ORDER BY i) AS x FROM said WHERE tag = 'h1' AND x <> '' GROUP BY page_id) t USING (page_id)),
+    lead AS (SELECT *, max(CASE WHEN stays AND NOT echo THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS past FROM held),
+    begun AS (SELECT *, max(CASE WHEN stays AND past = 1 AND NOT matter THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS on_ FROM lead),
+    sums AS (SELECT page_id, count(*) FILTER (NOT stays OR past = 1 AND on_ = 0) AS boilerplate, count(*) FILTER (stays AND past = 0) AS duplicates, count(*) FILTER (stays AND past = 1 AND on_ = 1) AS blocks,
+            count(*) FILTER (stays AND past = 1 AND on_ = 1 AND tag = 'p') AS p, count(*) FILTER (stays AND past = 1 AND on_ = 1 AND tag = 'h1') AS h,
+            sum(len(regexp_extract_all(y, '[^\\x20\\x09-\\x0D]+'))) FILTER (stays AND past = 1 AND on_ = 1) AS words, md5(string_agg(y, chr(10) ORDER BY i) FILTER (stays AND past = 1 AND on_ = 1)) AS texts FROM begun GROUP BY page_id)
+    SELECT page_id, 'dom' AS source, CAST(blocks AS BIGINT) AS blocks, texts, round(44 + least(72.0, words / 38) + 2.4 * least(p, 20) + 1.2 * least(h, 4) - 4 * boilerplate - 2 * duplicates - CASE WHEN words < 140 THEN 40 ELSE 0 END, 4) AS score
+    FROM sums WHERE blocks > 0""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Pages read as the news site's."""
+    pages = table(spark, d, "pages")
+    read = pages.select("page_id", extract.read_html(F.col("html")).alias("page")).withColumn("meta", extract.metadata(F.col("page")))
+    nodes = cut(tree.tree_rows(pages))
+    out = site_readers.read_news(site_readers.news_candidates(read, nodes))
+    text = F.array_join(F.transform("blocks", lambda b: b["text"]), "\n")
+    return out.select("page_id", "source", F.size("blocks").cast("long").alias("blocks"), F.md5(text.cast("binary")).alias("texts"), F.round("score", 4).alias("score"))
