@@ -10,6 +10,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORDS_PER_MINUTE = 220
+#: What divides a title from the name of its site, and short weekdays.
+TITLE_BREAKS = (" - ", " | ", " – ", " — ")
+WEEKDAYS = ("mon", "tue", "wed", "thu", "fri", "sat", "sun")
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -51,12 +54,13 @@ def cut_at(text: Column, n: int) -> Column:
 
 
 def summary(text: Column, n: int = 280) -> Column:
-    """At most n characters: up to a sentence's end beyond 55 % of them, else a word's beyond 65 %, else cut."""
+    """At most n characters: up to a sentence's end, closing quote or bracket included, beyond 55 % of them, else up to a
+    word's end beyond 65 %, else cut."""
     whole = collapsed(text)
-    head = F.substring(whole, 1, n)
-    sentence = F.regexp_extract(head, r"^(.*[.!?])(?:\s|$)", 1)
+    head = F.rtrim(F.substring(whole, 1, n))
+    sentence = F.regexp_extract(head, r"^(.*[.?!][\"')\]]?)(?:\s|$)", 1)
     word = F.regexp_extract(head, r"^(.*)\s", 1)
-    return F.when(F.length(whole) <= n, whole).when(F.length(sentence) >= 0.55 * n, sentence).when(F.length(word) >= 0.65 * n, F.concat(word, F.lit("…"))).otherwise(F.concat(F.substring(head, 1, n - 1), F.lit("…")))
+    return F.when(F.length(whole) <= n, whole).when(F.length(sentence) >= n * 55 // 100, sentence).when(F.length(word) >= n * 65 // 100, word).otherwise(head)
 
 
 @cache
@@ -137,36 +141,48 @@ def token_overlap(address: Column, words: Column) -> Column:
 
 
 def site_of_title(title: Column) -> Column:
-    """The last part of a title with a site's name behind a dash or bar; null where there is none or it is over 64 long."""
-    parts = F.filter(F.transform(F.split(title, r"\s[-|–—]\s"), lambda p: F.trim(p)), lambda p: p != "")
-    return let(parts, lambda p: F.when((F.size(p) >= 2) & (F.length(F.element_at(p, -1)) <= 64), F.element_at(p, -1)))
+    """What stands behind the last break of a title that has one, if it is at most 64 long: the site's name."""
+    for mark in TITLE_BREAKS:
+        title = F.replace(title, F.lit(mark), F.lit("\n"))
+    parts = F.filter(F.transform(F.split(title, "\n"), lambda p: F.trim(p)), lambda p: p != "")
+    name = F.element_at(parts, -1)
+    return F.when(F.size(parts) > 1, F.when(F.length(name) <= 64, name))
 
 
 def author_name(text: Column, most: int = 256) -> Column:
-    """A by-line's name: without "by" and what follows a bar; null for addresses and what is longer than a name."""
-    name = F.trim(F.regexp_replace(F.regexp_replace(collapsed(text), r"(?i)^by\s+", ""), r"\s*\|\s*.*$", ""))
-    return F.when((name != "") & (F.length(name) <= most) & ~name.rlike(r"(?i)^https?://"), name)
+    """Who a by-line names: what stands before a bar, without a first word "by"; null for addresses and long texts."""
+    words = F.split(F.trim(F.split_part(collapsed(text), F.lit("|"), F.lit(1))), " ")
+    named = F.when(F.lower(words[0]) == "by", F.slice(words, F.lit(2), F.size(words))).otherwise(words)
+    name = F.array_join(named, " ")
+    address = F.lower(name).startswith("http://") | F.lower(name).startswith("https://")
+    return F.when(F.length(name).between(1, most) & ~address, name)
 
 
 def handle(text: Column) -> Column:
-    return F.regexp_replace(author_name(text), "^@", "")
+    """A by-line's name without the sign before a handle."""
+    return F.ltrim(author_name(text), F.lit("@"))
 
 
 def split_paragraphs(text: Column) -> Column:
-    """The paragraphs of a plain text: at blank lines, else at line ends, else the whole."""
-    clean = lambda parts: F.filter(F.transform(parts, collapsed), lambda p: p != "")
-    plain = F.trim(F.regexp_replace(text, r"\r\n?", "\n"))
-    blank, lines = clean(F.split(plain, r"\n{2,}")), clean(F.split(plain, r"\n"))
-    return F.when(F.size(blank) > 1, blank).otherwise(lines)
+    """The paragraphs of a plain text: runs of lines between empty ones, or each line where no empty one divides them."""
+    lines = F.transform(F.split(text, "\r\n|\r|\n"), collapsed)
+    told = F.filter(lines, lambda x: x != "")
+    marked = F.array_join(F.transform(lines, lambda x: F.when(x == "", "\n").otherwise(x)), " ")
+    runs = F.filter(F.transform(F.split(marked, "\n"), collapsed), lambda x: x != "")
+    return F.when(F.size(runs) > 1, runs).otherwise(told)
 
 
 def is_time_label(text: Column) -> Column:
     """Is a text a time of day, perhaps with a date before it and a zone behind it?"""
-    return text.rlike(r"(?i)^\d{1,2}[.:]\d{2}(?:\s?(?:UTC|GMT|BST|CET|CEST|EST|EDT|PST|PDT))?$") | text.rlike(r"(?i)^\d{1,2}\s+[a-z]{3}\s+\d{4}\s+\d{1,2}[.:]\d{2}(?:\s?[a-z]{2,5})?$")
+    clean = F.trim(text)
+    forms = [f"{day}{clock}{zone}" for day in ("", "d MMM yyyy ") for clock in ("H:mm", "H.mm") for zone in ("", " z")]
+    return F.coalesce(*(F.try_to_timestamp(clean, F.lit(f)) for f in forms)).isNotNull()
 
 
 def is_date_line(text: Column) -> Column:
-    return text.rlike(r"(?i)^(mon|tue|wed|thu|fri|sat|sun)\b") | text.rlike(r"(?i)^\d{1,2}\s+[a-z]{3}\s+\d{4}$")
+    """Does a text begin with a short weekday, or is it a day, month and year?"""
+    first = F.split(F.lower(F.trim(text)), "[^a-z0-9]+")[0]
+    return F.coalesce(first.isin(*WEEKDAYS), F.lit(False)) | F.try_to_timestamp(F.trim(text), F.lit("d MMM yyyy")).isNotNull()
 
 
 def utc_time_label(at: Column) -> Column:

@@ -13,6 +13,9 @@ LEAST_PREFERRED, OVERRIDE = 18, 18
 #: How excerpts begin that say nothing, and how cut texts end.
 PLAIN_EXCERPTS = (r"^(share|follow|subscribe|newsletter|sign up|get alerts)\b", r"^(read more|related|recommended|you may also like|more from)\b")
 CUT = r"(\[\.\.\.\]|\[…\]|\.{3}|…)$"
+#: How texts of at most 180 characters begin that lead an article but are none of it.
+LOW_LEADS = (r"(?i)^(gift this article|share|copy link)\b", r"(?i)^(subscribe|sign up|newsletter|follow|get alerts)\b", r"(?i)^(related|recommended|more from|up next)\b")
+MOST_LOW_LEAD = 180
 #: Scores of the addresses that a page gives for its site, by relation.
 SITE_SCORES = {"home": 100, "ld:site": 95, "ld:part": 90, "ld:publisher": 70}
 #: What is kept of a parser's report.
@@ -36,6 +39,7 @@ def ranked(candidates: Column) -> Column:
 
 def excerpt_score(text: Column, base: int, title: Column) -> Column:
     """How well a text serves as an excerpt: by length, whether it is cut or ends a sentence, and whether it says anything."""
+    # What lengths, cut ends, full stops and empty phrases are worth.
     n = F.length(text)
     length = F.when(n.between(80, 320), 18).when(n.between(50, 420), 10).when(n.between(421, 720), 2).otherwise(-10)
     empty = F.coalesce((comparable(text) == comparable(title)) & (comparable(title) != ""), F.lit(False))
@@ -53,11 +57,18 @@ def excerpt(described: Column, found: Column, title: Column) -> Column:
 
 
 def without_echo(blocks: Column, title: Column, said: Column) -> Column:
-    """Blocks from the first on that doesn't just repeat the title or the excerpt."""
-    plain = lambda t: F.trim(F.regexp_replace(F.regexp_replace(F.lower(t), r"[“”\"'.!?;:]+", " "), r"\s+", " "))
-    prose = lambda b: b["type"].isin("paragraph", "quote", "heading")
-    echo = lambda b: F.coalesce(prose(b) & (plain(b["text"]) != "") & ((plain(b["text"]) == plain(title)) | (plain(b["text"]) == plain(said))), F.lit(False))
-    walked = F.aggregate(blocks, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, b: F.struct((s["n"] + (s["on"] & echo(b)).cast("int")).alias("n"), (s["on"] & echo(b)).alias("on")))
+    """Blocks from the first on that neither repeats the title or the excerpt nor begins like a control."""
+    prose = lambda b: b["type"].isin("paragraph", "quote", "heading") & (F.trim(F.coalesce(b["text"], F.lit(""))) != "")
+    same = lambda x, y: (x != "") & F.coalesce(x == comparable(y), F.lit(False))
+
+    def low(text: Column) -> Column:
+        found = F.lit(False)
+        for p in LOW_LEADS:
+            found = found | F.trim(text).rlike(p)
+        return (F.length(F.trim(text)) <= MOST_LOW_LEAD) & found
+
+    skipped = lambda b: prose(b) & F.coalesce(let(comparable(b["text"]), lambda t: same(t, title) | same(t, said)) | low(b["text"]), F.lit(False))
+    walked = F.aggregate(blocks, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, b: F.struct((s["n"] + (s["on"] & skipped(b)).cast("int")).alias("n"), (s["on"] & skipped(b)).alias("on")))
     return F.slice(blocks, walked["n"] + 1, F.greatest(F.size(blocks) - walked["n"], F.lit(0)))
 
 

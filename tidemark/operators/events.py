@@ -62,10 +62,10 @@ def dismissals(old: DataFrame, new: DataFrame, now: Column) -> DataFrame:
 
 
 def transitions(old: DataFrame, new: DataFrame, now: Column) -> DataFrame:
-    """Events that changes of saved rows imply: save, favorite, mark_read."""
-    was = old.select("user_id", "content_id", F.col("read_state").alias("was_state"), F.col("is_favorited").alias("was_favorite"), F.col("archived_at").isNotNull().alias("was_archived"))
+    """Events that changes of saved rows imply: save for a new row (not for one taken out of the archive), favorite, mark_read."""
+    was = old.select("user_id", "content_id", F.col("read_state").alias("was_state"), F.col("is_favorited").alias("was_favorite"))
     rows = new.join(was, ["user_id", "content_id"], "left")
-    saved = F.col("was_state").isNull() | (F.col("was_archived") & F.col("archived_at").isNull())
+    saved = F.col("was_state").isNull()
     liked = F.col("is_favorited") & ~F.coalesce("was_favorite", F.lit(False))
     read = (F.col("read_state") == "read") & ~F.coalesce(F.col("was_state") == "read", F.lit(False))
     kinds = F.filter(F.array(F.when(saved, "save"), F.when(liked, "favorite"), F.when(read, "mark_read")), lambda k: k.isNotNull())

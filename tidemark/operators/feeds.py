@@ -9,29 +9,33 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.functions.urls import canonical_url, host
 from tidemark.runtime import ship
 from tidemark.schemas import FEED
 
 #: Entries of a feed that count, entries of a first delivery, tries, seconds until the next look.
 MOST_ENTRIES, BACKFILL, MOST_TRIED = 100, 30, 8
 NEXT_SECONDS = {"success": 3_600, "unchanged": 3_600, "no_feed": 21_600, "retryable": 60, "failed": 3_600}
+FEED_KINDS = ("rss", "atom", "xml")
 COMMON_PATHS = ("/feed", "/rss", "/rss.xml", "/feed.xml", "/atom.xml", "/index.xml")
 
 
 def feed_candidates(pages: DataFrame) -> DataFrame:
     """Where a site's feed may be: (page_id, feed_url, score), the best eight of each page.
 
-    pages: page_id, host, root (its address) and links (rel, type, href).
+    pages: page_id, host, root (its address) and links (rel, type, href). An alternate link counts if its type names rss,
+    atom or xml; hosts are the same only if they are equal.
     """
-    linked = pages.select("page_id", "host", "root", F.explode_outer(F.filter("links", lambda x: x["rel"].contains("alternate") & (x["href"] != ""))).alias("link")).filter("link IS NOT NULL")
-    href = F.col("link.href")
-    full = F.when(href.rlike(r"^https?://"), href).otherwise(F.concat(F.rtrim("root", F.lit("/")), F.lit("/"), F.regexp_replace(href, "^/+", "")))
-    kind = F.col("link.type")
-    is_feed = kind.contains("rss") | kind.contains("atom") | full.rlike(r"(?i)(rss|feed|atom)")
-    score = 100 + F.when(full.contains(F.col("host")), 20).otherwise(0) + F.when(kind.contains("rss"), 10).when(kind.contains("atom"), 8).otherwise(0) + F.when(full.rlike(r"(?i)(rss|feed|atom)"), 5).otherwise(0)
-    declared = linked.filter(is_feed).select("page_id", full.alias("feed_url"), score.alias("score"))
-    guessed = pages.select("page_id", F.explode(F.array(*(F.concat(F.rtrim("root", F.lit("/")), F.lit(p)) for p in COMMON_PATHS))).alias("feed_url"), F.lit(50).alias("score"))
-    best = declared.unionByName(guessed).groupBy("page_id", "feed_url").agg(F.max("score").alias("score"))
+    root = F.rtrim("root", F.lit("/"))
+    linked = pages.select("page_id", "host", "root", F.explode(F.filter("links", lambda x: x["rel"].contains("alternate") & (F.trim(x["href"]) != ""))).alias("link"))
+    href, kind = F.trim(F.col("link.href")), F.lower(F.coalesce(F.col("link.type"), F.lit("")))
+    full = canonical_url(F.when(href.rlike(r"(?i)^https?://"), href).when(href.startswith("//"), F.concat(F.lit("https:"), href)).otherwise(F.concat(root, F.lit("/"), F.ltrim(href, F.lit("/")))))
+    typed = linked.withColumn("feed_url", full).filter(F.exists(F.array(*map(F.lit, FEED_KINDS)), lambda k: kind.contains(k)) & F.col("feed_url").isNotNull())
+    named = F.exists(F.array(F.lit("feed"), F.lit("rss"), F.lit("atom")), lambda k: F.col("feed_url").contains(k))
+    points = lambda test, n: F.when(test, n).otherwise(0)
+    score = 100 + points(host(F.col("feed_url")) == F.col("host"), 20) + points(kind.contains("rss"), 10) + points(kind.contains("atom"), 8) + points(named, 5)
+    guessed = pages.select("page_id", F.explode(F.array(*(F.concat(root, F.lit(p)) for p in COMMON_PATHS))).alias("feed_url"), F.lit(50).alias("score"))
+    best = typed.select("page_id", "feed_url", score.alias("score")).unionByName(guessed).groupBy("page_id", "feed_url").agg(F.max("score").alias("score"))
     w = Window.partitionBy("page_id").orderBy(F.desc("score"), "feed_url")
     return best.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= MOST_TRIED).drop("n")
 
@@ -146,14 +150,14 @@ def discovery_method(source_url: Column, feed_url: Column) -> Column:
 
 
 def deliveries(subscriptions: DataFrame, entries: DataFrame, fresh: DataFrame, inbox: DataFrame) -> DataFrame:
-    """What goes to which inbox: the newest thirty entries at first, then what is new; nothing twice.
+    """What goes to which inbox: what is new, and for a first delivery the newest thirty entries besides; nothing twice.
 
     subscriptions: user_id, source_id, backfilled_at; entries and fresh: source_id, content_id, published_at, delivered_at.
     """
     w = Window.partitionBy("source_id").orderBy(F.desc_nulls_last("published_at"), F.desc("delivered_at"), "content_id")
     newest = entries.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= BACKFILL).select("source_id", "content_id")
     first = subscriptions.filter("backfilled_at IS NULL").join(newest, "source_id")
-    later = subscriptions.filter("backfilled_at IS NOT NULL").join(fresh.select("source_id", "content_id"), "source_id")
+    later = subscriptions.join(fresh.select("source_id", "content_id"), "source_id")
     return first.unionByName(later).select("user_id", "source_id", "content_id").distinct().join(inbox.select("user_id", "content_id"), ["user_id", "content_id"], "left_anti")
 
 

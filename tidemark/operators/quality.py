@@ -5,11 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import comparable
+from tidemark.functions.text import collapsed
 from tidemark.operators.blocks import count_of, metrics
 
 #: Scores at which an article is worth another try, urgently or not; least gain that replaces a text.
 LOW_SCORE, BORDER_SCORE, MARGIN, LEAST = 12, 24, 18, 18
+#: How texts of at most 180 characters begin that hardly belong to an article.
+SUSPICIOUS = (
+    r"(?i)^(share|copy link|follow|following|get alerts)\b",
+    r"(?i)^(subscribe|sign up|sign in|newsletter|restack)\b",
+    r"(?i)^(read more|related|recommended|more from|up next)\b",
+    r"(?i)^(contact us|confidential tip|site feedback)\b",
+    r"(?i)^(discussion|comments?|reply)\b",
+)
+MOST_SUSPICIOUS = 180
 BUDGETS = {"parsed": 262_144, "compact": 32_768}
 
 
@@ -18,14 +27,28 @@ def js_round(x: Column) -> Column:
     return F.floor(x + 0.5)
 
 
+def said(b: Column) -> Column:
+    """A block's text, its items in a row, or an image's caption or else alternative text, white space collapsed."""
+    items = F.when(b["type"] == "list", F.array_join(b["items"], " "))
+    return collapsed(F.coalesce(items, F.when(b["type"] == "image", F.coalesce(b["caption"], b["alt"])).otherwise(b["text"]), F.lit("")))
+
+
+def suspicious(text: Column) -> Column:
+    """Is a text short and begins like a control, a notice or a heading of other things?"""
+    found = F.lit(False)
+    for p in SUSPICIOUS:
+        found = found | text.rlike(p)
+    return (text != "") & (F.length(text) <= MOST_SUSPICIOUS) & found
+
+
 def article_quality(doc: Column) -> Column:
     """doc: a struct of title, excerpt, author, published_at, site_name, cover and blocks."""
     blocks = doc["blocks"]
     m = metrics(blocks)
     words, p = m["words"], count_of(blocks, "paragraph", "quote")
     prose = F.filter(blocks, lambda b: b["type"].isin("paragraph", "quote"))
-    duplicates = F.size(prose) - F.size(F.array_distinct(F.transform(prose, lambda b: F.lower(F.trim(b["text"])))))
-    odd = F.size(F.filter(blocks, lambda b: F.coalesce(b["text"].rlike(r"(?i)(enable javascript|access denied|are you a robot|verify you are human|please turn on cookies)"), F.lit(False))))
+    duplicates = F.size(prose) - F.size(F.array_distinct(F.transform(prose, lambda b: F.lower(collapsed(b["text"])))))
+    odd = F.size(F.filter(blocks, lambda b: suspicious(said(b))))
     least = lambda x, k: F.least(x, F.lit(k))
     score = F.least(F.lit(140.0), words / 10) + 3.1 * least(p, 24) + 1.6 * least(count_of(blocks, "heading"), 8) + 1.4 * least(count_of(blocks, "list"), 4) + 1.6 * least(count_of(blocks, "code"), 3)
     for name, worth in (("title", 8), ("author", 5), ("published_at", 4), ("excerpt", 4), ("site_name", 2), ("cover", 1)):
@@ -33,8 +56,8 @@ def article_quality(doc: Column) -> Column:
     many = p >= 3
     short = F.when(words < 80, F.when(many, 20).otherwise(72)).when(words < 160, F.when(many, 8).otherwise(32)).when(words < 260, F.when(many, 4).otherwise(12)).otherwise(0)
     score = score - 6 * m["images"] - 8 * duplicates - 16 * odd - short - F.when((p == 0) & (words < 120), 36).otherwise(0) - F.when((F.size(blocks) <= 2) & (words < 180), 28).otherwise(0) - F.when(count_of(blocks, "image") == F.size(blocks), 180).otherwise(0)
-    first = F.filter(blocks, lambda b: F.coalesce(b["text"], F.lit("")) != "")
-    echo = comparable(F.get(F.transform(first, lambda b: b["text"]), F.lit(0))) == comparable(doc["title"])
+    first = F.get(F.filter(F.transform(blocks, said), lambda t: t != ""), F.lit(0))
+    echo = (F.lower(first) == F.lower(collapsed(doc["title"]))) & (F.coalesce(doc["title"], F.lit("")) != "")
     return score - F.when(F.coalesce(echo, F.lit(False)), 18).otherwise(0)
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import extract, recover, site_readers, tree
+from tidemark.operators import blocks as B
+from tidemark.operators import extract, quality, recover, site_readers, tree
 from tidemark.plans.registry import register
 from tidemark.runtime import cut
 from tidemark.sources.tables import table
@@ -159,3 +160,25 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     out = site_readers.read_news(site_readers.news_candidates(read, nodes))
     text = F.array_join(F.transform("blocks", lambda b: b["text"]), "\n")
     return out.select("page_id", "source", F.size("blocks").cast("long").alias("blocks"), F.md5(text.cast("binary")).alias("texts"), F.round("score", 4).alias("score"))
+
+
+@register("b8_article_quality", f"""WITH {_ARTICLE},
+    body AS (SELECT page_id, i, e FROM said WHERE tag = 'article' QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY i) = 1),
+    parts AS (SELECT a.page_id, h.i, substr(h.y, 1, 4000) AS x, h.tag, row_number() OVER (PARTITION BY a.page_id ORDER BY h.i) AS nth FROM body a JOIN heads h ON h.page_id = a.page_id AND h.i > a.i AND h.i < a.e WHERE h.y <> ''),
+    kept AS (SELECT p.*, t.x AS title FROM parts p JOIN (SELECT page_id, x FROM said WHERE tag = 'title') t USING (page_id) WHERE nth <= 128),
+    m AS (SELECT page_id, count(*) AS n, sum(len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+'))) AS w, count(*) FILTER (tag = 'p') AS p, count(*) FILTER (tag = 'h1') AS h, count(*) FILTER (tag = 'p') - count(DISTINCT lower(x)) FILTER (tag = 'p') AS twice,
+            count(*) FILTER (length(x) <= 180 AND regexp_matches(x, '(?i)^(share|copy link|follow|following|get alerts|subscribe|sign up|sign in|newsletter|restack|read more|related|recommended|more from|up next|contact us|confidential tip|site feedback|discussion|comments?|reply)\\b')) AS odd,
+            lower(first(x ORDER BY i)) = lower(first(title ORDER BY i)) AS echo FROM kept GROUP BY page_id)
+    SELECT page_id, CAST(odd AS BIGINT) AS odd, round(least(140.0, w / 10) + least(p, 24) * 3.1 + least(h, 8) * 1.6 + 8 - 8 * twice - 16 * odd
+        - CASE WHEN w < 80 THEN CASE WHEN p >= 3 THEN 20 ELSE 72 END WHEN w < 160 THEN CASE WHEN p >= 3 THEN 8 ELSE 32 END WHEN w < 260 THEN CASE WHEN p >= 3 THEN 4 ELSE 12 END ELSE 0 END
+        - CASE WHEN p = 0 AND w < 120 THEN 36 ELSE 0 END - CASE WHEN n <= 2 AND w < 180 THEN 28 ELSE 0 END - CASE WHEN echo THEN 18 ELSE 0 END, 4) AS quality FROM m""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The quality of what each page's first article holds, titled as the page is; of nothing else is known."""
+    nodes = cut(tree.tree_rows(table(spark, d, "pages")))
+    first = F.struct(F.col("pre").alias("root"), F.col("last").alias("root_last"))
+    roots = nodes.filter("tag = 'article'").groupBy("page_id").agg(F.min(first).alias("r")).select("page_id", "r.*")
+    titles = tree.first_of(nodes, ["page_id"], title=(F.col("tag") == "title", F.col("text")))
+    rows = tree.blocks_of(tree.inside(nodes, roots, "page_id"), ["page_id"]).join(titles, "page_id").withColumn("blocks", B.sanitized(F.col("blocks")))
+    none = [F.lit(None).cast("string").alias(n) for n in ("excerpt", "author", "published_at", "site_name", "cover")]
+    odd = F.size(F.filter("blocks", lambda b: quality.suspicious(quality.said(b))))
+    return rows.select("page_id", odd.cast("long").alias("odd"), F.round(quality.article_quality(F.struct("title", *none, "blocks")), 4).alias("quality"))

@@ -65,10 +65,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return V.accepted(named(1, 401), named(0, 400))
 
 
-@register("a4_transitions", over(f"SELECT n.user_id, n.content_id, e.event_type, {NOW} AS occurred_at FROM saved n LEFT JOIN (SELECT * FROM saved WHERE content_id % 2 = 0) o USING (user_id, content_id) CROSS JOIN (VALUES ('save'), ('favorite'), ('mark_read')) e(event_type) WHERE (e.event_type = 'save' AND o.read_state IS NULL) OR (e.event_type = 'favorite' AND n.is_favorited AND o.read_state IS NULL) OR (e.event_type = 'mark_read' AND n.read_state = 'read' AND o.read_state IS NULL)"))
+@register("a4_transitions", over(f"SELECT n.user_id, n.content_id, e.event_type, {NOW} AS occurred_at FROM saved n LEFT JOIN (SELECT user_id, content_id, read_state FROM saved WHERE content_id % 2 = 0) o USING (user_id, content_id) CROSS JOIN (VALUES ('save'), ('favorite'), ('mark_read')) e(event_type) WHERE (e.event_type = 'save' AND o.read_state IS NULL) OR (e.event_type = 'favorite' AND n.is_favorited AND o.read_state IS NULL) OR (e.event_type = 'mark_read' AND n.read_state = 'read' AND o.read_state IS NULL)"))
 def _(spark: SparkSession, d: str) -> DataFrame:
     new = E.saved(spark, d)
-    return V.transitions(new.filter("content_id % 2 = 0"), new, E.as_of())
+    old = new.filter("content_id % 2 = 0").withColumn("archived_at", E.as_of())  # all come out of the archive
+    return V.transitions(old, new, E.as_of())
 
 
 @register("d1_library_pages", over("SELECT user_id, content_id, read_state, updated_at, CAST(floor((n - 1) / 20) AS INTEGER) AS page, CAST((n - 1) % 20 AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY updated_at DESC, content_id DESC) AS n FROM saved WHERE archived_at IS NULL AND read_state = 'unread')"))
@@ -86,22 +87,36 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _tags(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    k = F.col("content_id") % 9
-    tagged = E.saved(spark, d).select("user_id", "content_id", F.concat(F.lit("t"), k.cast("string")).alias("tag_id"))
-    names = spark.range(9).select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("tag_id"), F.concat(F.lit("tag-"), F.col("id").cast("string")).alias("slug"), F.when(F.col("id") < 5, "system").otherwise("custom").alias("scope"))
-    return tagged, names
+    """Two tags on some rows: of nine kinds the first five are the system's, the others each user's own; every user has all four."""
+    c, u = F.col("content_id"), F.col("user_id")
+    kinds = F.array_distinct(F.array(c % 9, F.when(c % 2 == 0, (2 * c + 1) % 9).otherwise(c % 9)))
+    named = lambda k: F.when(k < 5, F.concat(F.lit("t"), k.cast("string"))).otherwise(F.concat_ws(":", F.concat(F.lit("t"), k.cast("string")), u.cast("string")))
+    tagged = E.saved(spark, d).select("user_id", "content_id", F.explode(kinds).alias("k")).select("user_id", "content_id", named(F.col("k")).alias("tag_id"))
+    told = lambda k: (F.concat(F.lit("tag-"), k.cast("string")).alias("slug"), F.concat(F.lit("Tag "), (20 - k).cast("string")).alias("label"))
+    k = F.col("k")
+    system = E.topics(spark, d).filter("id LIKE 'r%'").select(F.expr("cast(substring(id, 2) as long)").alias("k")).select(F.concat(F.lit("t"), k.cast("string")).alias("tag_id"), *told(k), F.lit(None).cast("long").alias("owner"))
+    own = E.users(spark, d).select("user_id", F.explode(F.sequence(F.lit(5), F.lit(8))).alias("k")).select(named(k).alias("tag_id"), *told(k), F.col("user_id").alias("owner"))
+    return tagged, system.unionByName(own)
 
 
-@register("d2_tag_counts", over("SELECT user_id, 't' || (content_id % 9) AS tag_id, 'tag-' || (content_id % 9) AS slug, content_id % 9 < 5 AS is_system, count(*) AS n FROM saved GROUP BY ALL"))
+_TAGS = {
+    "names": "SELECT 't' || r_regionkey AS tag_id, 'tag-' || r_regionkey AS slug, 'Tag ' || (20 - r_regionkey) AS label, CAST(NULL AS BIGINT) AS owner FROM region UNION ALL SELECT 't' || k || ':' || user_id, 'tag-' || k, 'Tag ' || (20 - k), user_id FROM people, (VALUES (5), (6), (7), (8)) v(k)",
+    "kinds": "SELECT user_id, content_id, content_id % 9 AS k FROM saved UNION SELECT user_id, content_id, (2 * content_id + 1) % 9 FROM saved WHERE content_id % 2 = 0",
+    "tagged": "SELECT user_id, content_id, CASE WHEN k < 5 THEN 't' || k ELSE 't' || k || ':' || user_id END AS tag_id FROM kinds",
+    "used": "SELECT user_id, tag_id, count(*) AS n FROM tagged GROUP BY ALL",
+}
+
+
+@register("d2_tag_counts", over("SELECT user_id, tag_id, slug, label, owner IS NULL AS is_system, coalesce(n, 0) AS n, CAST(row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN owner IS NULL THEN 0 ELSE 1 END, label, tag_id) AS INTEGER) AS place FROM people p JOIN names t ON t.owner IS NULL OR t.owner = p.user_id LEFT JOIN used USING (user_id, tag_id)", **_TAGS))
 def _(spark: SparkSession, d: str) -> DataFrame:
     tagged, names = _tags(spark, d)
-    return library.tag_counts(names, tagged)
+    return library.tag_counts(E.users(spark, d), names, tagged)
 
 
-@register("d3_tags_of_items", over("SELECT user_id, content_id, 'tag-' || (content_id % 9) AS tags FROM saved"))
+@register("d3_tags_of_items", over("SELECT user_id, content_id, string_agg(slug || ':' || n, ',' ORDER BY CASE WHEN owner IS NULL THEN 0 ELSE 1 END, label) AS tags FROM tagged JOIN used USING (user_id, tag_id) JOIN names USING (tag_id) GROUP BY user_id, content_id", **_TAGS))
 def _(spark: SparkSession, d: str) -> DataFrame:
     tagged, names = _tags(spark, d)
-    return library.tags_of(tagged, names).withColumn("tags", F.array_join("tags", ","))
+    return library.tags_of(tagged, names).withColumn("tags", F.array_join(F.transform("tags", lambda t: F.concat_ws(":", t["slug"], t["n"].cast("string"))), ","))
 
 
 @register("d4_save_again", over(f"SELECT coalesce(s.user_id, r.user_id) AS user_id, coalesce(s.content_id, r.content_id) AS content_id, CASE WHEN r.user_id IS NOT NULL THEN {NOW} ELSE s.updated_at END AS updated_at, CASE WHEN r.user_id IS NULL THEN s.archived_at END AS archived_at, coalesce(read_state, 'unread') AS read_state, coalesce(is_favorited, FALSE) AS is_favorited FROM saved s FULL JOIN (SELECT DISTINCT user_id, content_id FROM ev WHERE event_type = 'open') r ON r.user_id = s.user_id AND r.content_id = s.content_id"))
@@ -109,20 +124,23 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return library.saved_again(E.saved(spark, d), E.events(spark, d).filter("event_type = 'open'"), E.as_of())
 
 
-@register("d6_inbox_view", over("SELECT i.user_id, i.content_id, i.delivered_at, EXISTS (SELECT 1 FROM saved s WHERE s.user_id = i.user_id AND s.content_id = i.content_id AND s.archived_at IS NULL) AS is_saved FROM inbox i WHERE dismissed_at IS NULL AND read_state = 'unread'"))
+@register("d6_inbox_view", over("SELECT i.user_id, i.content_id, i.delivered_at, EXISTS (SELECT 1 FROM saved s WHERE s.user_id = i.user_id AND s.content_id = i.content_id) AS is_saved FROM inbox i WHERE dismissed_at IS NULL AND read_state = 'unread'"))
 def _(spark: SparkSession, d: str) -> DataFrame:
     return library.inbox_view(library.listed(E.inbox(spark, d), dismissed=False, read_state="unread"), E.saved(spark, d)).select("user_id", "content_id", "delivered_at", "is_saved")
 
 
-@register("d8_subscriptions", over("SELECT user_id, s.source_id, quality_tier, newest_at, coalesce(n, 0) AS contents FROM subscriptions s JOIN sources x ON x.id = s.source_id LEFT JOIN (SELECT source_id, max(published_at) AS newest_at, count(*) AS n FROM content GROUP BY source_id) c ON c.source_id = s.source_id"))
+@register("d8_subscriptions", over("SELECT user_id, s.source_id, quality_tier, CASE WHEN quality_tier > 1 THEN s.source_id || '/feed' END AS feed_url, newest_at, coalesce(n, 0) AS contents, CAST(row_number() OVER (PARTITION BY user_id ORDER BY updated_at DESC, s.source_id DESC) AS INTEGER) AS place FROM (SELECT user_id, source_id, max(occurred_at) AS updated_at FROM ev WHERE event_type = 'subscribe' GROUP BY ALL) s JOIN sources x ON x.id = s.source_id LEFT JOIN (SELECT source_id, max(published_at) AS newest_at, count(*) AS n FROM content GROUP BY source_id) c ON c.source_id = s.source_id"))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return library.subscription_list(E.subscriptions(spark, d), E.sources(spark, d), E.content_keys(spark, d))
+    sources = E.sources(spark, d)
+    followed = E.events(spark, d).filter("event_type = 'subscribe'").groupBy("user_id", "source_id").agg(F.max("occurred_at").alias("updated_at"))
+    main = sources.filter("quality_tier > 1").select(F.col("id").alias("source_id"), F.concat("id", F.lit("/feed")).alias("feed_url"))
+    return library.subscription_list(followed, sources, E.content_keys(spark, d), main)
 
 
-@register("d9_content_detail", over("SELECT DISTINCT e.user_id, e.content_id, c.source_id, c.language_code, EXISTS (SELECT 1 FROM saved s WHERE s.user_id = e.user_id AND s.content_id = e.content_id AND archived_at IS NULL) AS is_saved, EXISTS (SELECT 1 FROM subscriptions s WHERE s.user_id = e.user_id AND s.source_id = c.source_id) AS is_subscribed FROM ev e JOIN content c ON c.id = e.content_id"))
+@register("d9_content_detail", over("SELECT DISTINCT e.user_id, e.content_id, c.source_id, c.language_code, x.quality_tier, EXISTS (SELECT 1 FROM saved s WHERE s.user_id = e.user_id AND s.content_id = e.content_id) AS is_saved, EXISTS (SELECT 1 FROM subscriptions s WHERE s.user_id = e.user_id AND s.source_id = c.source_id) AS is_subscribed FROM ev e JOIN content c ON c.id = e.content_id LEFT JOIN sources x ON x.id = c.source_id"))
 def _(spark: SparkSession, d: str) -> DataFrame:
     wanted = E.events(spark, d).filter("content_id IS NOT NULL").select("user_id", "content_id").distinct()
-    return library.content_detail(E.content_keys(spark, d), wanted, E.saved(spark, d), E.subscriptions(spark, d))
+    return library.content_detail(E.content_keys(spark, d), wanted, E.saved(spark, d), E.subscriptions(spark, d), E.sources(spark, d))
 
 
 _CANON = """SELECT page_id, url, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) AS sch, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)) AS h, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) AS p,
@@ -140,8 +158,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", X.tag_slug(F.concat_ws("_ #", "p_type", "p_name")).alias("slug"))
 
 
-@register("t8_summaries", """WITH c AS (SELECT doc_id, trim(regexp_replace(text, '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS t FROM documents), h AS (SELECT *, substr(t, 1, 280) AS head FROM c), p AS (SELECT *, regexp_extract(head, '^(.*[.!?])(?:\\s|$)', 1) AS s, regexp_extract(head, '^(.*)\\s', 1) AS w FROM h)
-    SELECT doc_id, CASE WHEN length(t) <= 280 THEN t WHEN length(s) >= 154 THEN s WHEN length(w) >= 182 THEN w || '…' ELSE substr(head, 1, 279) || '…' END AS summary FROM p""")
+@register("t8_summaries", """WITH c AS (SELECT doc_id, trim(regexp_replace(text, '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS t FROM documents), h AS (SELECT *, rtrim(substr(t, 1, 280)) AS head FROM c), p AS (SELECT *, regexp_extract(head, '^(.*[.?!]["'')\\]]?)(?:\\s|$)', 1) AS s, regexp_extract(head, '^(.*)\\s', 1) AS w FROM h)
+    SELECT doc_id, CASE WHEN length(t) <= 280 THEN t WHEN length(s) >= 154 THEN s WHEN length(w) >= 182 THEN w ELSE head END AS summary FROM p""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", X.summary(F.col("text")).alias("summary"))
 
@@ -239,8 +257,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("r", quality.recovery(F.lit("article"), F.col("title"), F.col("w"), F.col("b"), i % 60, none, F.lit(False))).select("doc_id", "r.should_recover", "r.priority", F.array_join("r.reasons", ",").alias("reasons"))
 
 
-@register("c1_feed_candidates")
+@register("c1_feed_candidates", f"SELECT page_id, rtrim(root, '/') || path AS feed_url, CAST(50 AS INTEGER) AS score FROM (SELECT page_id, sch || '://' || h || '/' AS root FROM ({_CANON})), (VALUES ('/feed'), ('/rss'), ('/rss.xml'), ('/feed.xml'), ('/atom.xml'), ('/index.xml')) v(path)")
 def _(spark: SparkSession, d: str) -> DataFrame:
+    """The tables' pages declare no feeds, so the usual places are all there is."""
     url = F.col("url")
     pages = table(spark, d, "pages").select("page_id", U.host(url).alias("host"), U.source_root(url).alias("root"), extract.read_html(F.col("html"))["links"].alias("links"))
     return feeds.feed_candidates(pages)
@@ -268,7 +287,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register("c7_deliveries", over("""SELECT DISTINCT s.user_id, s.source_id, c.id AS content_id FROM subscriptions s JOIN (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY published_at DESC, id) AS n FROM content) c ON c.source_id = s.source_id
-    WHERE ((s.user_id % 2 = 0 AND n <= 30) OR (s.user_id % 2 = 1 AND c.id % 10 = 0)) AND NOT EXISTS (SELECT 1 FROM inbox i WHERE i.user_id = s.user_id AND i.content_id = c.id AND i.read_state = 'read')"""))
+    WHERE (s.user_id % 2 = 0 AND n <= 30 OR c.id % 10 = 0) AND NOT EXISTS (SELECT 1 FROM inbox i WHERE i.user_id = s.user_id AND i.content_id = c.id AND i.read_state = 'read')"""))
 def _(spark: SparkSession, d: str) -> DataFrame:
     subs = E.subscriptions(spark, d).withColumn("backfilled_at", F.when(F.col("user_id") % 2 == 1, E.as_of()))
     entries = E.content_keys(spark, d).select("source_id", F.col("id").alias("content_id"), "published_at", F.col("published_at").alias("delivered_at"))
