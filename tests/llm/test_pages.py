@@ -24,6 +24,19 @@ PAGE = "page_id long, url string, html string"
         ('<article><div class="share">x</div><p>one &amp; two<p hidden>no<p>three</article>', (["one & two", "three"], True)),
         ("<table><tr><td class=ad>no<td>yes<tr><td>more</table>", (["yes", "more"], False)),
         ("<nav><p>menu</nav>", ([], False)),
+        ('<body><div class="page has-sidebar"><article><p>Main text here.</p></article></div></body>', (["Main text here."], True)),
+        ('<div class="site no-sidebar"><article>a b</article></div>', (["a b"], True)),
+        ('<div class="article-with-comments"><article>a b</article><div class="comments-area"><p>c</div></div>', (["a b"], True)),
+        ('<div class="sidebar"><p>x</p><article>the only article has more words</article></div>', (["the only article has more words"], True)),
+        ('<article class="comment-list-post">a b c</article>', (["a b c"], True)),
+        ('<p>a page without article, of some words</p><div class="comments"><article class="comment">me too</article></div>', (["a page without article, of some words"], False)),
+        ('<form action="/x"><article>a b<button>go</button></article></form>', (["a b"], True)),
+        ('<aside><article>teaser in a column</article></aside><p>text', (["text"], False)),
+        ('<article><p class="ad-hoc">one</p><div class="share-price-table">two</div><p class="ad">three</p><div id="shareButtons">four</div></article>', (["one", "two"], True)),
+        ('<article>the long one of the page, which is its own</article><article>a teaser</article>', (["the long one of the page, which is its own"], True)),
+        ("<article>outer <article>inner</article> rest</article>", (["outer", "inner", "rest"], True)),
+        ("<header>site</header><article><header><h1>Title</h1></header>text</article>", (["Title", "text"], True)),
+        ('<div class="page-header">site</div><ul><li><a href="/a">Menu</a><li><a href="/b">More</a></ul><ul><li>a point with <a>link</a></ul>', (["a point with link"], False)),
     ],
 )
 def test_read_page(page, want):
@@ -74,6 +87,19 @@ def test_blocks_that_articles_of_a_host_share(spark):
     assert all(share in got[k] for k in (*range(10, 19), 30, 31))
 
 
+@pytest.mark.parametrize("articles, gone", [(2, False), (3, True), (4, True), (5, True)])
+def test_a_footer_in_every_article_of_a_small_host(spark, articles, gone):
+    footer = "this is the footer paragraph of the host that all its articles have"
+    rows = [(k, f"http://h.org/{k}", f"<article><p>{' '.join(f'word{k}x{j}' for j in range(30))}</p><p>{footer}</p></article>") for k in range(articles)]
+    assert {footer in r.text for r in extract_main_text(spark.createDataFrame(rows, PAGE)).collect()} == {not gone}
+
+
+def test_near_copies_keep_what_they_share(spark):
+    same = "".join(f"<p>{' '.join(f's{j}x{k}' for k in range(20))}</p>" for j in range(9))
+    rows = [(k, f"http://h.org/{k}", f"<article>{same}<p>only {k}</p></article>") for k in range(6)]
+    assert {r.n_chars > 500 for r in extract_main_text(spark.createDataFrame(rows, PAGE)).collect()} == {True}
+
+
 def test_long_marked_page(spark):
     long_ = " ".join(f"t{k}" for k in range(100_000))
     rows = [(1, "http://a.b/", f"<article><p>{long_}</article>"), (1, "http://a.b/", f"<article><p>{long_}</article>"), (2, "http://a.b/2", "<main></main>")]
