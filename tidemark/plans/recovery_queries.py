@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import blocks as B
-from tidemark.operators import extract, quality, recover, site_readers, tree
+from tidemark.operators import extract, posts, quality, recover, site_readers, tree
 from tidemark.plans.registry import register
 from tidemark.runtime import cut
 from tidemark.sources.tables import table
@@ -182,3 +182,36 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     none = [F.lit(None).cast("string").alias(n) for n in ("excerpt", "author", "published_at", "site_name", "cover")]
     odd = F.size(F.filter("blocks", lambda b: quality.suspicious(quality.said(b))))
     return rows.select("page_id", odd.cast("long").alias("odd"), F.round(quality.article_quality(F.struct("title", *none, "blocks")), 4).alias("quality"))
+
+
+_LINES = "array_to_string(list_filter(list_transform(regexp_split_to_array({}, '\\n{{2,}}'), lambda s: array_to_string(list_filter(list_transform(string_split(s, chr(10)), lambda l: trim(regexp_replace(l, '[ \\t-\\r]+', ' ', 'g'))), lambda l: l <> ''), chr(10))), lambda s: s <> ''), chr(10) || chr(10))"
+
+
+@register("b16_threads", f"""WITH t AS (SELECT conv_id, turn, role, {_LINES.format('text')} AS x, {_LINES.format("substr(text, 1, length(text) // 2)")} AS half, max(turn) OVER (PARTITION BY conv_id) AS root FROM conversations),
+    posts AS (SELECT * FROM t WHERE turn % 2 = 0 AND half || x <> '' OR turn = root),
+    said AS (SELECT conv_id, turn = root AS is_root, turn, role, x, row_number() OVER (PARTITION BY conv_id ORDER BY turn = root DESC, turn) AS place FROM posts),
+    first AS (SELECT conv_id, x, role, len(list_filter(string_split(x, chr(10)), lambda l: l <> '')) AS lines FROM said WHERE place = 1),
+    longest AS (SELECT conv_id, max(length(x)) AS n, max(len(list_filter(string_split(x, chr(10)), lambda l: l <> ''))) AS lines FROM t GROUP BY conv_id)
+    SELECT s.conv_id, CASE WHEN count(*) > 1 THEN 'thread' WHEN any_value(l.n) >= 420 OR any_value(l.lines) > 1 THEN 'article' ELSE 'post' END AS kind, 'Name of ' || any_value(f.role) AS author, CAST(count(*) AS BIGINT) AS posts,
+           md5(string_agg(s.turn || ':' || s.x, chr(10) ORDER BY place)) AS texts FROM said s JOIN first f USING (conv_id) JOIN longest l USING (conv_id) GROUP BY s.conv_id""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as threads about their last turn: every second turn's first half in the markup, all in the page's data,
+    the last in an embed."""
+    rows = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("key"), "turn", "role", "text")
+    number = F.col("turn").cast("string")
+    name = F.concat(F.lit("Name of "), F.col("role"))
+    none = F.array().cast(f"array<{posts.MEDIA}>")
+    last = rows.groupBy("key").agg(F.max_by(F.struct("turn", "role", "text"), "turn").alias("root")).withColumn("url", F.concat(F.lit("https://x.com/someone/status/"), F.col("root.turn").cast("string")))
+    markup = rows.filter("turn % 2 = 0").select("key", F.lit("markup").alias("source"), F.col("turn").cast("int").alias("turn"), number.alias("post_id"), F.concat(F.lit("@"), F.col("role")).alias("author_handle"), F.lit(None).cast("string").alias("display_name"), F.lit(None).cast("timestamp").alias("published_at"), F.expr("substring(text, 1, cast(length(text) div 2 as int))").alias("text"), none.alias("media"))
+    at = F.date_format(F.timestamp_add("MINUTE", F.col("turn").cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp")), "EEE MMM dd HH:mm:ss +0000 yyyy")
+    post = F.struct(number.alias("rest_id"), F.struct(number.alias("id_str"), F.col("text").alias("full_text"), at.alias("created_at")).alias("legacy"), F.struct(F.struct(F.struct(F.struct(F.col("role").alias("screen_name"), name.alias("name")).alias("legacy")).alias("result")).alias("user_results")).alias("core"))
+    scripts = rows.groupBy("key").agg(F.to_json(F.struct(F.collect_list(F.struct("turn", post.alias("item"))).alias("entries"))).alias("script")).join(last.select("key", "url"), "key")
+    embed = F.to_json(F.struct(F.concat(F.lit("<blockquote><p>"), F.substring(F.replace(F.replace("root.text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), 1, 9), F.lit("</p>&mdash; <a href='"), F.col("url"), F.lit("'>January 1, 2024</a></blockquote>")).alias("html"), F.concat(F.lit("Name of "), F.col("root.role")).alias("author_name")))
+    records = markup.unionByName(posts.payload_records(scripts)).unionByName(posts.oembed_records(last.select("key", "url", embed.alias("embed"))))
+    nothing = [F.lit(None).cast("string").alias(n) for n in ("title", "description", "cover", "article_title", "article_preview", "article_cover")]
+    pages = last.select("key", F.col("root.turn").cast("string").alias("root_id"), F.lit(None).cast("timestamp").alias("published_at"), F.lit(False).alias("is_note"), *nothing)
+    made = cut(records)
+    kinds = posts.threads(made, pages).select("key", "kind", "author", F.col("posts").cast("long").alias("posts"))
+    said = posts.ordered_posts(posts.merged_posts(made.join(pages.select("key", "root_id"), "key"))).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("place", F.concat_ws(":", "post_id", "text").alias("t")))).alias("l"))
+    texts = F.md5(F.array_join(F.transform("l", lambda x: x["t"]), "\n").cast("binary"))
+    return kinds.join(said, "key").select(F.col("key").cast("long").alias("conv_id"), "kind", "author", "posts", texts.alias("texts"))
