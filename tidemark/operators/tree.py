@@ -30,7 +30,9 @@ _ENDS_P = frozenset((*_HEADINGS, *"p blockquote pre ul ol dl table hr div sectio
 #: Elements that end where their like begins, up to what they stand in.
 _ENDS = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 _UNREAD = frozenset(("script", "style", "noscript", "template"))
-_KEPT = frozenset("class id rel role type datetime src alt href name value style hidden aria-hidden itemprop srcset width height content property data-language data-lang data-block-time data-component".split())
+_KEPT = frozenset("class id rel role type datetime src alt href name value style hidden aria-hidden itemprop srcset width height content property data-language data-lang data-block-id data-testid data-module data-component props".split())
+#: Characters of an attribute that are kept, and of one that carries data.
+_MOST_VALUE, _MOST_DATA = 2_000, 1_000_000
 #: Elements that hold no article text, and classes that hide one.
 NOISY = ("aside", "button", "canvas", "dialog", "footer", "form", "input", "nav", "noscript", "script", "select", "style", "svg", "textarea")
 HIDING = r"(?i)\b(sr-only|visually-hidden|screen-reader-text)\b"
@@ -53,7 +55,7 @@ class _Tree(HTMLParser):
         self.size, self.gap = 0, False
 
     def handle_starttag(self, tag: str, attrs) -> None:
-        kept = {k: (v or "")[:2000] for k, v in attrs if k in _KEPT}
+        kept = {k: (v or "")[: _MOST_DATA if k == "props" else _MOST_VALUE] for k, v in attrs if k in _KEPT}
         if tag in _ENDS_P and any(self.nodes[k][4] == "p" for k in self.open):
             self._close("p")
         if tag in _ENDS:

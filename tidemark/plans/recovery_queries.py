@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import blocks as B
-from tidemark.operators import extract, posts, quality, recover, site_readers, tree
+from tidemark.operators import extract, live, posts, quality, recover, site_readers, tree
 from tidemark.plans.registry import register
 from tidemark.runtime import cut
 from tidemark.sources.tables import table
@@ -215,3 +215,21 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     said = posts.ordered_posts(posts.merged_posts(made.join(pages.select("key", "root_id"), "key"))).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("place", F.concat_ws(":", "post_id", "text").alias("t")))).alias("l"))
     texts = F.md5(F.array_join(F.transform("l", lambda x: x["t"]), "\n").cast("binary"))
     return kinds.join(said, "key").select(F.col("key").cast("long").alias("conv_id"), "kind", "author", "posts", texts.alias("texts"))
+
+
+@register("b13_live_blogs", f"""WITH c AS (SELECT conv_id, turn, role, trim(regexp_replace(text, '[ \\t-\\r]+', ' ', 'g')) AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE length(trim(regexp_replace('12:00 UTC' || 'By ' || role || text || 'Share', '[ \\t-\\r]+', ' ', 'g'))) >= 80),
+    u AS (SELECT *, '12:' || lpad(CAST(turn AS VARCHAR), 2, '0') || ' UTC | By ' || upper(role[1:1]) || role[2:] AS heading FROM c WHERE k <= 6),
+    sums AS (SELECT conv_id, count(*) AS updates, sum(len(string_split(substr(x, 1, 4000), ' ')) + len(string_split(heading, ' '))) + 2 AS words, md5('Latest updates' || chr(10) || string_agg(heading || chr(10) || substr(x, 1, 4000), chr(10) ORDER BY k)) AS texts FROM u GROUP BY conv_id)
+    SELECT conv_id, 'dom-liveblog-root' AS source, CAST(updates AS BIGINT) AS updates, texts, round(48 + least(120.0, words / 14) + 8 * updates + 3 * updates - CASE WHEN updates < 2 AND words < 180 THEN 18 ELSE 0 END - CASE WHEN words < 120 THEN 22 ELSE 0 END, 4) AS score FROM sums""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as live blogs, a turn being an update with its time and author in the header."""
+    escape = lambda x: F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    clock = F.concat(F.lit("12:"), F.lpad(F.col("turn").cast("string"), 2, "0"), F.lit(" UTC"))
+    name = F.concat(F.lit("By "), F.initcap("role"))
+    update = F.concat(F.lit("<article class='block wide'><header><span>"), clock, F.lit("</span><a rel='author'>"), name, F.lit("</a></header><figure><img src='x'></figure><p>"), escape(F.col("text")), F.lit("</p><div class='share'><p>Share</p></div></article>"))
+    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", update.alias("u")))).alias("l"))
+    pages = rows.select("conv_id", F.concat(F.lit("<body><div id='liveblog-body'>"), F.array_join(F.transform("l", lambda x: x["u"]), ""), F.lit("</div></body>")).alias("html"))
+    read = pages.select("conv_id", extract.read_html(F.col("html")).alias("page")).withColumn("title", F.lit("Live"))
+    out = live.read_live_blogs(read, tree.tree_rows(pages, "conv_id"), "conv_id")
+    text = F.array_join(F.transform("blocks", lambda b: b["text"]), "\n")
+    return out.select("conv_id", "source", F.col("updates").cast("long").alias("updates"), F.md5(text.cast("binary")).alias("texts"), F.round("score", 4).alias("score"))
