@@ -55,3 +55,37 @@ def test_only_touched_days_are_written(spark, data, tmp_path):
         stream.roll_up(events.filter(F.to_date("occurred_at") == F.lit(day)), k, content, target)
     versions = {d.name: sorted(v.name for v in d.iterdir()) for d in (tmp_path / "content_feedback").glob("day=*")}
     assert versions.pop(f"day={day}") == ["batch=2", "batch=3"] and set(map(tuple, versions.values())) == {("batch=0",)}
+
+
+def test_files_of_untouched_days_are_not_read(spark, data, tmp_path, monkeypatch):
+    events, content, target = E.events(spark, data).filter("id % 10 < 3"), E.content_keys(spark, data), str(tmp_path)
+    stream.roll_up(events, 0, content, target)
+    day = str(events.select(F.max(F.to_date("occurred_at"))).first()[0])
+    opened, whole = [], stream._days
+
+    def days(spark, target, name, versions):
+        rows = whole(spark, target, name, versions)
+        opened.extend(rows.inputFiles() if rows is not None else [])
+        return rows
+
+    monkeypatch.setattr(stream, "_days", days)
+    stream.roll_up(events.filter(F.to_date("occurred_at") == F.lit(day)), 1, content, target)
+    assert opened and all(f"/day={day}/batch=0/" in f for f in opened), opened
+    # With the other days' files gone the batch can still run: nothing else of theirs is touched.
+    for other in tmp_path.glob("content_feedback/day=*"):
+        if other.name != f"day={day}":
+            for f in other.rglob("*.parquet"):
+                f.write_bytes(b"")
+    stream.roll_up(events.filter(F.to_date("occurred_at") == F.lit(day)), 2, content, target)
+    assert stream._manifest(spark, target)["content_feedback"][day] == 2
+
+
+def test_dirty_folders_are_merged(spark, data, tmp_path, monkeypatch):
+    monkeypatch.setattr(stream, "_MOST_DIRTY", 2)
+    events, content, target = E.events(spark, data).filter("id % 10 < 3"), E.content_keys(spark, data), str(tmp_path)
+    parts = [events.filter(f"id % 5 = {k}") for k in range(5)]
+    for k in (0, 1, 2, 2, 3, 4):  # the third, which merges, runs again
+        stream.roll_up(parts[k], k, content, target)
+    assert len(list((tmp_path / "dirty").iterdir())) <= 4 and len(stream._manifest(spark, target)["dirty"]) <= 2
+    want = R.dirty_targets(events, content)
+    assert key(stream.dirty(spark, target).select(*want.columns).collect()) == key(want.collect())

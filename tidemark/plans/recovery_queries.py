@@ -126,7 +126,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     html = F.concat(F.lit("<html><head><script>window._preloads = JSON.parse("), quoted, F.lit(")</script></head><body><article class='newsletter-post post'><div class='available-content'><div class='body markup'>"), body(F.slice(lines, 1, 3)), F.lit("</div></div></article></body></html>"))
     pages = table(spark, d, "documents").select("doc_id", html.alias("html"))
     read = pages.select("doc_id", "html", extract.metadata(extract.read_html(F.regexp_replace("html", r"(?s)<script>.*</script>", ""))).alias("meta"))
-    nodes = tree.tree_rows(pages, "doc_id")
+    nodes = cut(tree.tree_rows(pages, "doc_id"))
     out = site_readers.read_letters(site_readers.letter_candidates(read, nodes, "doc_id"), "doc_id")
     text = F.array_join(F.transform("blocks", lambda b: b["text"]), "\n")
     return out.select("doc_id", "source", "title", "author", F.size("blocks").cast("long").alias("blocks"), F.md5(text.cast("binary")).alias("texts"), F.round("score", 4).alias("score"))
@@ -230,6 +230,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", update.alias("u")))).alias("l"))
     pages = rows.select("conv_id", F.concat(F.lit("<body><div id='liveblog-body'>"), F.array_join(F.transform("l", lambda x: x["u"]), ""), F.lit("</div></body>")).alias("html"))
     read = pages.select("conv_id", extract.read_html(F.col("html")).alias("page")).withColumn("title", F.lit("Live"))
-    out = live.read_live_blogs(read, tree.tree_rows(pages, "conv_id"), "conv_id")
+    out = live.read_live_blogs(cut(read), cut(tree.tree_rows(pages, "conv_id")), "conv_id")
     text = F.array_join(F.transform("blocks", lambda b: b["text"]), "\n")
     return out.select("conv_id", "source", F.col("updates").cast("long").alias("updates"), F.md5(text.cast("binary")).alias("texts"), F.round("score", 4).alias("score"))

@@ -1,14 +1,16 @@
 """The rollups as a stream: each micro-batch is aggregated and merged into the days that it touches.
 
 Late events land in their own day, however late, so there is no watermark. A rollup is kept by day, and a batch writes
-the days that it touches anew, in folders named by the batch; days that it doesn't touch are neither read nor written. A
-batch counts once its mark is written, after all four rollups and the dirty targets: one that runs again after a
-failure starts from the days as the batch before left them and replaces what it wrote, so every event counts once.
-Of each day the last two versions are kept.
+the days that it touches anew, in folders named by the batch. A batch counts once its mark is written, after all four
+rollups and the dirty targets. The mark is a manifest: the version of each day of each rollup, and the folders of dirty
+targets, as the batch leaves them. Readers open the folders that it names and no others, so a batch reads the days that it
+touches only. A batch that runs again after a failure starts from the mark before it and replaces what it wrote, so every
+event counts once. Of each day the last two versions are kept.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +27,8 @@ ROLLUPS: dict[str, tuple[list[str], Callable[[DataFrame, DataFrame], DataFrame]]
     "source_halo": (["source_id", "halo_date"], R.source_halo_daily),
 }
 _KEPT = 2
+#: Folders of dirty targets that are merged into one when a batch would leave more.
+_MOST_DIRTY = 16
 
 
 def _files(spark: SparkSession, folder: str):
@@ -38,18 +42,36 @@ def _names(spark: SparkSession, folder: str) -> list[str]:
     return [s.getPath().getName() for s in files.listStatus(path)] if files.exists(path) else []
 
 
-def _last_mark(spark: SparkSession, target: str) -> int:
-    return max(map(int, _names(spark, f"{target}/done")), default=-1)
-
-
-def _days(spark: SparkSession, target: str, name: str, upto: int) -> DataFrame | None:
-    """The newest version of each day of a rollup, of batches up to this one; None where there is none."""
-    if not _names(spark, f"{target}/{name}"):
+def _manifest(spark: SparkSession, target: str, upto: int | None = None) -> dict:
+    """What the last complete batch, or the last of those up to one, left: versions by rollup and day, dirty folders."""
+    marks = [int(n) for n in _names(spark, f"{target}/done") if n.isdigit() and (upto is None or int(n) <= upto)]
+    if not marks:
+        return {"dirty": [], **{name: {} for name in ROLLUPS}}
+    files, path = _files(spark, f"{target}/done/{max(marks)}")
+    stream = files.open(path)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def _mark(spark: SparkSession, target: str, batch_id: int, manifest: dict) -> None:
+    """Write a batch's manifest under another name and give it its own when it is whole."""
+    files, whole = _files(spark, f"{target}/done/{batch_id}")
+    _, part = _files(spark, f"{target}/done/{batch_id}.part")
+    out = files.create(part, True)
+    out.write(json.dumps(manifest).encode())
+    out.close()
+    files.delete(whole, False)
+    files.rename(part, whole)
+
+
+def _days(spark: SparkSession, target: str, name: str, versions: dict[str, int]) -> DataFrame | None:
+    """The rows of a rollup's days in these versions; None where there are no days."""
+    if not versions:
         return None
-    rows = spark.read.parquet(f"{target}/{name}").filter(F.col("batch") <= upto)
-    # Day and batch are folders; one row a day.
-    newest = rows.groupBy("day").agg(F.max("batch").alias("batch"))
-    return rows.join(F.broadcast(newest), ["day", "batch"], "left_semi").drop("day", "batch")
+    paths = [f"{target}/{name}/day={day}/batch={version}" for day, version in sorted(versions.items())]
+    return spark.read.option("basePath", f"{target}/{name}").parquet(*paths).drop("day", "batch")
 
 
 def _write_days(rows: DataFrame, day: str, batch_id: int, path: str) -> None:
@@ -68,19 +90,33 @@ def _drop_old(spark: SparkSession, path: str, days: list[str]) -> None:
 def roll_up(batch: DataFrame, batch_id: int, content: DataFrame, target: str) -> None:
     """Merge one micro-batch of events into the four rollups and the dirty targets kept in target; events without time count nowhere."""
     spark = batch.sparkSession
+    before = _manifest(spark, target, batch_id - 1)
+    after = {"dirty": before["dirty"], **{name: dict(before[name]) for name in ROLLUPS}}
     batch = batch.filter("occurred_at IS NOT NULL").persist()
     days = [r[0] for r in batch.select(F.to_date("occurred_at").cast("string")).dropna().distinct().collect()]
     for name, (keys, of) in ROLLUPS.items():
-        new, old = of(batch, content), _days(spark, target, name, batch_id - 1)
+        new = of(batch, content)
+        old = _days(spark, target, name, {d: v for d, v in before[name].items() if d in days})
         if old is not None:
-            new = R.merged(old.filter(F.col(keys[-1]).cast("string").isin(days)), new, keys)
+            new = R.merged(old, new, keys)
         _write_days(new, keys[-1], batch_id, f"{target}/{name}")
-    marks = R.dirty_targets(batch, content).withColumn("batch", F.lit(batch_id))
-    marks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{target}/dirty")
-    files, mark = _files(spark, f"{target}/done/{batch_id}")
-    files.create(mark, True).close()
+        # A rollup need not have a row on each of the batch's days.
+        written = [d for d in days if f"batch={batch_id}" in _names(spark, f"{target}/{name}/day={d}")]
+        after[name] |= dict.fromkeys(written, batch_id)
+    marks = R.dirty_targets(batch, content)
+    if len(before["dirty"]) >= _MOST_DIRTY:
+        marks = _dirty(_dirty_rows(spark, target, before["dirty"]).select(*marks.columns).unionByName(marks))
+        after["dirty"] = []
+    marks.write.mode("overwrite").parquet(f"{target}/dirty/batch={batch_id}")
+    after["dirty"] = [*after["dirty"], batch_id]
+    _mark(spark, target, batch_id, after)
     for name in ROLLUPS:
         _drop_old(spark, f"{target}/{name}", days)
+    for folder in _names(spark, f"{target}/dirty"):
+        # What the mark before this one names stays, as this batch may run again.
+        if int(folder.partition("=")[2]) not in {*before["dirty"], *after["dirty"]}:
+            files, old = _files(spark, f"{target}/dirty/{folder}")
+            files.delete(old, True)
     batch.unpersist()
 
 
@@ -89,12 +125,19 @@ def start_rollup(events: DataFrame, content: DataFrame, target: str, checkpoint:
     return events.writeStream.foreachBatch(lambda batch, k: roll_up(batch, k, content, target)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current(spark: SparkSession, target: str, name: str = "content_feedback") -> DataFrame:
-    """A rollup as the last complete batch left it."""
-    return _days(spark, target, name, _last_mark(spark, target))
+def current(spark: SparkSession, target: str, name: str = "content_feedback") -> DataFrame | None:
+    """A rollup as the last complete batch left it; None before the first."""
+    return _days(spark, target, name, _manifest(spark, target)[name])
+
+
+def _dirty_rows(spark: SparkSession, target: str, batches: list[int]) -> DataFrame:
+    return spark.read.option("basePath", f"{target}/dirty").parquet(*(f"{target}/dirty/batch={b}" for b in batches))
+
+
+def _dirty(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("kind", "id").agg(F.min("first_marked_at").alias("first_marked_at"), F.max("last_marked_at").alias("last_marked_at"))
 
 
 def dirty(spark: SparkSession, target: str) -> DataFrame:
     """The targets that events have touched since the folder was emptied, with the first and last event of each."""
-    rows = spark.read.parquet(f"{target}/dirty").filter(F.col("batch") <= _last_mark(spark, target))
-    return rows.groupBy("kind", "id").agg(F.min("first_marked_at").alias("first_marked_at"), F.max("last_marked_at").alias("last_marked_at"))
+    return _dirty(_dirty_rows(spark, target, _manifest(spark, target)["dirty"]))
