@@ -1,9 +1,11 @@
 """Candidates for every user at once: contents by bucket, sources, previews.
 
-A bucket's best 200 are found from lists that are ranked once per language profile, topic or source: a user whose
-exclusions number x finds the best 200 among the first 200 + x of a list, so no user meets all contents. Lists are cut
-to what the user with most exclusions needs before they are ranked as a whole, so no task sorts all of a list's rows, and
-are then so short that Spark broadcasts them by their size.
+A bucket's best 200 are found from lists that are ranked once per language, topic or source, and once for all: a user whose
+exclusions number x finds the best 200 among the first 200 + x of each list that the user reads, so no user meets all
+contents, and a content stands in two lists, whatever the number of languages that users combine. Lists are cut within
+slices of a key before they are ranked as a whole, so no task sorts all of a list's rows, and are then so short that Spark
+broadcasts them by their size. Users with many exclusions read deeper lists of their own, so that they don't lengthen the
+others'.
 """
 
 from __future__ import annotations
@@ -29,8 +31,19 @@ def excluded(saved: DataFrame, feedback: DataFrame) -> DataFrame:
     return kept.unionByName(feedback.filter("dismiss_count > 0").select("user_id", "content_id")).distinct()
 
 
-def _profiles(users: DataFrame) -> DataFrame:
-    return users.select("user_id", F.array_sort(F.array_distinct("languages")).alias("languages")).withColumn("profile", F.array_join("languages", ","))
+#: Places of the lists that most users read; who must look further reads longer ones.
+SHALLOW = 2_000
+
+
+def _reads(users: DataFrame) -> DataFrame:
+    """(user_id, reads): the lists that a user reads, by language and what has none, or the one of all without languages."""
+    tongues = F.coalesce("languages", F.array().cast("array<string>"))
+    return users.select("user_id", F.explode(F.when(F.size(tongues) == 0, F.array(F.lit("*"))).otherwise(F.array_append(F.array_distinct(tongues), F.lit("")))).alias("reads"))
+
+
+def _by_language(rows: DataFrame) -> DataFrame:
+    """rows in the list of their language, or of none, and in that of all."""
+    return rows.withColumn("reads", F.explode(F.array(F.coalesce("language_code", F.lit("")), F.lit("*"))))
 
 
 def _places(rows: DataFrame, key: str, order: list[Column], deepest: int, item: str = "id") -> DataFrame:
@@ -41,29 +54,23 @@ def _places(rows: DataFrame, key: str, order: list[Column], deepest: int, item:
     return some.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("place") <= deepest)
 
 
-def _deepest(reach: DataFrame) -> int:
-    """How far into a list the user who must skip most has to look."""
-    return LIMIT + (reach.agg(F.max("skips")).first()[0] or 0)
-
+def _met(wanted: DataFrame, reach: DataFrame, rows: DataFrame, key: str, order: list[Column], item: str = "id") -> DataFrame:
+    """For each (user_id, key) the first LIMIT rows of that key and as many more as the user may have to skip.
 
-def _for_profiles(rows: DataFrame, kinds: DataFrame) -> DataFrame:
-    """rows for each profile (profile, languages) that reads their language; rows without one, and profiles without any, fit all."""
-    reads = F.when(F.size("languages") == 0, F.array(F.lit("*"))).otherwise(F.array_append("languages", F.lit("")))
-    keyed = kinds.select("profile", F.explode(reads).alias("reads"))
-    tongue = F.array(F.coalesce("language_code", F.lit("")), F.lit("*"))
-    return rows.withColumn("reads", F.explode(tongue)).join(keyed, "reads").drop("reads")
+    reach: user_id and skips. Most users read lists of SHALLOW places; the rest have lists as long as the longest of them needs.
+    """
+    asked = wanted.join(reach, "user_id", "left").select("user_id", key, (F.coalesce("skips", F.lit(0)) + LIMIT).alias("most"))
+    deepest = reach.agg(F.max("skips")).first()[0] or 0
+    found = asked.filter(F.col("most") <= SHALLOW).join(_places(rows, key, order, min(SHALLOW, LIMIT + deepest), item), key)
+    if LIMIT + deepest > SHALLOW:
+        found = found.unionByName(asked.filter(F.col("most") > SHALLOW).join(_places(rows, key, order, LIMIT + deepest, item), key))
+    return found.filter(F.col("place") <= F.col("most")).drop("most", "place", key)
 
 
-def _by_profile(users: DataFrame, pool: DataFrame, order: list[Column], reach: DataFrame, barred: DataFrame, name: str) -> DataFrame:
-    """Each user's best of a pool under its languages; reach has how many of the pool a user may have to skip."""
-    profiled = _profiles(users)
-    kinds = profiled.select("profile", "languages").distinct()
-    # Profiles are few next to users; each language list is ranked once for all who share it.
-    lists = _places(_for_profiles(pool, kinds), "profile", order, _deepest(reach))
-    most = profiled.join(reach, "user_id", "left").select("user_id", "profile", (F.coalesce("skips", F.lit(0)) + LIMIT).alias("most"))
-    met = most.join(lists, (most.profile == lists.profile) & (F.col("place") <= F.col("most"))).select("user_id", F.col("id").alias("content_id"), "source_id", "place")
-    open_ = met.join(barred, ["user_id", "content_id"], "left_anti")
-    return open_.withColumn("bucket", F.lit(name))
+def _read(users: DataFrame, pool: DataFrame, order: list[Column], reach: DataFrame, barred: DataFrame) -> DataFrame:
+    """Each user's rows of a pool under the user's languages, enough for the best LIMIT of those that aren't barred."""
+    met = _met(_reads(users), reach, _by_language(pool), "reads", order).withColumnRenamed("id", "content_id")
+    return met.join(barred, ["user_id", "content_id"], "left_anti").withColumn("id", F.col("content_id"))
 
 
 def content_buckets(users: DataFrame, content: DataFrame, inbox: DataFrame, subscriptions: DataFrame, saved: DataFrame, feedback: DataFrame, context: DataFrame, content_topics: DataFrame, source_topics: DataFrame, halo: DataFrame, curated: DataFrame, now: Column) -> DataFrame:
@@ -82,24 +89,25 @@ def content_buckets(users: DataFrame, content: DataFrame, inbox: DataFrame, subs
     # Discovery skips what subscribed sources publish, too.
     published = recent.groupBy("source_id").agg(F.count("*").alias("skips"))
     also = subscriptions.join(published, "source_id").select("user_id", "skips").unionByName(skips).groupBy("user_id").agg(F.sum("skips").alias("skips"))
-    found = _by_profile(users, recent, [F.desc("published_at"), F.desc("id")], also, barred, "discovery").join(subscriptions.select("user_id", "source_id"), ["user_id", "source_id"], "left_anti")
-    discovery = pick(_top(found, [F.asc("place")]), "discovery")
+    newest_first = [F.desc("published_at"), F.desc("id")]
+    found = _read(users, recent, newest_first, also, barred).join(subscriptions.select("user_id", "source_id"), ["user_id", "source_id"], "left_anti")
+    discovery = pick(_top(found, newest_first), "discovery")
 
     # Of each topic's and source's newest, the first 200 + x hold a user's best 200.
     newest = own.filter(since(60))
     by_topic = newest.join(content_topics.select(F.col("content_id").alias("id"), F.col("topic_id").alias("key")), "id").unionByName(newest.join(source_topics.select("source_id", F.col("topic_id").alias("key")), "source_id").select("id", "source_id", "language_code", "published_at", "key")).distinct()
     by_source = newest.filter("source_id IS NOT NULL").withColumn("key", F.concat(F.lit("source "), "source_id"))
-    lists = _places(by_topic.unionByName(by_source.select(*by_topic.columns)), "key", [F.desc("published_at"), F.desc("id")], _deepest(skips))
-    liked = context.select("user_id", F.explode(F.concat("top_topics", F.transform("top_sources", lambda s: F.concat(F.lit("source "), s)))).alias("key")).join(skips, "user_id", "left").withColumn("most", F.coalesce("skips", F.lit(0)) + LIMIT)
-    near = liked.join(lists, (liked.key == lists.key) & (F.col("place") <= F.col("most"))).select("user_id", F.col("id").alias("content_id"), "published_at").distinct().join(barred, ["user_id", "content_id"], "left_anti")
+    liked = context.select("user_id", F.explode(F.concat("top_topics", F.transform("top_sources", lambda s: F.concat(F.lit("source "), s)))).alias("key"))
+    near = _met(liked, skips, by_topic.unionByName(by_source.select(*by_topic.columns)), "key", newest_first).select("user_id", F.col("id").alias("content_id"), "published_at").distinct().join(barred, ["user_id", "content_id"], "left_anti")
     adjacent = pick(_top(near, [F.desc("published_at"), F.desc("content_id")]), "saved_adjacent")
 
     hot = own.filter(since(14)).join(average_halo(halo, "content_id", now, 14).withColumnRenamed("content_id", "id"), "id")
-    trending = pick(_top(_by_profile(users, hot, [F.desc("halo"), F.desc("published_at"), F.desc("id")], skips, barred, "trending"), [F.asc("place")]), "trending")
+    hottest = [F.desc("halo"), *newest_first]
+    trending = pick(_top(_read(users, hot, hottest, skips, barred), hottest), "trending")
 
     lasting = own.join(curated.filter("curated_score > 0").select(F.col("content_id").alias("id"), "curated_score", "source_rank"), "id")
     order = [F.desc("curated_score"), F.asc_nulls_last("source_rank"), F.desc("published_at"), F.desc("id")]
-    evergreen = pick(_top(_by_profile(users, lasting, order, skips, barred, "evergreen"), [F.asc("place")]), "evergreen")
+    evergreen = pick(_top(_read(users, lasting, order, skips, barred), order), "evergreen")
 
     every = subscribed.unionByName(discovery).unionByName(adjacent).unionByName(trending).unionByName(evergreen)
     return every.groupBy("user_id", "content_id").agg(*(F.bool_or(F.col("bucket") == b).alias(b) for b in BUCKETS))
@@ -163,17 +171,15 @@ def source_candidates(users: DataFrame, sources: DataFrame, content: DataFrame,
     by_topic = topic_affinity.filter("score > 0").join(source_topics, "topic_id").select("user_id", "source_id").distinct()
     # Newest content by source and language, so that a user's languages pick from one row each.
     newest = recent.groupBy("source_id", "language_code").agg(F.max("published_at").alias("at"))
-    profiled = _profiles(users)
-    per_profile = _for_profiles(newest, profiled.select("profile", "languages").distinct()).groupBy("profile", "source_id").agg(F.max("at").alias("at"))
+    listed = _by_language(newest).groupBy("reads", "source_id").agg(F.max("at").alias("at"))
     follows = mine.groupBy("user_id").agg(F.count("*").alias("skips"))
-    lists = _places(per_profile, "profile", [F.desc("at"), F.asc("source_id")], _deepest(follows), "source_id")
-    most = profiled.join(follows, "user_id", "left").select("user_id", "profile", (F.coalesce("skips", F.lit(0)) + LIMIT).alias("most"))
-    fresh = most.join(lists, (most.profile == lists.profile) & (F.col("place") <= F.col("most"))).select("user_id", "source_id", "place").join(mine, ["user_id", "source_id"], "left_anti")
+    met = _met(_reads(users), follows, listed, "reads", [F.desc("at"), F.asc("source_id")], "source_id")
+    fresh = met.groupBy("user_id", "source_id").agg(F.max("at").alias("at")).join(mine, ["user_id", "source_id"], "left_anti")
     engaged = source_affinity.filter("score > 0").join(source_topics, "source_id").groupBy("user_id", "topic_id").agg(F.max("score").alias("affinity"))
     alike = engaged.join(source_topics, "topic_id").select("user_id", "source_id").distinct()
     top = context.select("user_id", F.explode("top_sources").alias("source_id"))
     alike = alike.join(top, ["user_id", "source_id"], "left_anti")
-    found = _top(by_topic, by_id).unionByName(_top(fresh, [F.asc("place")]).select("user_id", "source_id")).unionByName(_top(alike, by_id)).distinct().join(mine, ["user_id", "source_id"], "left_anti")
+    found = _top(by_topic, by_id).unionByName(_top(fresh, [F.desc("at"), F.asc("source_id")]).select("user_id", "source_id")).unionByName(_top(alike, by_id)).distinct().join(mine, ["user_id", "source_id"], "left_anti")
 
     match = _topic_match(found.join(source_topics, "source_id"), "source_id", topic_affinity, topics)
     activity = recent.groupBy("source_id").agg(F.count("*").alias("recent_activity_count"))

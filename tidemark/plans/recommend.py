@@ -43,7 +43,7 @@ class Recommender:
     saved = _kept(lambda self: self._table(E.saved))
     inbox = cached_property(lambda self: self._table(E.inbox))
     curated = cached_property(lambda self: self._table(E.curated))
-    links = cached_property(lambda self: topics.closure(self.topics))
+    links = _kept(lambda self: topics.closure(self.topics))
 
     feedback_daily = cached_property(lambda self: rollup.content_feedback_daily(self.events, self.keys))
     signals_daily = cached_property(lambda self: rollup.source_signals_daily(self.events))
