@@ -119,11 +119,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", quality.needs_rendering(page, F.lit("generic-article"), F.lit("article"), decision).alias("render"))
 
 
-@register("h5_front_matter", "SELECT doc_id, 'Title ' || doc_id AS title, 'Ann' AS author, '2024-01-02' AS published_at, lang AS language, CAST(1 AS BIGINT) AS headings FROM documents WHERE lang IS NOT NULL")
+@register("h5_front_matter", "SELECT doc_id, 'Title ' || doc_id AS title, 'Ann' AS author, '2024-01-02' AS published_at, nullif(trim(lang), '') AS language, CAST(1 AS BIGINT) AS headings FROM documents")
 def _(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("doc_id").cast("string")
-    raw = F.concat(F.lit("---\nTitle: \"Title "), i, F.lit("\"\nauthor: 'Ann'\nDate: 2024-01-02\nlang: "), F.col("lang"), F.lit("\n---\n\n# Title "), i, F.lit("\n\nText.\n\n## Section\n"))
-    rows = table(spark, d, "documents").filter("lang IS NOT NULL").select("doc_id", extract.front_matter(raw).alias("f"), extract.read_markdown(raw).alias("blocks"))
+    raw = F.concat(F.lit("---\nTitle: \"Title "), i, F.lit("\"\nauthor: 'Ann'\nDate: 2024-01-02\nlang: "), F.coalesce("lang", F.lit("")), F.lit("\n---\n\n# Title "), i, F.lit("\n\nText.\n\n## Section\n"))
+    rows = table(spark, d, "documents").select("doc_id", extract.front_matter(raw).alias("f"), extract.read_markdown(raw).alias("blocks"))
     body = extract.without_title(F.col("blocks"), F.col("f.title"))
     return rows.select("doc_id", "f.title", "f.author", "f.published_at", "f.language", F.size(F.filter(body, lambda b: b["type"] == "heading")).cast("long").alias("headings"))
 
@@ -136,10 +136,16 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", extract.route(U.host(url), live, none, none).alias("live"), extract.route(U.host(url), letter, none, none).alias("letter"))
 
 
-@register("n5_json_kinds", "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'object' WHEN 1 THEN 'array' WHEN 2 THEN 'string' WHEN 3 THEN 'number' WHEN 4 THEN 'null' END AS kind FROM events")
+_JSON = """CASE event_id % 7 WHEN 0 THEN props WHEN 1 THEN '[' || props || ', ' || value || ']' WHEN 2 THEN '"' || event_type || '"' WHEN 3 THEN CAST(value AS VARCHAR) WHEN 4 THEN CASE WHEN value > 20 THEN 'true' ELSE 'false' END WHEN 5 THEN substr(props, 1, length(props) - 1) ELSE 'null' END"""
+
+
+@register("n5_json_kinds", f"""SELECT event_id, CASE WHEN json_valid(t) THEN CASE json_type(t) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END END AS kind FROM (SELECT event_id, {_JSON} AS t FROM events)""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    some = F.array(*map(F.lit, ('{"a": 1}', "[1, {}]", '"x"', "1.5e3", "null", "{broken")))
-    return table(spark, d, "events").select("event_id", X.json_kind(F.element_at(some, (F.col("event_id") % 6 + 1).cast("int"))).alias("kind"))
+    """What events carry, as it is, within lists, as texts, numbers and truth values, and broken off."""
+    k, props, value = F.col("event_id") % 7, F.col("props"), F.col("value").cast("string")
+    quoted, cut_off = F.concat(F.lit('"'), F.col("event_type"), F.lit('"')), F.expr("substring(props, 1, length(props) - 1)")
+    text = F.when(k == 0, props).when(k == 1, F.concat(F.lit("["), props, F.lit(", "), value, F.lit("]"))).when(k == 2, quoted).when(k == 3, value).when(k == 4, F.when(F.col("value") > 20, "true").otherwise("false")).when(k == 5, cut_off).otherwise("null")
+    return table(spark, d, "events").select("event_id", X.json_kind(text).alias("kind"))
 
 
 @register("b28_parse_outcomes", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'failed' ELSE 'succeeded' END AS status, CASE WHEN doc_id % 3 = 0 THEN 'old' ELSE 'new' END AS title, CASE WHEN doc_id % 3 = 0 THEN FALSE END AS retryable FROM documents")

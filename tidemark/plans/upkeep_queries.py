@@ -284,10 +284,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", F.array_join(X.topic_slugs(labels), ",").alias("slugs"))
 
 
-@register("t7_t10_t15_t17_texts", "SELECT doc_id, substr(trim(text), 1, 40) AS head, coalesce(nullif(trim(lang), ''), 'x') AS first_filled, 'text/html' AS mime, lang AS language FROM documents WHERE length(lang) BETWEEN 2 AND 3")
+@register("t7_t10_t15_t17_texts", "SELECT doc_id, substr(trim(text), 1, 40) AS head, coalesce(nullif(trim(lang), ''), nullif(trim(source), ''), 'x') AS first_filled, 'text/' || lower(trim(lang)) AS mime, nullif(lower(regexp_extract(upper(lang) || '_XX', '^([A-Za-z]{2,3})_', 1)), '') AS language FROM documents")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").filter(F.length("lang").between(2, 3))
-    return rows.select("doc_id", X.cut_at(F.col("text"), 40).alias("head"), X.first_filled(F.lit("  "), F.lit(None).cast("string"), F.col("lang"), F.lit("x")).alias("first_filled"), X.mime_type(F.concat(F.lit(" Text/HTML ; charset="), F.col("lang"))).alias("mime"), X.language_of_locale(F.concat(F.upper("lang"), F.lit("_XX"))).alias("language"))
+    rows = table(spark, d, "documents")
+    return rows.select("doc_id", X.cut_at(F.col("text"), 40).alias("head"), X.first_filled(F.lit("  "), F.lit(None).cast("string"), F.col("lang"), F.col("source"), F.lit("x")).alias("first_filled"), X.mime_type(F.concat(F.lit(" Text/"), F.upper("lang"), F.lit(" ; charset=utf-8"))).alias("mime"), X.language_of_locale(F.concat(F.upper("lang"), F.lit("_XX"))).alias("language"))
 
 
 @register("t9_comparable", "SELECT doc_id, regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', '', 'g') AS comparable FROM documents")
