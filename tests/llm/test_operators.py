@@ -109,6 +109,53 @@ def test_op3_tables_hold_every_code_in_reach():
             assert (Tables(codes).within(probes, radius) == (apart <= radius)).all()
 
 
+def test_op3_scores_only_what_the_tables_return(monkeypatch):
+    import pyarrow as pa
+
+    from tidemark.llm import ann
+
+    rng = np.random.default_rng(1)
+    centres = rng.standard_normal((40, 32))
+    x = centres[np.arange(2000) % 40] + 0.2 * rng.standard_normal((2000, 32))
+    codes = ann.learn_codes(x[:800])
+    scored, rerank = [], ann.reranked
+
+    def counted(query, units, firsts, rows, most):
+        scored.append(len(rows))
+        return rerank(query, units, firsts, rows, most)
+
+    monkeypatch.setattr(ann, "reranked", counted)
+    vectors = pa.array(x.tolist(), pa.list_(pa.float64()))
+    rows = pa.table({"ids": pa.array([[k] for k in range(2000)]), "vector": vectors})
+    found = ann._search(codes, 5)(rows, pa.table({"query": pa.array(range(300)), "asked": vectors[:300]})).to_pylist()
+    bits = codes.encode(x)
+    apart = np.bitwise_count(bits[:300, None] ^ bits[None]).sum(axis=2)
+    assert scored == (apart <= codes.radius).sum(axis=1).tolist()
+    assert sum(scored) < 0.2 * 300 * 2000
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    best = np.argsort(-(u[:300] @ u.T), axis=1, kind="stable")[:, :6]
+    got = collections.defaultdict(set)
+    for r in found:
+        got[r["query"]].add(r["ids"][0])
+    assert sum(len(got[q] & set(b.tolist())) for q, b in enumerate(best)) >= 0.9 * best.size
+
+
+def test_op3_grid_of_blocks_is_one_block(spark, monkeypatch):
+    from tidemark.llm import ann
+
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.standard_normal(24).tolist()) for i in range(1500)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    pick = lambda: {(r.query_id, r["rank"], r.vec_id) for r in ann.nearest(vectors, every=10).collect()}
+    whole = pick()
+    monkeypatch.setattr(ann, "BLOCK", 200)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 40)
+    split = pick()
+    assert len(whole) == len(split) == 750
+    # A radius is widened by what the blocks found together, so the grid changes no result.
+    assert split == whole
+
+
 def test_op3_ties_and_repeated_ids(spark):
     from tidemark.llm.ann import nearest
 

@@ -3,7 +3,8 @@
 Unit vectors are centred and turned by rotations that iterative quantisation learns on a bounded sample; the signs are
 the code. Codes are split into m substrings of a byte, each with its own table. By the pigeonhole principle a code within
 ``radius`` of a query agrees with it up to t bits on at least one substring, where the substrings' bounds t add up to
-radius - m + 1; so probing every table that far retrieves every such code. Those are ranked again by their exact cosines.
+radius - m + 1; so probing every table that far retrieves every such code. Of those within the radius, and of no other
+row, exact cosines are computed.
 The first radius is the one that holds the true neighbours of the sample. A query is settled once its radius holds what
 lies at the angle of its k-th row found; others are asked again with a wider one. The query set meets the rows in blocks,
 each with its own tables.
@@ -103,6 +104,16 @@ class Tables:
         return met
 
 
+def reranked(query: np.ndarray, units: np.ndarray, firsts: np.ndarray, rows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` best of ``rows`` by exact cosine, ties to the smaller id, and their cosines; no other row is scored."""
+    score = (units[rows] * query).sum(axis=1)
+    if len(rows) > most:
+        best = np.flatnonzero(score >= np.partition(score, -most)[-most])
+        rows, score = rows[best], score[best]
+    order = np.lexsort((firsts[rows], -score))[:most]
+    return rows[order], score[order]
+
+
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     column = column.combine_chunks()
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
@@ -123,17 +134,11 @@ def _search(codes: Codes, k: int):
         found: list[list] = [[], [], []]
         for begin in range(0, len(probes), AT_ONCE):
             some = slice(begin, begin + AT_ONCE)
-            near = np.where(tables.within(probes[some], codes.radius), uq[some] @ ux.T, -2)
-            most = min(k + 1, len(x))
-            # What ties with the last place stays, within rounding; those few are ranked by sums in one order.
-            least = -np.partition(-near, most - 1, axis=1)[:, most - 1] - 1e-9
-            for n in range(len(near)):
-                at = np.flatnonzero((near[n] >= least[n]) & (near[n] > -2))
-                score = (ux[at] * uq[begin + n]).sum(axis=1)
-                order = np.lexsort((firsts[at], -score))[: k + 1]
-                found[0] += [asked[begin + n]] * len(order)
-                found[1] += at[order].tolist()
-                found[2] += score[order].tolist()
+            for n, met in enumerate(tables.within(probes[some], codes.radius), begin):
+                best, score = reranked(uq[n], ux, firsts, np.flatnonzero(met), k + 1)
+                found[0] += [asked[n]] * len(best)
+                found[1] += best.tolist()
+                found[2] += score.tolist()
         return pa.table([pa.array(found[0], pa.int64()), ids.take(pa.array(found[1], pa.int64())), pa.array(found[2], pa.float64())], schema=_FOUND)
 
     return task
