@@ -155,3 +155,32 @@ def srcset(value: Column) -> Column:
 def slug_of_path(url: Column) -> Column:
     """The steps of an address's path as words."""
     return F.array_join(F.filter(F.split(_part(url, 2), "/"), lambda p: p != ""), " ")
+
+
+def path_of(url: Column) -> Column:
+    return _part(url, 2)
+
+
+def resolved(base: Column, href: Column) -> Column:
+    """The address that a page at ``base`` means by ``href``: whole, without a scheme, from the root, or from its folder.
+
+    Null where either is null, where href is blank or where it names another scheme than http.
+    """
+    to, root = F.trim(href), F.regexp_extract(base, r"^\s*([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    path = F.regexp_extract(base, r"^\s*[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    folder = F.when(path.contains("/"), F.regexp_replace(path, "[^/]*$", "")).otherwise("/")
+    own = F.regexp_extract(base, r"^([^#]*)", 1)
+
+    def tidy(rest: Column) -> Column:
+        """Dot steps taken, the query left alone."""
+        return F.concat(let(F.regexp_extract(rest, r"^([^?#]*)", 1), _without_dots), F.regexp_extract(rest, r"^[^?#]*(.*)$", 1))
+
+    split = lambda whole: F.concat(F.regexp_extract(whole, r"^([^:]+://[^/?#]*)", 1), let(F.regexp_extract(whole, r"^[^:]+://[^/?#]*(.*)$", 1), lambda r: F.when(r.startswith("/"), tidy(r)).otherwise(F.concat(F.lit("/"), r))))
+    return F.when((root == "") | (to == ""), F.lit(None).cast("string")).otherwise(
+        F.when(to.rlike(r"(?i)^https?://"), split(to))
+        .when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(to.startswith("//"), split(F.concat(scheme(base), F.lit(":"), to)))
+        .when(to.startswith("/"), F.concat(root, tidy(to)))
+        .when(to.startswith("#") | to.startswith("?"), F.concat(F.when(to.startswith("?"), F.regexp_extract(own, r"^([^?]*)", 1)).otherwise(own), to))
+        .otherwise(F.concat(root, tidy(F.concat(folder, to))))
+    )

@@ -30,7 +30,7 @@ _ENDS_P = frozenset((*_HEADINGS, *"p blockquote pre ul ol dl table hr div sectio
 #: Elements that end where their like begins, up to what they stand in.
 _ENDS = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 _UNREAD = frozenset(("script", "style", "noscript", "template"))
-_KEPT = frozenset("class id rel role type datetime src alt href name value style hidden aria-hidden itemprop srcset width height content property data-language data-lang data-block-id data-testid data-module data-component props".split())
+_KEPT = frozenset("class id rel role type datetime src alt href name value style hidden aria-hidden itemprop srcset width height content property data-language data-lang data-block-id data-testid data-module data-component data-src data-srcset data-original data-current-src props".split())
 #: Characters of an attribute that are kept, and of one that carries data.
 _MOST_VALUE, _MOST_DATA = 2_000, 1_000_000
 #: Elements that hold no article text, and classes that hide one.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import blocks as B
-from tidemark.operators import extract, live, posts, quality, recover, site_readers, tree
+from tidemark.operators import cover, extract, live, posts, quality, recover, site_readers, tree
 from tidemark.plans.registry import register
 from tidemark.runtime import cut
 from tidemark.sources.tables import table
@@ -233,3 +233,42 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     out = live.read_live_blogs(cut(read), cut(tree.tree_rows(pages, "conv_id")), "conv_id")
     text = F.array_join(F.transform("blocks", lambda b: b["text"]), "\n")
     return out.select("conv_id", "source", F.col("updates").cast("long").alias("updates"), F.md5(text.cast("binary")).alias("texts"), F.round("score", 4).alias("score"))
+
+
+#: Pages with images put into them: in the head, in the page's data, under the heading, at the article's end.
+_PICTURED = TOKENS + """,
+    art AS (SELECT a.page_id, p.url, (SELECT count(*) FROM el k WHERE k.page_id = a.page_id AND k.i > a.i AND k.i < a.e AND k.tag IN ('p', 'blockquote', 'ul', 'ol')) AS prose
+        FROM el a JOIN pages p USING (page_id) WHERE a.tag = 'article'),
+    base AS (SELECT page_id, prose, CAST(page_id AS VARCHAR) AS n, regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1) AS root FROM art),
+    cand AS (
+        SELECT page_id, 0 AS o, root || '/i/' || n || '.jpg' AS url, 'meta-og' AS found, 34 + 12 AS score, 1200 AS w FROM base WHERE page_id % 3 = 0
+        UNION ALL SELECT page_id, 1, 'https://cdn.example.org/avatar/' || n || '.png', 'meta-twitter', 30 - 120, -1 FROM base WHERE page_id % 4 = 1
+        UNION ALL SELECT page_id, 2, root || '/d/' || n || '.jpg', 'jsonld-image', 42 + 18 + 5, 1600 FROM base WHERE page_id % 7 = 0
+        UNION ALL SELECT page_id, 3, root || '/f/' || n || '-1000.jpg', 'article-image', 26 + 12 + 12 + 5, 1000 FROM base WHERE page_id % 5 = 0
+        UNION ALL SELECT page_id, 4, root || '/t/' || n || '.jpg', 'article-image', 26 + CASE WHEN prose = 0 THEN 12 WHEN prose <= 2 THEN 6 WHEN prose <= 4 THEN -6 ELSE -18 END - CASE WHEN page_id % 4 = 0 THEN 45 ELSE 0 END + CASE WHEN page_id % 4 = 0 THEN 0 ELSE 12 END, CASE WHEN page_id % 4 = 0 THEN 200 ELSE 800 END FROM base WHERE page_id % 2 = 0)"""
+
+
+def _pictured(spark: SparkSession, d: str) -> DataFrame:
+    k, n = F.col("page_id"), F.col("page_id").cast("string")
+    put = lambda when, *parts: F.when(when, F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))).otherwise("")
+    head = F.concat(
+        put(k % 3 == 0, '<meta property="og:image" content="/i/', n, '.jpg"><meta property="og:image:width" content="1200"><meta property="og:image:height" content="630">'),
+        put(k % 4 == 1, '<meta name="twitter:image" content="https://cdn.example.org/avatar/', n, '.png">'),
+        put(k % 7 == 0, '<script type="application/ld+json">{"@graph": [{"@type": "WebSite"}, {"@type": ["NewsArticle"], "headline": "x", "image": {"url": "/d/', n, '.jpg", "width": "1600", "height": "900", "caption": "A caption of many letters"}}]}</script>'),
+    )
+    figure = put(k % 5 == 0, '<figure><img src="/f/', n, '.jpg" srcset="/f/', n, "-400.jpg 400w, /f/", n, '-1000.jpg 1000w" height="600"><figcaption>Seen from far away</figcaption></figure>')
+    end = put(k % 2 == 0, '<img src="/t/', n, '.jpg" ', F.when(k % 4 == 0, 'width="200" height="190"').otherwise('width="800" height="500"'), ">")
+    page = F.regexp_replace(F.regexp_replace("html", "(?i)(?<=<head>)", head), "(?i)(?<=</h1>)", figure)
+    return table(spark, d, "pages").select("page_id", "url", F.regexp_replace(page, "(?i)(?=</article>)", end).alias("html"))
+
+
+@register("b11_cover_candidates", f"WITH {_PICTURED} SELECT page_id, url, found, CAST(score AS INTEGER) AS score FROM cand")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    pages = _pictured(spark, d).select("*", *(F.lit(None).cast("string").alias(c) for c in ("title", "author", "site")))
+    return cover.cover_candidates(cut(tree.tree_rows(pages)), pages).select("page_id", "url", "found", "score")
+
+
+@register("b11_covers", f"WITH {_PICTURED} SELECT page_id, url AS cover, found, CAST(score AS INTEGER) AS score FROM cand QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY score DESC, w DESC, o) = 1 AND score >= 32")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    pages = _pictured(spark, d).select("*", *(F.lit(None).cast("string").alias(c) for c in ("title", "author", "site")))
+    return cover.covers(cut(tree.tree_rows(pages)), pages)
