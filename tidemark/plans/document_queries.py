@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.functions import urls as U
-from tidemark.operators import choices, extract, quality
+from tidemark.operators import choices, extract, quality, tree
 from tidemark.plans.registry import register
 from tidemark.sources.tables import table
 
@@ -40,34 +40,47 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", choices.excerpt(F.expr("substring(text, 1, cast(doc_id % 500 as int))"), found, F.lit("no such title")).alias("excerpt"))
 
 
-@register("b12_without_echo", "SELECT conv_id, CAST(count(*) + 1 AS BIGINT) AS blocks FROM conversations GROUP BY conv_id")
+_SAID = "regexp_replace(lower(strip_accents({})), '[^a-z0-9]+', '', 'g')"
+
+
+@register("b12_without_echo", f"""WITH t AS (SELECT conv_id, turn, text, {_SAID.format('text')} AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS k FROM conversations WHERE text IS NOT NULL),
+    r AS (SELECT t.*, f.c AS title, sum(CASE WHEN t.c = f.c AND f.c <> '' THEN 0 ELSE 1 END) OVER (PARTITION BY t.conv_id ORDER BY t.k) AS other FROM t JOIN t f ON f.conv_id = t.conv_id AND f.k = 1)
+    SELECT conv_id, CAST(count(*) FILTER (other > 0) AS BIGINT) AS blocks, md5(coalesce(string_agg(text, chr(10) ORDER BY k) FILTER (other > 0), '')) AS texts FROM r GROUP BY conv_id""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    """Conversations that begin with their title twice, and have it once more at the end."""
-    block = lambda t: F.struct(F.lit("paragraph").alias("type"), t.alias("text"))
-    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(block(F.concat(F.lit("turn "), F.col("turn").cast("string"), F.lit(" of "), F.col("role")))).alias("turns"))
-    title = F.lit("A title; that is said!")
-    blocks = F.concat(F.array(block(F.lit("a title, that is said")), block(F.lit("A TITLE that is said.")), block(F.lit("“A title” that is said"))), F.col("turns"), F.array(block(title)))
-    cut = choices.without_echo(F.slice(blocks, 2, 1 << 20), F.lit("a title that is said"), F.lit(None).cast("string"))
-    return rows.select("conv_id", F.size(cut).cast("long").alias("blocks"))
+    """Conversations under the title that their first turn is, in quotes; turns that repeat it at the beginning go."""
+    turn = F.struct("turn", "text")
+    rows = table(spark, d, "conversations").filter("text IS NOT NULL").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    blocks = F.transform("turns", lambda t: F.struct(F.lit("paragraph").alias("type"), t["text"].alias("text")))
+    left = choices.without_echo(blocks, F.concat(F.lit("“ "), F.get("turns", F.lit(0))["text"], F.lit(" ”!")), F.lit(None).cast("string"))
+    return rows.select("conv_id", left.alias("left")).select("conv_id", F.size("left").cast("long").alias("blocks"), F.md5(F.array_join(F.transform("left", lambda b: b["text"]), "\n").cast("binary")).alias("texts"))
 
 
 def _linked(spark: SparkSession, d: str) -> DataFrame:
-    """Pages with links that follow from their ids."""
-    i = F.col("page_id")
-    link = lambda rel, kind, href: F.struct(F.lit(rel).alias("rel"), F.lit(kind).alias("type"), href.alias("href"))
-    some = F.array(F.when(i % 2 == 0, link("alternate home", "", F.lit("/start"))), F.when(i % 3 == 0, link("ld:publisher", "", F.lit("https://publisher.org"))), F.when(i % 5 == 0, link("shortcut icon", "image/png", F.lit("/a.png"))), F.when(i % 7 == 0, link("apple-touch-icon", "", F.lit("//cdn.org/t.ico"))))
-    return table(spark, d, "pages").select("page_id", "url", F.filter(some, lambda x: x.isNotNull()).alias("links"))
+    """Pages with their own links, each of which stands for a home or an icon by the length of its address."""
+    pages = table(spark, d, "pages")
+    to = F.col("attrs")["href"]
+    n = F.length(to)
+    rel = F.when(n % 4 == 0, "alternate home").when(n % 4 == 1, "shortcut icon").when(n % 4 == 2, "apple-touch-icon").otherwise("nofollow")
+    link = F.struct("pre", F.struct(rel.alias("rel"), F.when(n % 8 < 4, "image/png").otherwise("").alias("type"), to.alias("href")).alias("x"))
+    found = tree.tree_rows(pages).filter((F.col("tag") == "a") & to.isNotNull()).groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(link)), lambda s: s["x"]).alias("links"))
+    none = F.array().cast("array<struct<rel:string,type:string,href:string>>")
+    return pages.select("page_id", "url").join(found, "page_id", "left").withColumn("links", F.coalesce("links", none))
 
 
 _ROOT = "(SELECT page_id, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) || '://' || lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)) AS root FROM pages)"
+_OWN_LINKS = f"""links AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->|<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '(?i)<a\\b[^>]*href="([^"]*)"', 1)) AS href FROM pages),
+    whole AS (SELECT page_id, root, href, length(href) AS n, CASE WHEN href LIKE 'http%' THEN href ELSE root || '/' || ltrim(href, '/') END AS url FROM links JOIN {_ROOT} USING (page_id))"""
 
 
-@register("b20_site_addresses", f"SELECT page_id, CASE WHEN page_id % 2 = 0 THEN root || '/start' WHEN page_id % 3 = 0 THEN 'https://publisher.org/' ELSE root || '/' END AS site FROM {_ROOT}")
+@register("b20_site_addresses", f"""WITH {_OWN_LINKS}, homes AS (SELECT page_id, min(root || '/' || replace(replace(url_encode(ltrim(href, '/')), '%2F', '/'), '%2C', ',')) AS home FROM whole WHERE n % 4 = 0 AND href <> '' GROUP BY page_id)
+    SELECT page_id, coalesce(home, root || '/') AS site FROM {_ROOT} LEFT JOIN homes USING (page_id)""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return _linked(spark, d).select("page_id", choices.site_address(F.col("url"), F.col("links")).alias("site"))
 
 
-@register("b21_icons", f"SELECT page_id, CASE WHEN page_id % 5 = 0 THEN root || '/a.png,' ELSE '' END || CASE WHEN page_id % 7 = 0 THEN 'https://cdn.org/t.ico,' ELSE '' END || root || '/favicon.ico' AS icons FROM {_ROOT}")
+@register("b21_icons", f"""WITH {_OWN_LINKS}, ranked AS (SELECT page_id, url, min(CASE WHEN n % 4 = 2 THEN 20 ELSE 0 END - CASE WHEN n % 8 < 4 THEN 2 ELSE 0 END) AS rank FROM whole WHERE n % 4 IN (1, 2) AND href <> '' GROUP BY page_id, url),
+    listed AS (SELECT page_id, string_agg(url, ',' ORDER BY rank, url) AS urls FROM ranked GROUP BY page_id)
+    SELECT page_id, coalesce(urls || ',', '') || root || '/favicon.ico' AS icons FROM {_ROOT} LEFT JOIN listed USING (page_id)""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return _linked(spark, d).select("page_id", F.array_join(choices.icons(F.col("url"), F.col("links")), ",").alias("icons"))
 
@@ -78,13 +91,22 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", choices.original_url(header).alias("original"))
 
 
-@register("b25_persisted_recoveries", """SELECT doc_id, CASE WHEN b = 0 OR w < 80 THEN nw >= 180 OR nb >= 3 OR nq - q >= 12 WHEN doc_id % 2 = 0 THEN nq - q >= -4 OR nw >= w + 160 OR nb >= b + 3 ELSE nq - q >= 28 AND (nw >= w + 160 OR nb >= b + 3) END AS persists
-    FROM (SELECT doc_id, doc_id % 400 AS w, doc_id % 6 AS b, doc_id % 90 AS q, doc_id * 3 % 500 AS nw, doc_id * 5 % 8 AS nb, doc_id * 7 % 120 AS nq FROM documents)""")
+_MEASURED = "len(regexp_extract_all({0}, '[^ \\t-\\r]+')) AS {1}w, len(list_filter(string_split({0}, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13)) <> '')) AS {1}b, CAST(length({0}) // 50 AS BIGINT) AS {1}q"
+
+
+@register("b25_persisted_recoveries", f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS x, substr(coalesce(text, ''), 1, length(coalesce(text, '')) // 2) AS half FROM documents),
+    p AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN half ELSE x END AS stored, CASE WHEN doc_id % 2 = 0 THEN x ELSE half END AS found FROM t),
+    m AS (SELECT doc_id, {_MEASURED.format('stored', '')}, {_MEASURED.format('found', 'n')} FROM p)
+    SELECT doc_id, CASE WHEN b = 0 OR w < 80 THEN nw >= 180 OR nb >= 3 OR nq - q >= 12 WHEN doc_id % 3 = 0 THEN nq - q >= 28 AND (nw >= w + 160 OR nb >= b + 3) ELSE nq - q >= -4 OR nw >= w + 160 OR nb >= b + 3 END AS persists FROM m""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    i = F.col("doc_id")
-    of = lambda w, b, q: F.struct(w.alias("words"), b.alias("blocks"), q.alias("quality"))
-    keeps = choices.persists_recovered(of(i % 400, i % 6, i % 90), of(i * 3 % 500, i * 5 % 8, i * 7 % 120), i % 2 == 1)
-    return table(spark, d, "documents").select("doc_id", keeps.alias("persists"))
+    """Whole texts found where half of them is stored, and halves where the whole is."""
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, d, "documents").select("doc_id", text.alias("whole"), F.substring(text, F.lit(1), F.floor(F.length(text) / 2).cast("int")).alias("half"))
+    lines = lambda x: F.size(F.filter(F.split(x, "\n"), lambda line: F.trim(F.translate(line, "\t\r", "  ")) != ""))
+    of = lambda x: F.struct(X.word_count(x).alias("words"), lines(x).alias("blocks"), F.floor(F.length(x) / 50).alias("quality"))
+    whole, half, odd = of(F.col("whole")), of(F.col("half")), F.col("doc_id") % 2 == 1
+    keeps = choices.persists_recovered(F.when(odd, whole).otherwise(half), F.when(odd, half).otherwise(whole), F.col("doc_id") % 3 == 0)
+    return rows.select("doc_id", keeps.alias("persists"))
 
 
 def _reports(spark: SparkSession, d: str) -> DataFrame:
@@ -101,6 +123,26 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", first["id"].alias("first_id"), F.size("r.candidates").cast("long").alias("candidates"), F.size(first["notes"]).cast("long").alias("notes"), F.length(F.get(first["notes"], F.lit(0))).cast("long").alias("note_chars"), F.size("r.warnings").cast("long").alias("warnings"), F.length(F.get("r.warnings", F.lit(0))).cast("long").alias("warning_chars"), choices.parser_score(F.col("r.candidates")).alias("score"))
 
 
+_LATIN, _WIDE = "abcdefghijklmnopqrstuvwxyz", "あいうえおかきくけこさしすせそたちつてとなにぬねのは"
+_QUOTED = "string_agg('\"' || substr(x, 1 + 100 * k, 1 + doc_id % 160) || '\"', ',' ORDER BY k)"
+
+
+@register("n10_long_reports", f"""WITH t AS (SELECT doc_id, translate(regexp_replace(lower(coalesce(text, '')), '[^a-z]+', '', 'g'), '{_LATIN}', '{_WIDE}') AS x FROM documents),
+    notes AS (SELECT doc_id, x, {_QUOTED} AS warnings, {_QUOTED} FILTER (k < 4) AS notes FROM t, range(12) r(k) GROUP BY doc_id, x),
+    whole AS (SELECT doc_id, x, '{{"route":"r","candidates":[' || string_agg('{{"id":"c' || j || '","selected":' || CASE WHEN j = doc_id % 8 THEN 'true' ELSE 'false' END || ',"total":' || j || '.5,"quality":' || j || '.0,"notes":[' || notes || ']}}', ',' ORDER BY j = doc_id % 8 DESC, j DESC) || '],"warnings":[' || warnings || ']}}' AS j
+        FROM notes, range(8) s(j) GROUP BY doc_id, x, notes, warnings)
+    SELECT doc_id, CASE WHEN strlen(j) <= 16384 THEN CAST(4 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS notes, CASE WHEN strlen(j) <= 16384 THEN md5(j) ELSE md5(regexp_replace(j, '"notes":\\[[^\\]]*\\]', '"notes":[]', 'g')) END AS stored FROM whole""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Reports whose notes are the documents' letters in a wide script, so that many are over the limit of bytes."""
+    wide = F.translate(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+", ""), _LATIN, _WIDE)
+    rows = table(spark, d, "documents").select("doc_id", wide.alias("x"))
+    said = lambda n: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.substring(F.col("x"), k * 100 + 1, (F.col("doc_id") % 160 + 1).cast("int")))
+    candidate = lambda j: F.struct(F.concat(F.lit("c"), j.cast("string")).alias("id"), (j == F.col("doc_id") % 8).alias("selected"), (j + F.lit(0.5).cast("double")).alias("total"), j.cast("double").alias("quality"), said(6).alias("notes"))
+    report = F.struct(F.lit("r").alias("route"), F.transform(F.sequence(F.lit(0), F.lit(7)), candidate).alias("candidates"), said(14).alias("warnings"))
+    stored = rows.select("doc_id", choices.stored_report(report).alias("r"))
+    return stored.select("doc_id", F.size(F.get("r.candidates", F.lit(0))["notes"]).cast("long").alias("notes"), F.md5(F.to_json("r").cast("binary")).alias("stored"))
+
+
 @register("f4_parser_reports", "SELECT 'c' || k AS value, count(*) AS n FROM (SELECT unnest(range(12)) AS k, doc_id FROM documents) WHERE k = doc_id % 12 GROUP BY k")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """How often each strategy was selected."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import addresses as A
 from tidemark.functions import states
 from tidemark.functions import text as X
 from tidemark.functions import urls as U
@@ -260,12 +261,16 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", U.public_ipv4(address).alias("is_public"))
 
 
-@register("v5_v7_hosts", "SELECT page_id, h, regexp_matches(h, '\\.(net)$') AS disabled, FALSE AS disallowed, TRUE AS related FROM (SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)) AS h FROM pages)")
+@register("v5_v7_hosts", """SELECT page_id, h, regexp_matches(own, '\\.(net)$') AS disabled, k > 1 AS disallowed, k < 2 AS related
+    FROM (SELECT page_id, k, own, CASE k WHEN 0 THEN own WHEN 1 THEN 'www.' || own WHEN 2 THEN 'LOCALHOST' WHEN 3 THEN split_part(own, '.', 1) WHEN 4 THEN own || '.internal' ELSE '' END AS h
+        FROM (SELECT page_id, page_id % 6 AS k, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)) AS own FROM pages))""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    h = U.host(F.col("url"))
-    rows = table(spark, d, "pages").select("page_id", h.alias("h"))
-    disabled = U.recovery_disabled(F.regexp_replace("h", r"^.*\.(\w+)$", "www.site.$1"), ("site.net",))
-    return rows.select("page_id", "h", disabled.alias("disabled"), U.disallowed_host(F.col("h")).alias("disallowed"), U.related_hosts(F.concat(F.lit("www."), F.col("h")), F.col("h")).alias("related"))
+    """Hosts of pages among local names, names without a dot and none at all, each against the page's own host."""
+    own, k = F.col("own"), F.col("page_id") % 6
+    odd = F.when(k == 0, own).when(k == 1, F.concat(F.lit("www."), own)).when(k == 2, "LOCALHOST").when(k == 3, F.split_part(own, F.lit("."), F.lit(1))).when(k == 4, F.concat(own, F.lit(".internal"))).otherwise("")
+    rows = table(spark, d, "pages").select("page_id", U.host(F.col("url")).alias("own")).withColumn("h", odd)
+    disabled = U.recovery_disabled(F.regexp_replace("own", r"^.*\.(\w+)$", "www.site.$1"), ("site.net",))
+    return rows.select("page_id", "h", disabled.alias("disabled"), A.is_disallowed(F.col("h")).alias("disallowed"), U.related_hosts(F.col("h"), own).alias("related"))
 
 
 @register("p2_p9_p13_predicates", over("SELECT id, published_at AS effective_at, id % 2 = 0 AND id % 3 = 0 AS curated, id % 4 <> 1 AS differs, CASE WHEN id % 5 = 0 THEN NULL ELSE 'user_' || id END AS username FROM content"))
