@@ -94,3 +94,47 @@ def test_leading_controls_are_no_text(spark):
     rows = [[("heading", "The title!"), ("paragraph", "Gift this article"), ("paragraph", "Excerpt."), ("paragraph", "Share of the market"), ("paragraph", "Body"), ("paragraph", "The title")], [("image", None), ("heading", "The title")], [("paragraph", "Shareholders meet")]]
     got = column(spark, rows, lambda v: F.transform(choices.without_echo(v, F.lit("the title"), F.lit("excerpt")), lambda b: b["text"]), block)
     assert got == [["Body", "The title"], [None, "The title"], ["Shareholders meet"]]
+
+
+def test_what_a_subscription_brings_is_marked_as_by_joins(spark):
+    follows = spark.createDataFrame([(1, "a", "x"), (1, "b", "y"), (2, "a", None), (None, "a", None), (3, None, None), (4, "none", None)], "user_id long, source_id string, note string")
+    entries = spark.createDataFrame([(k, s) for k, s in enumerate("aabbab" * 20)] + [(None, "a"), (500, None)], "content_id long, source_id string")
+    marks = spark.createDataFrame([(1, 0), (1, 0), (1, 2), (2, 1), (2, 2), (None, 4), (9, 0), (1, None)], "user_id long, content_id long")
+    pairs = follows.join(entries, "source_id").select("user_id", "source_id", "note", "content_id")
+    want = library.inbox_view(pairs, marks.distinct()).select("user_id", "content_id", "source_id", "note", "is_saved")
+    got = feeds.deliver(follows, entries, marks)
+    assert sorted(map(str, got.select(*want.columns[:4], F.col("is_marked").alias("is_saved")).collect())) == sorted(map(str, want.collect()))
+    assert feeds.deliver(follows, entries).count() == pairs.count()
+
+
+def _shuffled(spark, frame):
+    """The rows that a plan's exchanges wrote, once it has run."""
+    frame.write.format("noop").mode("overwrite").save()
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+@pytest.mark.parametrize("name", ["d6_inbox_view", "d7_update_inbox", "c7_deliveries", "a4_dismissals"])
+def test_no_row_of_the_inbox_is_shuffled(spark, name):
+    import __spark_entry__
+
+    before = _shuffled(spark, spark.range(0))
+    moved = _shuffled(spark, __spark_entry__.queries()[name](spark, "/root/testdata/sf0.1")) - before
+    assert 0 < moved < 14_814 * 500 / 10  # subscriptions, each to a source of 500 contents
+
+
+def test_states_in_place_are_those_of_joins(spark):
+    inbox = spark.createDataFrame([(u, c, "s", NOW if (u + c) % 3 == 0 else None, "unread") for u in range(4) for c in range(6)], "user_id long, content_id long, source_id string, dismissed_at timestamp, read_state string")
+    old = inbox.filter("content_id % 2 = 0")
+    want = events.dismissals(old, inbox, now())
+    got = events.newly_dismissed(inbox.withColumn("was_dismissed_at", F.when(F.col("content_id") % 2 == 0, F.col("dismissed_at"))), now())
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count()
+    subs = spark.createDataFrame([(u, "s", NOW if u % 2 else None) for u in range(4)], "user_id long, source_id string, backfilled_at timestamp")
+    entries = spark.createDataFrame([("s", k, NOW - datetime.timedelta(days=k), NOW) for k in range(50)], "source_id string, content_id long, published_at timestamp, delivered_at timestamp")
+    held = spark.createDataFrame([(u, c) for u in range(4) for c in range(50) if (u + c) % 4 == 0], "user_id long, content_id long")
+    want = feeds.deliveries(subs, entries, entries.filter("content_id % 7 = 0"), held).select("user_id", "source_id", "content_id")
+    newest = feeds.newest_entries(entries).withColumn("is_newest", F.lit(True))
+    told = entries.join(newest, ["source_id", "content_id"], "left").withColumns({"is_newest": F.coalesce("is_newest", F.lit(False)), "is_fresh": F.col("content_id") % 7 == 0})
+    rows = feeds.deliver(subs, told).withColumn("is_held", (F.col("user_id") + F.col("content_id")) % 4 == 0)
+    assert sorted(map(str, feeds.undelivered(rows).collect())) == sorted(map(str, want.collect())) and want.count()

@@ -55,6 +55,11 @@ def subscription_transitions(old: DataFrame, new: DataFrame, now: Column) -> Dat
     return came.withColumn("event_type", F.lit("subscribe")).unionByName(went.withColumn("event_type", F.lit("unsubscribe"))).withColumn("occurred_at", now)
 
 
+def newly_dismissed(rows: DataFrame, now: Column) -> DataFrame:
+    """``dismissals`` where each row brings its old state (was_dismissed_at; null for a new row too) with the new one."""
+    return rows.filter("dismissed_at IS NOT NULL AND was_dismissed_at IS NULL").select("user_id", "content_id", F.lit("dismiss").alias("event_type"), now.alias("occurred_at"))
+
+
 def dismissals(old: DataFrame, new: DataFrame, now: Column) -> DataFrame:
     """A dismiss event for each inbox row that is dismissed now and wasn't."""
     was = old.filter("dismissed_at IS NOT NULL").select("user_id", "content_id")
