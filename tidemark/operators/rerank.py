@@ -18,9 +18,9 @@ SOURCE_CAPS, TOPIC_CAPS, SOURCE_TOPIC_CAPS = (2, 4), (3, 5), (2, 4)
 
 def scored_content(candidates: DataFrame, subscriptions: DataFrame, now: Column) -> DataFrame:
     """Candidates that weren't dismissed, with score parts and score."""
-    follows = subscriptions.select("user_id", "source_id", F.lit(True).alias("follows"))
-    rows = candidates.filter("dismiss_count = 0").join(follows, ["user_id", "source_id"], "left")
-    boost = F.when(F.col("subscribed") | F.coalesce("follows", F.lit(False)), 1.0).otherwise(0.0)
+    follows = subscriptions.groupBy("user_id").agg(F.collect_set("source_id").alias("follows"))
+    rows = candidates.filter("dismiss_count = 0").join(follows, "user_id", "left")
+    boost = F.when(F.col("subscribed") | F.coalesce(F.array_contains("follows", F.col("source_id")), F.lit(False)), 1.0).otherwise(0.0)
     parts = {
         "topic_match": S.positive(F.col("topic_score")),
         "source_affinity": S.positive(F.col("source_affinity_score")),
@@ -60,16 +60,16 @@ def _same(key: str, row: Column) -> Callable[[Column], Column]:
     return lambda other: other[key] == row[key]
 
 
-def diverse(ranked: DataFrame, user: str, item: str, order: list[Column], limit: int, caps: dict[str, tuple[int, int]]) -> DataFrame:
+def diverse(ranked: DataFrame, user: str, item: str, order: list[Column], limit: int, caps: dict[str, tuple[int, int]], carried: tuple[str, ...] = ()) -> DataFrame:
     """The first picks of each user under caps by key, then what was passed over, in order: (user, item, position, score).
 
     caps: column -> (cap before EARLY picks, cap after). A null key is never capped. A user's candidates are at most a
-    few buckets of 200, so one array a user holds them; the walk over it is a native fold.
+    few buckets of 200, so one array a user holds them; the walk over it is a native fold. Picks keep the columns carried.
     """
     w = Window.partitionBy(user).orderBy(*order)
     keys = list(caps)
-    fields = [F.col(item).alias("item"), F.col("score").alias("score"), *(F.col(k).cast("string").alias(k) for k in keys)]
-    rows = ranked.withColumn("n", F.row_number().over(w)).groupBy(user).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", *fields))), lambda x: F.struct(*(x[f] for f in ("item", "score", *keys)))).alias("rows"))
+    fields = [F.col(item).alias("item"), F.col("score").alias("score"), *(F.col(k).cast("string").alias(k) for k in keys), *carried]
+    rows = ranked.withColumn("n", F.row_number().over(w)).groupBy(user).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", *fields))), lambda x: F.struct(*(x[f] for f in ("item", "score", *keys, *carried)))).alias("rows"))
     none = F.filter("rows", lambda x: F.lit(False))
 
     def step(state: Column, row: Column) -> Column:
@@ -83,11 +83,11 @@ def diverse(ranked: DataFrame, user: str, item: str, order: list[Column], limit:
         return F.struct(F.when(~full & fits, F.concat(picked, one)).otherwise(picked).alias("picked"), F.when(~full & ~fits, F.concat(passed, one)).otherwise(passed).alias("passed"))
 
     folded = F.aggregate("rows", F.struct(none.alias("picked"), none.alias("passed")), step, lambda s: F.slice(F.concat(s["picked"], s["passed"]), 1, limit))
-    return rows.select(user, F.posexplode(folded).alias("position", "row")).select(user, F.col("row.item").alias(item), "position", F.col("row.score").alias("score"))
+    return rows.select(user, F.posexplode(folded).alias("position", "row")).select(user, F.col("row.item").alias(item), "position", F.col("row.score").alias("score"), *(F.col(f"row.{c}").alias(c) for c in carried))
 
 
-def diverse_content(scored: DataFrame, limit: int = 20) -> DataFrame:
-    return diverse(scored, "user_id", "content_id", content_order(), limit, {"source_id": SOURCE_CAPS, "primary_topic_slug": TOPIC_CAPS})
+def diverse_content(scored: DataFrame, limit: int = 20, carried: tuple[str, ...] = ()) -> DataFrame:
+    return diverse(scored, "user_id", "content_id", content_order(), limit, {"source_id": SOURCE_CAPS, "primary_topic_slug": TOPIC_CAPS}, carried)
 
 
 def diverse_sources(scored: DataFrame, limit: int = 20) -> DataFrame:
@@ -106,6 +106,10 @@ def _serve_id(surface: str, now: Column) -> Column:
 
 def serve_log(picks: DataFrame, scored: DataFrame, surface: str, item: str, algorithm: str, now: Column) -> DataFrame:
     """One row for each item served, with the breakdown of its score as JSON."""
-    rows = picks.join(scored.select("user_id", item, *(["parts"] if "parts" in scored.columns else [])), ["user_id", item])
-    breakdown = F.to_json("parts") if "parts" in scored.columns else F.lit("{}")
+    return served(picks.join(scored.select("user_id", item, *(["parts"] if "parts" in scored.columns else [])), ["user_id", item]), surface, item, algorithm, now)
+
+
+def served(rows: DataFrame, surface: str, item: str, algorithm: str, now: Column) -> DataFrame:
+    """``serve_log`` of picks that bring the parts of their scores, if there are any, themselves."""
+    breakdown = F.to_json("parts") if "parts" in rows.columns else F.lit("{}")
     return rows.select(_serve_id(surface, now), "user_id", F.lit(surface).alias("surface"), F.lit(algorithm).alias("algorithm"), "position", item, "score", breakdown.alias("score_breakdown"), now.alias("served_at"))

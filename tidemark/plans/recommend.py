@@ -41,7 +41,7 @@ class Recommender:
     preferences = cached_property(lambda self: self._table(E.topic_preferences))
     subscriptions = _kept(lambda self: self._table(E.subscriptions))
     saved = _kept(lambda self: self._table(E.saved))
-    inbox = cached_property(lambda self: self._table(E.inbox))
+    inbox = cached_property(lambda self: lambda follows, entries: E.inbox_states(follows.join(entries, "source_id")))
     curated = cached_property(lambda self: self._table(E.curated))
     links = _kept(lambda self: topics.closure(self.topics))
 
@@ -53,8 +53,8 @@ class Recommender:
     source_affinity = _kept(lambda self: affinity.user_source_affinity(self.feedback, self.keys, self.signals_daily, self.subscriptions, self.now))
     topic_affinity = _kept(lambda self: affinity.user_topic_affinity(self.preferences, self.feedback, self.source_affinity, self.content_topics, self.source_topics, self.links, self.now))
     context = _kept(lambda self: affinity.user_context(self.users, self.subscriptions, self.topic_affinity, self.source_affinity))
-    buckets = _kept(lambda self: candidates.content_buckets(self.users, self.keys, self.inbox, self.subscriptions, self.saved, self.feedback, self.context, self.content_topics, self.source_topics, self.content_halo, self.curated, self.now))
-    content_candidates = _kept(lambda self: candidates.content_candidates(self.buckets, self.keys, self.sources, self.topics, self.topic_affinity, self.source_affinity, self.content_topics, self.source_topics, self.content_halo, self.source_halo, self.curated, self.feedback, self.now))
+    buckets = cached_property(lambda self: candidates.content_buckets(self.users, self.keys, self.inbox, self.subscriptions, self.saved, self.feedback, self.context, self.content_topics, self.source_topics, self.content_halo, self.curated, self.now))
+    content_candidates = cached_property(lambda self: candidates.content_candidates(self.buckets, self.keys, self.sources, self.topics, self.topic_affinity, self.source_affinity, self.content_topics, self.source_topics, self.content_halo, self.source_halo, self.curated, self.feedback, self.now))
     source_candidates = _kept(lambda self: candidates.source_candidates(self.users, self.sources, self.keys, self.subscriptions, self.topics, self.topic_affinity, self.source_affinity, self.context, self.source_topics, self.source_halo, self.now))
     scored_content = cached_property(lambda self: rerank.scored_content(self.content_candidates, self.subscriptions, self.now))
     scored_sources = cached_property(lambda self: rerank.scored_sources(self.source_candidates))
@@ -64,8 +64,8 @@ class Recommender:
         rows = candidates.source_preview(selected, languages, self.sources, self.keys, self.topics, self.links, self.source_topics, self.source_halo, self.now)
         return rerank.scored_preview(rows)
 
-    def recommend_content(self, limit: int = 20) -> DataFrame:
-        return rerank.diverse_content(self.scored_content, limit)
+    def recommend_content(self, limit: int = 20, carried: tuple[str, ...] = ()) -> DataFrame:
+        return rerank.diverse_content(self.scored_content, limit, carried)
 
     def recommend_sources(self, limit: int = 20) -> DataFrame:
         return rerank.diverse_sources(self.scored_sources, limit)

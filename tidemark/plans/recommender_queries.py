@@ -198,7 +198,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @register("a27_serve_log")
 def _(spark: SparkSession, d: str) -> DataFrame:
     r = Recommender(spark, d)
-    return rerank.serve_log(r.recommend_content(10), r.scored_content, "content", "content_id", "v1", r.now)
+    return rerank.served(r.recommend_content(10, ("parts",)), "content", "content_id", "v1", r.now)
 
 
 @register("a28_halo_by_users", over("SELECT content_id, CAST(occurred_at AS DATE) AS halo_date, count(DISTINCT user_id) FILTER (WHERE event_type = 'open') AS openers, count(DISTINCT user_id) FILTER (WHERE event_type = 'save') AS savers FROM ev WHERE content_id IS NOT NULL GROUP BY ALL"))
