@@ -267,3 +267,10 @@ def test_trusted_ids_are_bounded(spark):
         found = quality_rules.trusted_ids(labels, most).count()
         assert 0 < found <= most
     assert quality_rules.trusted_ids(labels).count() == labels.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).count()
+
+
+def test_all_trusted_documents_are_counted(spark):
+    docs = spark.createDataFrame([(k, f"word{k % 7} text {k} of many words " * 12) for k in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1) for k in range(0, 300, 2)], "doc_id long, quality int")
+    few, all_of_them = (sorted(map(str, quality_rules.apply_rules(docs, labels, most=n).select("doc_id", "score", "threshold", "kept").collect())) for n in (5, 200_000))
+    assert few == all_of_them

@@ -24,7 +24,7 @@ from tidemark.llm.quality import held_out
 LENGTHS, BITS = (2, 3, 4), 16
 #: What is added to the raw count of every bucket, and in proportion to the trusted counts.
 PSEUDO = 1.0
-#: At most so many trusted documents are counted for the trusted multinomial (8 bytes each are broadcast).
+#: Up to so many ids of trusted documents are broadcast; more are joined by a shuffle.
 TRUSTED = 200_000
 #: The share of trusted documents that the threshold may lose.
 LOSS = 0.005
@@ -110,13 +110,12 @@ def measure(text: np.ndarray) -> tuple[int, int, int, int, int]:
     return n, chars, symbols, duplicates, repeated
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
-    """The ids whose labels are 1 on the whole and that aren't held out; beyond ``most`` of them those with the smallest hashes.
-
-    The result is counted before it is given back: it never has more than ``most`` rows.
-    """
+def trusted_ids(labels: DataFrame, most: int | None = None, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """The ids whose labels are 1 on the whole and that aren't held out; where a caller asks for so many at ``most``, those with the smallest hashes."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("label")).dropna()
     good = cut(known.groupBy("doc_id").agg(F.avg("label").alias("label")).filter("label >= 0.5").filter(~held_out(F.col("doc_id"))).select("doc_id"))
+    if most is None:
+        return good
     unit = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
     n, chosen, share = good.count(), good, 1.0
     while n > most:
@@ -184,7 +183,7 @@ def apply_rules(docs: DataFrame, labels: DataFrame, loss: float = LOSS, most: in
 
     base_failed: fewer than LEAST_WORDS words, or more than MOST_REPEATED of the words in windows of three words found
     twice or more. kept: not base_failed, and a score of the threshold or more. Trusted are documents with label 1 that
-    aren't held out; up to ``most`` of them are counted, all documents are.
+    aren't held out; all of them are counted. Up to ``most`` ids are broadcast; beyond that the texts are shuffled to them.
 
     A null or empty text has no words and score 0; a text may be as long as a cell, and is worked on whole; a null id is
     never trusted; several labels of an id count by their mean; rows that share an id, or are the same, each get a row;
@@ -192,7 +191,8 @@ def apply_rules(docs: DataFrame, labels: DataFrame, loss: float = LOSS, most: in
     passes the rules there is no threshold (null) and the rules alone decide; an empty table gives none. Other columns are never read, whatever their names.
     """
     partitions(docs.sparkSession)
-    trusted = F.broadcast(trusted_ids(labels, most, label_col=label_col).select(F.col("doc_id").alias("trusted_id")))
+    trusted = trusted_ids(labels, label_col=label_col).select(F.col("doc_id").alias("trusted_id"))
+    trusted = F.broadcast(trusted) if trusted.count() <= most else trusted
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.join(trusted, F.col("doc_id") == F.col("trusted_id"), "left").select("doc_id", "text", F.col("trusted_id").isNotNull().alias("trusted"))
     found = _measured(rows, count_ngrams(rows))
