@@ -81,3 +81,12 @@ def test_recovered_articles(spark):
     got = {r.page_id: r for r in recover.recovered(pages).collect()}
     assert set(got) == {1, 2}
     assert got[1].total >= got[1].quality and not any((b.text or "").startswith(("Share", "By ", "2024")) for b in got[1].blocks)
+
+
+def test_texts_are_taken_in_bites(spark, monkeypatch):
+    from tidemark import runtime
+
+    assert list(runtime.bites([])) == [] and list(runtime.bites([5, None, 7])) == [(0, 3)]
+    big = runtime.BITE
+    assert list(runtime.bites([5, big, big * 9, None, 1])) == [(0, 2), (2, 3), (3, 5)]
+    assert max(b - a for a, b in runtime.bites([0] * 100_000)) <= big // 256
