@@ -69,3 +69,18 @@ def test_covers_and_odd_pages(spark):
     got = {r.page_id: (r.cover, r.found, r.score) for r in covers(tree_rows(frame), frame).collect()}
     assert got == {4: ("https://site.org/real.jpg", "article-image", 38), 5: ("https://site.org/x.jpg", "article-image", 26 + 12 + 18)}
     assert covers(tree_rows(frame.limit(0)), frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["b11_cover_candidates", "b11_covers"])
+def test_numbers_of_pages_and_paths_meet_by_chance(spark, tmp_path, name):
+    import duckdb
+
+    from tests.compare import same
+    from tidemark.plans import ENTRIES
+
+    html = "<html><head></head><body><article><h1>Title</h1><p>Some words of it.</p></article></body></html>"
+    rows = [(k, f"https://site.org/en/{k // 10}?x=1", html) for k in (111790, 111792, 111795, 210)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    same(ENTRIES[name].run(spark, str(tmp_path)), con, ENTRIES[name].sql)
