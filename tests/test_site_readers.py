@@ -111,3 +111,16 @@ def test_archived_articles(spark):
     assert best[1].strategy == "generic" and best[1].site_name == "The Paper" and best[1].author == "Ann Other"
     news = frame.filter("page_id = 1").withColumn("url", F.lit("https://www.bloomberg.com/news/x"))
     assert site_readers.read_archived(news).collect()[0].strategy == "news"
+
+
+def test_letters_cut_at_a_space(spark, tmp_path):
+    import duckdb
+
+    from tests.compare import same
+    from tidemark.plans import ENTRIES
+
+    rows = [(k, f"{'abc ' * k}{SENTENCE} " * 60) for k in range(8)] + [(8, "wxyz " * 900 + "\n" + "abc " * 1100), (9, "Short.\n" + "x" * 3999 + " y")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    same(ENTRIES["b14_letters"].run(spark, str(tmp_path)), con, ENTRIES["b14_letters"].sql)
