@@ -90,3 +90,17 @@ def test_texts_are_taken_in_bites(spark, monkeypatch):
     big = runtime.BITE
     assert list(runtime.bites([5, big, big * 9, None, 1])) == [(0, 2), (2, 3), (3, 5)]
     assert max(b - a for a, b in runtime.bites([0] * 100_000)) <= big // 256
+
+
+def test_feeds_and_payloads_are_read_in_bites(spark):
+    import pandas as pd
+    import pyarrow as pa
+
+    from tidemark.operators import feeds, posts
+
+    long = " " * (1 << 20)
+    xml = [f"<rss><channel><title>{k}</title></channel></rss>{long}" for k in range(3)] + [None, ""]
+    parts = list(feeds._feeds(iter([pd.Series(xml), pd.Series([], dtype=object)])))
+    assert [len(p) for p in parts] == [1, 1, 1, 2] and [t for p in parts for t in p["title"]] == ["0", "1", "2", None, None]
+    sizes = [len(p) for p in posts._payloads(iter([pa.array([f"[{long}]", None, f"{long}{{}}", "{"]), pa.array([], pa.string())]))]
+    assert sizes == [1, 2, 1]

@@ -11,6 +11,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,7 +20,7 @@ from tidemark.functions.text import collapsed, comparable, feed_date, let, split
 from tidemark.functions.urls import status_handle, status_id
 from tidemark.operators import tree
 from tidemark.operators.blocks import block
-from tidemark.runtime import ship
+from tidemark.runtime import bites, ship
 from tidemark.schemas import MEDIA
 
 #: How long a text, or how many paragraphs, make a post an article; how deep a payload is searched.
@@ -206,20 +207,26 @@ def _time(text: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(F.regexp_replace(text, r"^[A-Za-z]{3} ", ""), F.lit("MMM dd HH:mm:ss Z yyyy")), feed_date(text))
 
 
+def _payloads(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:
+        for a, b in bites(pc.utf8_length(texts).to_pylist()):
+            out = []
+            for text in texts.slice(a, b - a).to_pylist():
+                try:
+                    found = [_payload_post(o) for o in _objects(json.loads(text or ""))] if (text or "").lstrip()[:1] in ("{", "[") else []
+                except (ValueError, RecursionError):
+                    found = []
+                out.append([p for p in found if p])
+            yield pa.array(out, _ARROW_POSTS)
+
+
 def payload_records(scripts: DataFrame, key: str = "key") -> DataFrame:
     """The posts in a page's data, as RECORD. scripts: key, url and script, a text of JSON; what is none has no posts."""
     ship(scripts.sparkSession)
 
     @F.arrow_udf(_POSTS)
-    def read(texts: pa.Array) -> pa.Array:
-        out = []
-        for text in texts.to_pylist():
-            try:
-                found = [_payload_post(o) for o in _objects(json.loads(text or ""))] if (text or "").lstrip()[:1] in ("{", "[") else []
-            except (ValueError, RecursionError):
-                found = []
-            out.append([p for p in found if p])
-        return pa.array(out, _ARROW_POSTS)
+    def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return _payloads(batches)
 
     rows = scripts.select(key, "url", F.posexplode(read(F.col("script"))).alias("turn", "p"))
     return rows.select(key, F.lit("payload").alias("source"), "turn", F.coalesce("p.post_id", status_id(F.col("url"))).alias("post_id"), F.coalesce("p.author_handle", status_handle(F.col("url"))).alias("author_handle"), "p.display_name", _time(F.col("p.created")).alias("published_at"), "p.text", "p.media").filter("post_id IS NOT NULL")
