@@ -104,3 +104,24 @@ def test_feeds_and_payloads_are_read_in_bites(spark):
     assert [len(p) for p in parts] == [1, 1, 1, 2] and [t for p in parts for t in p["title"]] == ["0", "1", "2", None, None]
     sizes = [len(p) for p in posts._payloads(iter([pa.array([f"[{long}]", None, f"{long}{{}}", "{"]), pa.array([], pa.string())]))]
     assert sizes == [1, 2, 1]
+
+
+def test_batches_stay_arrow_but_for_a_bite(spark, monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tidemark.operators import extract
+    from tidemark.runtime import pieces
+
+    texts = pa.array(["x" * 1000] * 20_000 + [None, ""])
+    tracemalloc.start()
+    try:
+        assert sum(len(p) for p in pieces([texts, texts.slice(0, 0)])) == 20_002
+        assert tracemalloc.get_traced_memory()[1] < 8_000_000
+    finally:
+        tracemalloc.stop()
+    monkeypatch.delattr(F, "pandas_udf")  # no Series of a batch is made
+    frame = spark.createDataFrame([(1, "<article><p>One</p></article>"), (2, None)], "k long, h string")
+    rows = frame.select("k", extract.read_html(F.col("h")).alias("p")).orderBy("k").collect()
+    assert [b.text for b in rows[0].p.blocks] == ["One"] and rows[1].p.blocks == [] and rows[1].p.meta == {}
