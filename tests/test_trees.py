@@ -125,3 +125,12 @@ def test_batches_stay_arrow_but_for_a_bite(spark, monkeypatch):
     frame = spark.createDataFrame([(1, "<article><p>One</p></article>"), (2, None)], "k long, h string")
     rows = frame.select("k", extract.read_html(F.col("h")).alias("p")).orderBy("k").collect()
     assert [b.text for b in rows[0].p.blocks] == ["One"] and rows[1].p.blocks == [] and rows[1].p.meta == {}
+
+
+def test_markdown_stays_arrow(spark, monkeypatch):
+    from tidemark.operators import extract
+
+    monkeypatch.delattr(F, "pandas_udf")  # no Series of a batch is made
+    frame = spark.createDataFrame([(1, "# Head\n\n- a\n- b"), (2, None)], "k long, t string")
+    rows = frame.select("k", extract.read_markdown(F.col("t")).alias("m")).orderBy("k").collect()
+    assert [(b.type, b.level, b.text, b["items"]) for b in rows[0].m] == [("heading", 1, "Head", None), ("list", None, None, ["a", "b"])] and rows[1].m == []
