@@ -134,3 +134,18 @@ def test_markdown_stays_arrow(spark, monkeypatch):
     frame = spark.createDataFrame([(1, "# Head\n\n- a\n- b"), (2, None)], "k long, t string")
     rows = frame.select("k", extract.read_markdown(F.col("t")).alias("m")).orderBy("k").collect()
     assert [(b.type, b.level, b.text, b["items"]) for b in rows[0].m] == [("heading", 1, "Head", None), ("list", None, None, ["a", "b"])] and rows[1].m == []
+
+
+def test_lines_stay_arrow(spark, monkeypatch):
+    import pyarrow as pa
+
+    from tidemark.operators import reader
+
+    lines = pa.array([["x" * (1 << 18), None], None, [], ["y"], ["z" * (1 << 18)]], pa.list_(pa.string()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), lines], ["k", "lines"])
+    assert [b.column("k").to_pylist() for b in reader._bites(batch, "lines")] == [[0], [1, 2, 3, 4]]
+    assert [b.column("k").to_pylist() for b in reader._bites(batch.slice(1), "lines")] == [[1, 2, 3, 4]]
+    monkeypatch.delattr(type(spark.range(0)), "mapInPandas")  # no frame of a batch is made
+    frame = spark.createDataFrame([(1, ["One two"]), (2, None)], "k long, lines array<string>")
+    assert reader.reading_units(frame, "k", "lines").count() == 2
+    assert [r.package is None for r in reader.packages(frame, "k", "lines").orderBy("k").collect()] == [False, True]
