@@ -124,3 +124,27 @@ def test_letters_cut_at_a_space(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     same(ENTRIES["b14_letters"].run(spark, str(tmp_path)), con, ENTRIES["b14_letters"].sql)
+
+
+def _pages(spark, folder, pages):
+    import duckdb
+
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{folder}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{folder}/pages.parquet/*.parquet')")
+    return con
+
+
+#: A title that was cut within a reference, and references with and without semicolons.
+CUT_REFERENCE = f"""<html><head><title>A token = &quot</title></head><body><article><h1>A token = &quot</h1><p>A token = &quot;9c44&quot; &amp; more &amp so {SENTENCE}</p>
+<p>&copy 2024 &middot {SENTENCE * 4}</p><p>{SENTENCE * 4}</p></article><footer>&copy; x &middot; y</footer></body></html>"""
+
+
+def test_archived_references_without_semicolons(spark, tmp_path):
+    from tests.compare import same
+    from tidemark.plans import ENTRIES
+
+    con = _pages(spark, tmp_path, [(1, CUT_REFERENCE)])
+    same(ENTRIES["b17_archived_articles"].run(spark, str(tmp_path)), con, ENTRIES["b17_archived_articles"].sql)
+    rows = tree.read_tree('<a href="/x?a=1&amp;b=2" alt="&quot;">&amp &ampx &quot;q&quot; &quot &nosuch;</a>')
+    assert (dict(rows[0][5]), rows[0][8]) == ({"href": "/x?a=1&b=2", "alt": '"'}, '& &x "q" &quot &nosuch;')
