@@ -148,3 +148,14 @@ def test_archived_references_without_semicolons(spark, tmp_path):
     same(ENTRIES["b17_archived_articles"].run(spark, str(tmp_path)), con, ENTRIES["b17_archived_articles"].sql)
     rows = tree.read_tree('<a href="/x?a=1&amp;b=2" alt="&quot;">&amp &ampx &quot;q&quot; &quot &nosuch;</a>')
     assert (dict(rows[0][5]), rows[0][8]) == ({"href": "/x?a=1&b=2", "alt": '"'}, '& &x "q" &quot &nosuch;')
+
+
+def test_dense_references_without_semicolons(spark, tmp_path):
+    from tests.compare import same
+    from tidemark.plans import ENTRIES
+
+    con = _pages(spark, tmp_path, [(1, CUT_REFERENCE)])
+    for name in ("b24_dense_containers", "b24_container_texts"):
+        same(ENTRIES[name].run(spark, str(tmp_path)), con, ENTRIES[name].sql)
+    con.execute(f"CREATE TABLE dense AS {ENTRIES['b24_dense_containers'].sql}")
+    assert con.execute("SELECT count(*) FROM dense").fetchall() == [(1,)]
