@@ -159,3 +159,21 @@ def test_dense_references_without_semicolons(spark, tmp_path):
         same(ENTRIES[name].run(spark, str(tmp_path)), con, ENTRIES[name].sql)
     con.execute(f"CREATE TABLE dense AS {ENTRIES['b24_dense_containers'].sql}")
     assert con.execute("SELECT count(*) FROM dense").fetchall() == [(1,)]
+
+
+def test_news_are_read_whole(spark, tmp_path):
+    from tests.compare import same
+    from tidemark.plans import ENTRIES
+
+    page = lambda parts: f"<html><head><title>The story</title></head><body><article><h1>The story</h1>{''.join(f'<p>{p}</p>' for p in parts)}</article></body></html>"
+    many = [f"{SENTENCE} {SENTENCE} {k}" for k in range(200)]
+    long_ = f"{SENTENCE} " * 400
+    con = _pages(spark, tmp_path, [(1, page(many)), (2, page([long_ + "its end", "Sign up for it, " + "x" * 300, "Last"])), (3, page([SENTENCE] * 5))])
+    out = ENTRIES["b15_news_articles"].run(spark, str(tmp_path))
+    same(out, con, ENTRIES["b15_news_articles"].sql)
+    assert {r.page_id: r.blocks for r in out.collect()} == {1: 200, 2: 2, 3: 5}
+    items = "".join(f"<li>{k} {'y' * 600}</li>" for k in range(60))
+    frame = spark.createDataFrame([(4, page([long_]).replace("</article>", f"<ul>{items}</ul></article>"))], "page_id long, html string")
+    read = frame.select("page_id", extract.read_html(F.col("html")).alias("page")).withColumn("meta", extract.metadata(F.col("page")))
+    blocks = site_readers.read_news(site_readers.news_candidates(read, tree.tree_rows(frame))).collect()[0].blocks
+    assert blocks[0].text == long_.strip() and [len(x) for x in blocks[1]["items"]] == [602] * 10 + [603] * 50
