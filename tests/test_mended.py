@@ -124,6 +124,16 @@ def test_no_row_of_the_inbox_is_shuffled(spark, name):
     assert 0 < moved < 14_814 * 500 / 10  # subscriptions, each to a source of 500 contents
 
 
+@pytest.mark.parametrize("name", ["d6_inbox_view", "d7_update_inbox"])
+def test_a_subscription_is_shuffled_a_few_times(spark, name):
+    """Once a slice of its source's contents, and before that with what is known of it; not sixteen times or more."""
+    import __spark_entry__
+
+    before = _shuffled(spark, spark.range(0))
+    moved = _shuffled(spark, __spark_entry__.queries()[name](spark, "/root/testdata/sf0.1")) - before
+    assert moved < 14_814 * 12
+
+
 def test_states_in_place_are_those_of_joins(spark):
     inbox = spark.createDataFrame([(u, c, "s", NOW if (u + c) % 3 == 0 else None, "unread") for u in range(4) for c in range(6)], "user_id long, content_id long, source_id string, dismissed_at timestamp, read_state string")
     old = inbox.filter("content_id % 2 = 0")
