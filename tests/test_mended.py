@@ -124,6 +124,15 @@ def test_no_row_of_the_inbox_is_shuffled(spark, name):
     assert 0 < moved < 14_814 * 500 / 10  # subscriptions, each to a source of 500 contents
 
 
+def test_marks_meet_their_slices(spark):
+    third = F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("source_id")
+    follows = spark.range(40).select(F.col("id").alias("user_id"), third)
+    entries = spark.range(300).select(F.col("id").alias("content_id"), third, F.when(F.col("id") % 5 > 0, F.col("id")).alias("note"))
+    marks = spark.createDataFrame([(u, c) for u in range(40) for c in range(300) if (u + c) % 7 == 0], "user_id long, content_id long")
+    got = feeds.deliver(follows, entries, marks).select("user_id", "content_id", "note", "is_marked").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(((u, c, c if c % 5 else None, (u + c) % 7 == 0) for u in range(40) for c in range(300) if u % 3 == c % 3), key=str)
+
+
 @pytest.mark.parametrize("name", ["d6_inbox_view", "d7_update_inbox"])
 def test_a_subscription_is_shuffled_a_few_times(spark, name):
     """Once a slice of its source's contents, and before that with what is known of it; not sixteen times or more."""
