@@ -177,3 +177,13 @@ def test_news_are_read_whole(spark, tmp_path):
     read = frame.select("page_id", extract.read_html(F.col("html")).alias("page")).withColumn("meta", extract.metadata(F.col("page")))
     blocks = site_readers.read_news(site_readers.news_candidates(read, tree.tree_rows(frame))).collect()[0].blocks
     assert blocks[0].text == long_.strip() and [len(x) for x in blocks[1]["items"]] == [602] * 10 + [603] * 50
+
+
+def test_letters_are_cleaned_in_one_pass(spark):
+    rows = [("heading", "The Title"), ("paragraph", "By hand"), ("paragraph", SENTENCE), ("paragraph", "Subscribe now"), ("image", "A caption that says more than forty characters of text")]
+    candidates = blocks(spark, rows, source="dom-body-root", site_name="The Daily", cover="/c.png").unionByName(blocks(spark, [("paragraph", "The Title")], source="payload-body-html", site_name="The Daily", cover="/c.png"))
+    out = site_readers.read_letters(candidates, "key")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Generate posexplode") == 1
+    (r,) = out.collect()
+    assert (r.key, r.source, r.title, r.author, r.site_name, r.cover) == (1, "dom-body-root", "The Title", "Ann Other", "The Daily", "/c.png")
+    assert [b.text for b in r.blocks] == ["By hand", SENTENCE, "A caption that says more than forty characters of text"]
